@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import decontaminate, jaccard, langid, quality, sentencepiece, sharding, warc
+from folioscope.llm import decontaminate, htmltext, jaccard, langid, quality, sentencepiece, sharding, urlfilter, warc
 from folioscope.llm.common import shared_dir, table
 
 
@@ -31,6 +31,24 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.histogram_shards(table(spark, sf_dir, "documents"))
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
+#: The rules that the query's contract states.
+RULES = [
+    urlfilter.Rule("org", "/", urlfilter.ALLOW),
+    urlfilter.Rule("example.org", "/es/", urlfilter.BLOCK),
+    urlfilter.Rule("example.org", "/en/1", urlfilter.BLOCK),
+    urlfilter.Rule("com", "/fr/", urlfilter.ALLOW),
+    urlfilter.Rule("com", "/de/", urlfilter.BLOCK),
+]
+
+
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"), RULES)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write_archives(warc.with_revisits(table(spark, sf_dir, "pages"))).write.parquet(folder)
@@ -48,6 +66,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_language": op4_language,
     "op5_histogram_sharding": op5_sharding,
+    "op7_html": op7_html,
+    "op8_urls": op8_urls,
     "op9_warc": op9_warc,
     "op10_decontaminate": op10_decontaminate,
 }
