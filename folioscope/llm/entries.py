@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import decontaminate, htmltext, jaccard, langid, quality, sentencepiece, sharding, urlfilter, warc
+from folioscope.llm import decontaminate, htmltext, jaccard, langid, quality, sentencepiece, sharding, urlfilter, warc, webp
 from folioscope.llm.common import shared_dir, table
 
 
@@ -31,6 +31,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.histogram_shards(table(spark, sf_dir, "documents"))
 
 
+def op6_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.store_and_read(table(spark, sf_dir, "documents"))
+
+
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_language": op4_language,
     "op5_histogram_sharding": op5_sharding,
+    "op6_webp": op6_webp,
     "op7_html": op7_html,
     "op8_urls": op8_urls,
     "op9_warc": op9_warc,

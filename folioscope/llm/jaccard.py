@@ -291,7 +291,8 @@ def similarity_components(documents: DataFrame, s: Settings = Settings(), id_col
     hot = described.where("shingle is not null").groupBy("shingle").agg(F.sum("often").alias("often")).orderBy(F.desc("often"), "shingle").limit(s.frequent).toPandas()
     sizes = {r["n"]: r["count"] for r in classes.groupBy("n").count().collect()}
     elements = sum(n * c for n, c in sizes.items())
-    scan = float((hot["often"].astype(float) ** 2).sum() / max(1, elements))
+    # Lists that beginnings meet hold fewer than ``often`` sets of a slice: longer ones belong to shingles that come last.
+    scan = min(s.often - 1, float((hot["often"].astype(float) ** 2).sum() / max(1, elements)))
     light = boundary(sizes, scan, s)
     rising = hot["shingle"].to_numpy(np.int64)[::-1].copy().view(np.uint64)
     lists = cut(shared_lists(postings(docs.where("doc_id is not null"), rising, light, s)))
@@ -312,3 +313,10 @@ def similarity_components(documents: DataFrame, s: Settings = Settings(), id_col
     of_class = placed.join(roots, "label").select("cls", "component_id")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
     return rows.join(of_class, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), component)
+
+
+def one_of_each_group(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, all columns, with one row of each group: that of the least id. Rows with a null id stand alone and stay."""
+    groups = similarity_components(docs, s, id_col, text_col)
+    kept = groups.where("doc_id = component_id").select(F.col("doc_id").cast(docs.schema[id_col].dataType).alias(id_col)).distinct()
+    return docs.join(kept, id_col, "left_semi").dropDuplicates([id_col]).select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))

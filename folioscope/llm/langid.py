@@ -218,6 +218,15 @@ def score(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return p / p.sum(1, keepdims=True), np.logical_or.reduceat(codes != 0, at[:-1])
 
 
+def named(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(language, its probability) of each text; ``und`` with 0 where there is no letter or no language was learned."""
+    if not model.languages or not len(column):
+        return np.full(len(column), UNKNOWN, object), np.zeros(len(column))
+    p, any_letter = score(model, column)
+    names = np.array([*model.languages, UNKNOWN], object)
+    return names[np.where(any_letter, p.argmax(1), len(model.languages))], np.where(any_letter, p.max(1), 0.0)
+
+
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) of every row; ``und`` with score 0 where the text is null or has no letter.
 
@@ -226,20 +235,25 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shipped.value
-        names = np.array([*model.languages, UNKNOWN], object)
         for batch in slices(batches):
-            if model.languages:
-                p, any_letter = score(model, batch.column("text"))
-                best = np.where(any_letter, p.argmax(1), len(model.languages))
-                top = np.where(any_letter, p.max(1), 0.0)
-            else:
-                best, top = np.zeros(batch.num_rows, int), np.zeros(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names[best], pa.string()), pa.array(top, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            lang, top = named(shipped.value, batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(top, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def remove_unidentified(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """docs, all columns, without the rows that are ``und`` or whose language is less probable than ``least``."""
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text_col):
+            lang, top = named(shipped.value, batch.column(text_col))
+            yield batch.filter(pa.array((lang != UNKNOWN) & (top >= least), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     """Rows that are never learned from: crc32 of the id as text, mod 5, is 0 (a null id too)."""
     return F.coalesce(fold_of(id_col, 5) == 0, F.lit(True))

@@ -217,6 +217,18 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+def remove_poor(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """docs, all columns, without the rows that score below ``least``."""
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text_col):
+            p = shipped.value.score(*features(batch.column(text_col), shipped.value.settings.words))
+            yield batch.filter(pa.array(p >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     """Rows whose labels are never learned: crc32 of the id as text, mod 3, is 1 (false for a null id, which has no label)."""
     return F.coalesce(fold_of(id_col, 3) == 1, F.lit(False))
