@@ -1,0 +1,395 @@
+"""Each operator against brute force, an exact round trip, or held-out accuracy, and the edge cases its docstring states."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from folioscope.llm import components, decontaminate, entries, htmltext, jaccard, langid, quality, sentencepiece, sharding, urlfilter, warc
+from folioscope.llm.common import fold_of
+
+SMALL, MEDIUM = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+EDGE = [(1, None), (2, ""), (3, "a"), (3, "a"), (None, "b c"), (4, "  \n\t "), (5, "x " * 30_000), (6, "é漢😀\0"), (7, "one two three four five six"), (8, "One two three four five six")]
+
+
+@pytest.fixture(scope="module")
+def edge(spark):
+    rows = spark.createDataFrame([(i, t, "en", "s", 0, "clash") for i, t in EDGE], "doc_id long, text string, lang string, source string, n_chars int, size string")
+    return rows.withColumns({c: F.lit("extra") for c in ("score", "shard", "cls", "h", "n", "label")})
+
+
+@pytest.fixture(scope="module")
+def empty(edge):
+    return edge.limit(0)
+
+
+def table(spark, name, folder=SMALL):
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+# --- 1 ---------------------------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def library():
+    from sentencepiece import SentencePieceProcessor
+
+    return SentencePieceProcessor(model_file=sentencepiece.MODEL)
+
+
+def test_tokens_equal_the_library(spark, library):
+    texts = [r["text"] for r in table(spark, "documents").select("text").collect()]
+    texts += ["", " ", "   ", "a  b   c    d", " lead", "trail  ", "\n\n x\t▁y 漢😀 the", " " * 40 + "x", "9  9", "<s></s><0x0A>", "x" * 3000, "the" * 99, "\u2581\u2581a", "Ａé́ ß"]
+    rng = random.Random(3)
+    texts += ["".join(rng.choice("ab  the$\nü漢") for _ in range(60)) for _ in range(300)]
+    got = sentencepiece.encode([pa.array(texts[:50]), pa.array(texts[50:])], sentencepiece.load())
+    ids = got[0].to_pylist() + got[1].to_pylist()
+    assert ids == [library.encode(t) for t in texts]
+    back = sentencepiece.decode(pa.array(ids, pa.list_(pa.int32())), sentencepiece.load()).to_pylist()
+    assert back == [t.replace("▁", " ") for t in texts]
+
+
+def test_sentencepiece_edges(edge, empty, library):
+    rows = sentencepiece.encode_documents(edge).collect()
+    assert len(rows) == len(EDGE) and all(r["round_trip"] for r in rows)
+    assert sorted(map(tuple, (r["ids"] for r in rows))) == sorted(tuple(library.encode(t or "")) for _, t in EDGE)
+    assert sentencepiece.encode_documents(empty).count() == 0
+    texts = sentencepiece.decode_documents(sentencepiece.encode_documents(edge)).collect()
+    assert sorted(r["text"] for r in texts) == sorted(t or "" for _, t in EDGE)
+
+
+# --- 2 ---------------------------------------------------------------------------------------------------------------
+
+
+def shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+    return {" ".join(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {" ".join(words)} if words else set()
+
+
+def brute_components(docs):
+    sets = [(i, shingles(t)) for i, t in docs]
+    parent = list(range(len(sets)))
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a in range(len(sets)):
+        for b in range(a):
+            x, y = sets[a][1], sets[b][1]
+            if x and y and 100 * len(x & y) >= 75 * len(x | y):
+                parent[root(a)] = root(b)
+    least: dict[int, int] = {}
+    for k, (i, _) in enumerate(sets):
+        least[root(k)] = min(least.get(root(k), i), i)
+    return sorted((i, len(s), least[root(k)]) for k, (i, s) in enumerate(sets))
+
+
+def copies(seed, n=160):
+    """Copies with few and with many edits, parts, boilerplate that all share, and short texts."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randint(1, 4)))
+    common = [word() for _ in range(40)]
+    bases = [[word() for _ in range(rng.choice([3, 6, 9, 14, 30, 90]))] for _ in range(12)]
+    out = []
+    for i in range(n):
+        w = list(rng.choice(bases))
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 3, 8])):
+            w[rng.randrange(len(w))] = word()
+        if rng.random() < 0.3:
+            w = w + common
+        if rng.random() < 0.2:
+            w = w[: rng.randint(1, len(w))]
+        out.append((i * 3 + 1, " ".join(w)))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_components_equal_brute_force(spark, seed):
+    docs = copies(seed)
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted(tuple(r) for r in jaccard.similarity_components(rows).collect())
+    assert got == brute_components(docs)
+
+
+def test_components_of_edges(spark, edge, empty):
+    got = sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"] or -1) for r in jaccard.similarity_components(edge).collect())
+    assert got == [(-1, 1, -1), (1, 0, 1), (2, 0, 2), (3, 1, 3), (3, 1, 3), (4, 0, 4), (5, 1, 5), (6, 1, 6), (7, 2, 7), (8, 2, 7)]
+    assert jaccard.similarity_components(empty).count() == 0
+    kept = jaccard.one_of_each_group(edge)
+    assert kept.columns == edge.columns and sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 1, 2, 3, 4, 5, 6, 7]
+
+
+def test_connected_components(spark):
+    links = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
+    got = {r["node"]: r["label"] for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 102: 100}
+
+
+def test_boundary_follows_cost():
+    s = jaccard.Settings()
+    assert jaccard.boundary({}, 1, s) == 0
+    assert jaccard.boundary({5: 10, 2000: 10}, 0, s) <= jaccard.boundary({5: 10, 20: 10, 2000: 10}, 50, s)
+
+
+# --- 3 and 4 ---------------------------------------------------------------------------------------------------------
+
+
+def test_quality_is_learned(spark):
+    got = entries.QUERIES["op3_quality"](spark, MEDIUM).join(table(spark, "labels", MEDIUM), "doc_id").toPandas()
+    held = got[got.held_out]
+    recall = held.groupby("quality").predicted.mean()
+    assert recall[1] > 0.97 and recall[0] < 0.15
+    assert got.score.between(0, 1).all() and ((got.score >= 0.5) == (got.predicted == 1)).all()
+
+
+def test_quality_gradients():
+    rng = np.random.default_rng(0)
+    x, bags, y = rng.normal(size=(7, 5)), np.array([2, 1, 4]), np.array([1.0, 0, 1])
+    p = {"W": rng.normal(size=(5, 3)), "b": rng.normal(size=3), "V": rng.normal(size=(3, 2)), "U": rng.normal(size=(3, 2)), "w": rng.normal(size=2), "c": rng.normal(size=3), "d": np.array(0.1)}
+
+    def loss():
+        z = quality.forward(p, x, bags)["logit"]
+        return float(np.mean(np.log1p(np.exp(-z)) * y + np.log1p(np.exp(z)) * (1 - y)))
+
+    f = quality.forward(p, x, bags)
+    g = quality.backward(p, x, f, (quality.sigmoid(f["logit"]) - y) / 3)
+    for k in p:
+        for at in np.ndindex(p[k].shape):
+            old = float(p[k][at])
+            p[k][at] = old + 1e-6
+            up = loss()
+            p[k][at] = old - 1e-6
+            down = loss()
+            p[k][at] = old
+            assert g[k][at] == pytest.approx((up - down) / 2e-6, abs=1e-5)
+
+
+def test_quality_edges(spark, edge, empty):
+    labels = spark.createDataFrame([(7, 1), (8, 0), (99, 1), (None, 1), (3, None)], "doc_id long, quality int")
+    got = quality.classify(edge, labels)
+    assert got.count() == len(EDGE) and got.where("score is null or score < 0 or score > 1").count() == 0
+    assert quality.classify(empty, labels).count() == 0 and quality.classify(edge, labels.limit(0)).count() == len(EDGE)
+    model = quality.fit(edge, labels)
+    assert quality.remove_poor(edge, model).columns == edge.columns
+
+
+def test_language_is_learned(spark):
+    got = entries.QUERIES["op4_language"](spark, MEDIUM).join(table(spark, "documents", MEDIUM).select("doc_id", "lang", "text"), "doc_id").toPandas()
+    held = got[got.held_out]
+    assert len(held) > 100 and (held.lang_pred == held.lang).mean() > 0.98
+    assert held.score.mean() == pytest.approx((held.lang_pred == held.lang).mean(), abs=0.03)
+    assert set(got.held_out.unique()) == {True, False}
+    assert all(h == (zlib.crc32(str(i).encode()) % 5 == 0) for h, i in zip(got.held_out, got.doc_id, strict=True))
+
+
+def test_language_weights_are_sparse_and_temperature_fits():
+    rng = np.random.default_rng(1)
+    rows = []
+    for k in range(300):
+        y = k % 2
+        rows.append((y, np.array([y, *rng.integers(2, 200, 5)]), np.full(6, 0.5)))
+    w, bias = langid.ftrl(rows, 2, langid.Settings(buckets=256, l1=1.0))
+    assert (w == 0).mean() > 0.5 and w[0, 0] > 0 > w[0, 1]
+    assert langid.temperature(np.array([[8.0, 0], [8, 0], [8, 0], [8, 0]]), np.array([0, 0, 0, 1])) > 4
+
+
+def test_language_edges(edge, empty):
+    got = {(r["doc_id"] or -1): (r["lang_pred"], r["score"]) for r in langid.identify(edge).collect()}
+    assert got[1] == got[2] == got[4] == ("und", 0.0) and got[7][0] == "en"
+    assert langid.identify(empty).count() == 0
+    nothing = langid.fit(empty)
+    assert {r["lang_pred"] for r in langid.predict(edge, nothing).collect()} == {"und"}
+    assert sorted(r["doc_id"] or -1 for r in langid.remove_unidentified(edge, langid.fit(edge)).collect()) == [-1, 3, 3, 5, 6, 7, 8]
+
+
+def test_folds(spark):
+    rows = spark.range(50).select("id", fold_of("id", 3).alias("f")).collect()
+    assert all(r["f"] == zlib.crc32(str(r["id"]).encode()) % 3 for r in rows)
+
+
+# --- 5 ---------------------------------------------------------------------------------------------------------------
+
+
+def test_shards_are_even_gapless_and_keep_copies_together(spark):
+    docs = table(spark, "documents", MEDIUM)
+    hot = spark.range(10_000, 10_900).select(F.col("id").alias("doc_id"), F.lit("copy " * 300).alias("text"))
+    docs = docs.select("doc_id", "text").unionByName(hot)
+    got = sharding.histogram_shards(docs).toPandas()
+    text = docs.toPandas().set_index("doc_id").text
+    assert len(got) == len(text) and got.doc_id.is_unique
+    text = text.sort_index()
+    size, by_id = text.map(lambda t: len(t.encode()) + 1), got.set_index("doc_id").sort_index()
+    assert (by_id["size"] == size).all()
+    assert (by_id.text_crc32 == text.map(lambda t: zlib.crc32(t.encode()))).all()
+    sums = got.groupby("shard")["size"].sum()
+    assert len(sums) == 16 and (sums - sums.sum() / 16).abs().max() <= size.max()
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+    groups = got.assign(text=got.doc_id.map(text)).groupby("text").shard.agg(["min", "max", "nunique"])
+    assert (groups["nunique"] == groups["max"] - groups["min"] + 1).all()
+
+
+def test_shard_edges(edge, empty):
+    got = sharding.histogram_shards(edge).toPandas()
+    assert len(got) == len(EDGE) and got[got.doc_id == 1]["size"].item() == 1 and got[got.doc_id == 1].text_crc32.item() == 0
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+    assert sharding.histogram_shards(empty).count() == 0
+
+
+# --- 7 and 8 ---------------------------------------------------------------------------------------------------------
+
+
+def test_pages_keep_their_article(spark):
+    got = entries.QUERIES["op7_html"](spark, SMALL).join(table(spark, "pages").select("page_id", "html"), "page_id").toPandas()
+    import html as entities
+
+    for page, text in zip(got.html, got.text, strict=True):
+        article = re.search(r"<article>(.*)</article>", page, re.S)[1]
+        blocks = [" ".join(entities.unescape(re.sub(r"<[^>]+>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)[^>]*>", article)]
+        assert text == "\n".join(b for b in blocks if b)
+    assert (got.n_chars == got.text.str.len()).all()
+
+
+def test_furniture_goes_and_shared_lines_go():
+    page = """<html><body><header>Site</header><div id="main-content"><div>Menu text on all pages</div><p>Own &eacute; text&nbsp;here<br>on</p><form>Search</form>
+        <div class="cookie-notice">Cookies</div><div class=comments><p>Nice!</p></div><aside>Side</aside><div class="ad">Buy</div><p>Last<script>x()</script></p></div><footer>End</footer></body></html>"""
+    lines = htmltext.lines_of(page)
+    assert htmltext.main_text(lines, ["Menu text on all pages", "Other"]) == "Own é text here on\nLast"
+    article = htmltext.lines_of("<nav>a</nav><article><header><h1>T</h1></header><p>shared</p></article><p>outside</p>")
+    assert htmltext.main_text(article, ["shared", "outside"]) == "T\nshared"
+
+
+def test_common_lines_are_a_longest_common_subsequence():
+    rng = random.Random(5)
+    for _ in range(200):
+        a, b = ([rng.choice("abc") for _ in range(rng.randint(0, 9))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        found = sorted(htmltext.common_lines(a, b))
+        rest = iter(b)
+        assert len(found) == best[-1][-1] and all(a[k] in rest for k in found)
+
+
+def test_html_edges(spark):
+    rows = [(1, None, None), (2, "http://h/a", ""), (3, "http://h/b", "<p>unclosed <b>x"), (3, "http://h/b", "<p>unclosed <b>x"), (None, "h", "<div>&lt;&#x41;&bogus;</div>"), (4, "http://h/c", "<p>" * 3000 + "deep")]
+    got = {(r["page_id"] or -1): r["text"] for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "", 2: "", 3: "unclosed x", -1: "<A&bogus;", 4: "deep"}
+
+
+def test_url_rules(spark):
+    urls = ["http://A.Example.ORG/es/1", "https://example.org/en/12", "https://example.org/en/2", "https://x.org", "http://b.com/fr/9?q#f", "http://b.com/de/", "http://notorg/", None, "no scheme", "x://com/fr/://org/es/"]
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = [tuple(r) for r in urlfilter.judge(rows, entries.RULES).orderBy("page_id").select("host", "path", "rule", "verdict").collect()]
+    assert [g[:3] for g in got] == [
+        ("a.example.org", "/es/1", "example.org/es/"), ("example.org", "/en/12", "example.org/en/1"), ("example.org", "/en/2", "org/"), ("x.org", "", None), ("b.com", "/fr/9", "com/fr/"),
+        ("b.com", "/de/", "com/de/"), ("notorg", "/", None), ("", "", None), ("", "", None), ("com", "/fr/://org/es/", "com/fr/"),
+    ]
+    assert [g[3] for g in got if g[2]] == ["block", "block", "allow", "allow", "block", "allow"] and all(g[3] in ("allow", "block") for g in got)
+    assert urlfilter.judge(rows.limit(0), entries.RULES).count() == 0
+
+
+def test_boosting_learns_and_generalises():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(4000, 6))
+    y = ((x[:, 0] > 0) ^ (x[:, 3] > 0.5)).astype(float)
+    trees = urlfilter.boost(x[:3000], y[:3000])
+    assert ((trees.probability(x[3000:]) > 0.5) == y[3000:]).mean() > 0.95
+    assert urlfilter.boost(x[:10], np.zeros(10)).probability(x[:2]).max() < 0.01
+
+
+# --- 9 ---------------------------------------------------------------------------------------------------------------
+
+
+def test_archives_round_trip(spark):
+    big = "z" * 2000
+    rows = [(1, "http://a/ b\r\n", big), (2, None, big), (9, "u", big), (3, "u", "small"), (4, "u", "small"), (5, "u", None), (None, "u", big), (6, "u", "é\r\n\r\nWARC/1.1\r\n" * 200), (6, "u", "é\r\n\r\nWARC/1.1\r\n" * 200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload", F.lit("clash"))
+    archives = warc.write_archives(warc.with_revisits(pages), 500)
+    got = warc.read_archives(archives).toPandas()
+    assert len(got) == len(rows)
+    found = {(None if pd.isna(r.page_id) else int(r.page_id)): r for r in got.itertuples()}
+    for i, _, html in rows:
+        r, payload = found[i], (html or "").encode()
+        assert r.payload_bytes == len(payload) and r.payload_digest == hashlib.sha1(payload).hexdigest()
+        expected = 9 if html == big and i in (1, 2) else None
+        assert (None if pd.isna(r.refers_to) else r.refers_to) == expected and r.record_type == ("revisit" if expected else "response")
+        assert r.payload is None if expected else r.payload == payload
+    assert warc.read_archives(warc.write_archives(warc.with_revisits(pages.limit(0)))).count() == 0
+
+
+def test_damaged_archives_are_refused():
+    good = warc.record(1, "u", b"payload", hashlib.sha1(b"payload").hexdigest(), None)
+    assert [warc.parse(m)["payload"] for m in warc.members(good + good)] == [b"payload"] * 2
+    with pytest.raises(warc.BadRecord):
+        list(warc.members(good[:-9]))
+    bad = warc.record(1, "u", b"payload", "0" * 40, None)
+    with pytest.raises(warc.BadRecord):
+        [warc.parse(m) for m in warc.members(bad)]
+
+
+# --- 10 --------------------------------------------------------------------------------------------------------------
+
+
+def edit_brute(item, text):
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(item, 1):
+        new = [i]
+        for j, d in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
+        row = new
+    return min(row)
+
+
+def test_edit_distance_is_exact():
+    rng = random.Random(4)
+    for _ in range(200):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(1, 90))) for _ in range(2))
+        assert decontaminate.edit_distance(a, b)[0] == edit_brute(a, b)
+
+
+def test_leaks_are_found_and_nothing_else(spark):
+    docs, items = table(spark, "documents", MEDIUM), table(spark, "benchmark", MEDIUM)
+    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontaminate.find(docs, items).collect()}
+    plain = lambda t: " ".join(t.lower().split())
+    texts = {r["doc_id"]: plain(r["text"]) for r in docs.collect()}
+    wanted = {r["item_id"]: plain(r["text"]) for r in items.collect()}
+    exact = {(d, i) for d, t in texts.items() for i, x in wanted.items() if x in t}
+    assert exact and all(got.get(k) == 0 for k in exact)
+    for (d, i), distance in got.items():
+        assert distance <= 0.2 * len(wanted[i]) and ((d, i) in exact or distance == edit_brute(wanted[i], texts[d]))
+    kept = decontaminate.remove(docs, items)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == set(texts) - {d for d, _ in got}
+
+
+@pytest.mark.parametrize(("rate", "least"), [(0.05, 0.99), (0.1, 0.95)])
+def test_recall_under_edits(spark, rate, least):
+    items = [(r["item_id"], r["text"]) for r in table(spark, "benchmark", "/root/testdata/sf0.1").collect()]
+    rng, texts = random.Random(6), []
+    for _, t in items:
+        c = list(" ".join(t.lower().split()))
+        for _ in range(int(rate * len(c))):
+            k, how = rng.randrange(len(c)), rng.random()
+            c[k : k + (how < 0.7)] = [] if how < 0.3 else [rng.choice("abcdefgh ")]
+        texts.append("some words before " + "".join(c) + " and after")
+    index = decontaminate.index(items)
+    found = decontaminate.search(pa.array(texts), index, decontaminate.Walks(index.settings))
+    assert sum((k, k) in found for k in range(len(items))) / len(items) >= least
+
+
+def test_decontamination_edges(spark, edge, empty):
+    items = spark.createDataFrame([(1, None), (2, ""), (3, "one two three"), (4, "x " * 40)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find(edge, items).collect()}
+    assert got == {(7, 3), (8, 3), (5, 4)}
+    assert decontaminate.find(empty, items).count() == 0 and decontaminate.find(edge, items.limit(0)).count() == 0
+    assert decontaminate.remove(edge, items.limit(0)).count() == len(EDGE)
