@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,9 +35,12 @@ class Settings:
     percent: int = 75
     #: Size of the subsets that light sets emit.
     subset: int = 2
-    #: Shingles found in so many texts of one slice of the input count as frequent; at most ``frequent`` of them are kept.
-    often: int = 4
-    frequent: int = 200_000
+    #: Shingles found in so many different sets among ``window`` shingles read in a row are counted; the ``frequent`` most found come last.
+    often: int = 2
+    frequent: int = 400_000
+    window: int = 1 << 22
+    #: Shingles that a task counts at once, the most frequent ones.
+    counted: int = 1 << 20
 
 
 WHITE = np.zeros(256, bool)
@@ -106,21 +110,43 @@ def class_keys(h: np.ndarray, number: np.ndarray) -> np.ndarray:
 def describe(docs: DataFrame, s: Settings) -> DataFrame:
     """(doc_id, n, cls, shingle, often): a row per document, and rows with only shingle and often for frequent shingles."""
 
+    names = ["doc_id", "n", "cls", "shingle", "often"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        value, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        waiting, classes, size = [], [], 0
+
+        def count() -> None:
+            nonlocal value, times, waiting, classes, size
+            h, cls = np.concatenate([w[0] for w in waiting]), np.concatenate(classes)
+            number = np.concatenate([w[1] for w in waiting])
+            # Copies of a text tell nothing about how many different sets hold a shingle.
+            pick = np.zeros(len(cls), bool)
+            pick[np.unique(cls, return_index=True)[1]] = True
+            here, found = np.unique(h[np.repeat(pick, number)], return_counts=True)
+            kept = found >= s.often
+            value, back = np.unique(np.concatenate([value, here[kept]]), return_inverse=True)
+            times = np.bincount(back, np.concatenate([times, found[kept]]), len(value)).astype(np.int64)
+            if len(value) > s.counted:
+                top = np.sort(np.argpartition(times, -s.counted // 2)[-s.counted // 2 :])
+                value, times = value[top], times[top]
+            waiting, classes, size = [], [], 0
+
         for batch in slices(batches):
             h, number = shingle_sets(batch.column("text"), s.words)
             cls = class_keys(h, number)
-            # Copies of a text tell nothing about how many different sets hold a shingle.
-            _, one = np.unique(cls, return_index=True)
-            pick = np.zeros(len(cls), bool)
-            pick[one] = True
-            value, times = np.unique(h[np.repeat(pick, number)], return_counts=True)
-            hot = times >= s.often
-            rows, more = batch.num_rows, int(hot.sum())
-            none = lambda k, kind: pa.nulls(k, kind)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(number, pa.int64()), pa.array(cls, pa.int64()), none(rows, pa.int64()), none(rows, pa.int64())], names=["doc_id", "n", "cls", "shingle", "often"])
-            if more:
-                yield pa.RecordBatch.from_arrays([none(more, pa.int64()), none(more, pa.int64()), none(more, pa.int64()), pa.array(value[hot].view(np.int64)), pa.array(times[hot], pa.int64())], names=["doc_id", "n", "cls", "shingle", "often"])
+            none = pa.nulls(batch.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(number, pa.int64()), pa.array(cls, pa.int64()), none, none], names=names)
+            waiting.append((h, number))
+            classes.append(cls)
+            size += len(h)
+            if size >= s.window:
+                count()
+        if waiting:
+            count()
+        if len(value):
+            none = pa.nulls(len(value), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(value.view(np.int64)), pa.array(times)], names=names)
 
     return docs.mapInArrow(run, "doc_id long, n long, cls long, shingle long, often long")
 
@@ -197,7 +223,8 @@ def postings(docs: DataFrame, hot: np.ndarray, light: int, s: Settings) -> DataF
 
 
 def shared_lists(posted: DataFrame) -> DataFrame:
-    """(key, cls, nr, pivot, pivot_nr) of the postings whose list holds at least two classes; the pivot is a list's least class.
+    """(key, cls, nr, pivot, pivot_nr) of the postings whose list holds at least two classes; the pivot is the set that
+    others are likeliest to be copies of.
 
     A list is read as a stream: only its first posting and the one last read are held.
     """
@@ -232,15 +259,35 @@ def shared_lists(posted: DataFrame) -> DataFrame:
         if held is not None and held[5]:
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in held[:5]], names=["key", "cls", "nr", "pivot", "pivot_nr"])
 
-    return posted.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(run, "key long, cls long, nr long, pivot long, pivot_nr long")
+    # First the set for which the key comes earliest: one with few shingles of its own, such as the original of copies.
+    place = F.expr("1 - (nr & 4294967295) / shiftright(nr, 32)")
+    return posted.repartition("key").sortWithinPartitions("key", place, "cls").mapInArrow(run, "key long, cls long, nr long, pivot long, pivot_nr long")
+
 
+def enough(shared, n, m, percent: int):
+    """Whether that many shared elements link sets of n and m: their union is n + m - shared."""
+    return shared * (100 + percent) >= percent * (n + m)
 
-def allowed(nr: str, other: str, percent: int):
-    """Whether sizes, and the elements left on both sides from a first shared one, allow a link."""
+
+def in_place(nr: str, other: str, percent: int):
+    """Whether a link is possible by sizes, and by what both sets have left if the key is the first that they share."""
     n, m = F.shiftright(nr, 32), F.shiftright(other, 32)
     left = F.least(F.col(nr).bitwiseAND(0xFFFFFFFF), F.col(other).bitwiseAND(0xFFFFFFFF))
-    # With I shared, the union is n + m - I: linked if I * (100 + percent) >= percent * (n + m).
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (left * (100 + percent) >= percent * (n + m))
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & enough(left, n, m, percent)
+
+
+def plausible(pairs: DataFrame, lists: DataFrame, light: int, percent: int) -> DataFrame:
+    """Those of the distinct pairs (a, b, n, m) that the number of keys they share, counted in lists, allows.
+
+    The set whose beginning ends earlier in the common order shares all it can before that end in posted keys, so the
+    intersection is at most their number and what the set has after its beginning. That holds for heavy sets, which
+    post single elements. A set's own keys are gathered, at most as many as it posted.
+    """
+    keys = lists.groupBy("cls").agg(F.collect_list("key").alias("keys"))
+    both = pairs.join(keys.withColumnsRenamed({"cls": "a", "keys": "x"}), "a").join(keys.withColumnsRenamed({"cls": "b", "keys": "y"}), "b")
+    after = F.expr(f"(greatest(n, m) * {percent} + 99) div 100 - 1")
+    by_count = enough(F.size(F.array_intersect("x", "y")) + after, F.col("n"), F.col("m"), percent)
+    return both.where((F.least("n", "m") <= light) | by_count).select("a", "b")
 
 
 def membership_filter(ids: DataFrame, column: str) -> np.ndarray:
@@ -272,10 +319,23 @@ def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, s: Settings) ->
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(class_keys(values, number)), lists], names=["doc_id", "cls", "items"])
 
     sets = docs.select("doc_id", F.xxhash64("doc_id").alias("h"), "text").mapInArrow(run, "doc_id long, cls long, items array<long>")
-    sets = sets.join(ids, "doc_id", "left_semi").dropDuplicates(["cls"]).select("cls", "items")
+    sets = sets.select("cls", "items")
     both = pairs.join(sets.withColumnsRenamed({"cls": "a", "items": "x"}), "a").join(sets.withColumnsRenamed({"cls": "b", "items": "y"}), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared * (100 + s.percent) >= s.percent * (F.size("x") + F.size("y"))).select("a", "b")
+    # A text that the bit table let pass beside its class's first one gives the same pair again.
+    return both.where(shared * (100 + s.percent) >= s.percent * (F.size("x") + F.size("y"))).select("a", "b").distinct()
+
+
+def most_found(described: DataFrame, most: int) -> pd.DataFrame:
+    """(shingle, often) of the shingles found most, as many as share a count and number ``most`` at most together."""
+    counted = cut(described.where("shingle is not null").groupBy("shingle").agg(F.sum("often").alias("often")))
+    total, least = 0, None
+    for row in counted.groupBy("often").count().orderBy(F.desc("often")).collect():
+        total += row["count"]
+        if total > most:
+            break
+        least = row["often"]
+    return counted.where(F.col("often") >= least if least is not None else F.lit(False)).toPandas()
 
 
 def similarity_components(documents: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -288,15 +348,18 @@ def similarity_components(documents: DataFrame, s: Settings = Settings(), id_col
     described = cut(describe(docs, s))
     rows = described.where("shingle is null").select("doc_id", "n", "cls")
     classes = cut(rows.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")))
-    hot = described.where("shingle is not null").groupBy("shingle").agg(F.sum("often").alias("often")).orderBy(F.desc("often"), "shingle").limit(s.frequent).toPandas()
+    hot = most_found(described, s.frequent)
     sizes = {r["n"]: r["count"] for r in classes.groupBy("n").count().collect()}
     elements = sum(n * c for n, c in sizes.items())
-    # Lists that beginnings meet hold fewer than ``often`` sets of a slice: longer ones belong to shingles that come last.
-    scan = min(s.often - 1, float((hot["often"].astype(float) ** 2).sum() / max(1, elements)))
+    # Other sets that a posting meets: at most a few, as shingles with long lists come last.
+    scan = min(3.0, float((hot["often"].astype(float) ** 2).sum() / max(1, elements)))
     light = boundary(sizes, scan, s)
-    rising = hot["shingle"].to_numpy(np.int64)[::-1].copy().view(np.uint64)
+    rising = hot.sort_values(["often", "shingle"])["shingle"].to_numpy(np.int64).copy().view(np.uint64)
     lists = cut(shared_lists(postings(docs.where("doc_id is not null"), rising, light, s)))
-    to_pivot = lists.where((F.col("cls") != F.col("pivot")) & allowed("nr", "pivot_nr", s.percent)).select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct()
+    size = lambda c: F.shiftright(c, 32)
+    to_pivot = lists.where((F.col("cls") != F.col("pivot")) & in_place("nr", "pivot_nr", s.percent))
+    to_pivot = to_pivot.select(F.col("cls").alias("a"), F.col("pivot").alias("b"), size("nr").alias("n"), size("pivot_nr").alias("m")).distinct()
+    to_pivot = cut(plausible(to_pivot, lists, light, s.percent))
     found = cut(verified(docs, classes, to_pivot, s))
     labels = cut(connected_components(found))
     # Lists that still hold several components: their pairs across components.
@@ -304,8 +367,9 @@ def similarity_components(documents: DataFrame, s: Settings = Settings(), id_col
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
     open_ = cut(labelled.join(mixed, "key", "left_semi"))
     x, y = open_.withColumnsRenamed({"cls": "a", "nr": "nr_a", "label": "label_a"}), open_.withColumnsRenamed({"cls": "b", "nr": "nr_b", "label": "label_b"})
-    across = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & allowed("nr_a", "nr_b", s.percent))
-    across = across.select("a", "b").distinct().join(to_pivot.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    across = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & in_place("nr_a", "nr_b", s.percent))
+    across = plausible(across.select("a", "b", size("nr_a").alias("n"), size("nr_b").alias("m")).distinct(), open_, light, s.percent)
+    across = across.join(to_pivot.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     links = cut(found.unionByName(verified(docs, classes, across, s)))
     labels = connected_components(links).withColumnRenamed("node", "cls")
     placed = classes.join(labels, "cls", "left").select("cls", "doc_id", F.coalesce("label", "cls").alias("label"))
