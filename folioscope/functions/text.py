@@ -51,8 +51,7 @@ def strip_markdown(text: Column) -> Column:
 def tokens(text: Column) -> Column:
     """Folded words of at least two characters that are no stop words, in order, repeats kept."""
     words = F.split(fold(strip_markdown(text)), "[^\\p{L}\\p{N}]+")
-    stop = F.array(*(F.lit(w) for w in STOP_WORDS))
-    return F.filter(words, lambda w: (F.char_length(w) >= 2) & ~F.array_contains(stop, w))
+    return F.filter(words, lambda w: (F.char_length(w) >= 2) & ~w.isin(STOP_WORDS))
 
 
 def contains_whole_words(text: Column, needle: Column) -> Column:
@@ -109,8 +108,7 @@ def slug(name: Column) -> Column:
 def word_set(text: Column) -> Column:
     """Distinct words for diversity checks: folded ASCII words of at least three characters that aren't numbers or stop words."""
     words = F.split(F.regexp_replace(fold(text), "[^a-z0-9\\s]", " "), "\\s+")
-    stop = F.array(*(F.lit(w) for w in STOP_WORDS))
-    return F.array_distinct(F.filter(words, lambda w: (F.char_length(w) >= 3) & ~w.rlike("^[0-9]+$") & ~F.array_contains(stop, w)))
+    return F.array_distinct(F.filter(words, lambda w: (F.char_length(w) >= 3) & ~w.rlike("^[0-9]+$") & ~w.isin(STOP_WORDS)))
 
 
 def is_safe_path(path: Column) -> Column:
