@@ -106,14 +106,11 @@ def frequencies(docs: DataFrame, text_col: str, buckets: int) -> tuple[np.ndarra
         some = np.flatnonzero(seen)
         yield pa.RecordBatch.from_pydict({"bucket": np.append(some, -1), "n": np.append(seen[some], n)})
 
-    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    df, total = np.zeros(buckets, np.int64), 0
-    for b, n in zip(rows["bucket"], rows["n"], strict=True):
-        if b < 0:
-            total = int(n)
-        else:
-            df[b] = n
-    return df, total
+    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    bucket, n = rows["bucket"].to_numpy(), rows["n"].to_numpy()
+    df = np.zeros(buckets, np.int64)
+    df[bucket[bucket >= 0]] = n[bucket >= 0]
+    return df, int(n[bucket < 0].sum())
 
 
 def vectors(docs: DataFrame, text_col: str, lang_col: str, id_col: str, buckets: int) -> list[tuple[str, bool, np.ndarray, np.ndarray]]:
@@ -134,8 +131,12 @@ def vectors(docs: DataFrame, text_col: str, lang_col: str, id_col: str, buckets:
 
     late = F.xxhash64(F.lit("calibrate"), F.col(id_col).cast("string")) % 5 == 0
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), late.alias("late"))
-    found = rows.mapInArrow(extract, "lang string, late boolean, ids array<int>, tfs array<float>").toPandas()
-    return [(lang, late, np.asarray(b, np.int64), np.asarray(tf, np.float64)) for lang, late, b, tf in found.itertuples(index=False)]
+    found = rows.mapInArrow(extract, "lang string, late boolean, ids array<int>, tfs array<float>").toArrow().combine_chunks()
+    # The lists stay one array each: as Python numbers they would take the driver's memory many times over.
+    ids, tfs = (pa.concat_arrays(found[c].chunks) if found.num_rows else pa.array([], pa.list_(pa.int32())) for c in ("ids", "tfs"))
+    ends, b, tf = np.asarray(ids.offsets), np.asarray(ids.values), np.asarray(tfs.values)
+    rows = zip(found["lang"].to_pylist(), found["late"].to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)
+    return [(lang, late, b[lo:hi], tf[lo:hi]) for lang, late, lo, hi in rows]
 
 
 def ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], classes: int, s: Settings) -> tuple[np.ndarray, np.ndarray]:
@@ -192,7 +193,8 @@ def fit(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id"
         share = F.when(F.col(lang_col) == lang, min(1.0, settings.fit_rows / n)).otherwise(share)
     draw = F.pmod(F.xxhash64(F.lit("fit"), F.col(id_col).cast("string")), F.lit(1_000_003)) / 1_000_003
     sample = docs.where(draw < share).limit(2 * settings.fit_rows * len(languages))
-    rows = [(languages.index(lang), late, b, settings.scale * tf * idf[b]) for lang, late, b, tf in vectors(sample, text_col, lang_col, id_col, settings.buckets)]
+    weight = (settings.scale * idf).astype(np.float32)
+    rows = [(languages.index(lang), late, b, tf * weight[b]) for lang, late, b, tf in vectors(sample, text_col, lang_col, id_col, settings.buckets)]
     weights, bias = ftrl([(y, b, x) for y, late, b, x in rows if not late], len(languages), settings)
     kept = [(y, x @ weights[b] + bias) for y, late, b, x in rows if late]
     t = temperature(np.array([s for _, s in kept]), np.array([y for y, _ in kept])) if kept else 1.0

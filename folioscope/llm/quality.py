@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -157,7 +158,7 @@ def train(x: np.ndarray, bags: np.ndarray, y: np.ndarray, s: Settings = Settings
     """Adam on all bags at once; classes weigh alike whatever their numbers."""
     rng = np.random.default_rng(11)
     mean, spread = x.mean(0), x.std(0) + 0.05
-    x = (x - mean) / spread
+    x = ((x - mean) / spread).astype(np.float32)
     p = {
         "W": rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], s.hidden)), "b": np.zeros(s.hidden), "V": rng.normal(0, 0.3, (s.hidden, s.attention)),
         "U": rng.normal(0, 0.3, (s.hidden, s.attention)), "w": rng.normal(0, 0.3, s.attention), "c": rng.normal(0, 0.3, s.hidden), "d": np.zeros(()),
@@ -197,11 +198,13 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(bags)]) * WIDTH, pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), lists], names=["doc_id", "label", "x"])
 
-    found = rows.select("doc_id", "label", "text").mapInArrow(extract, "doc_id long, label int, x array<float>").toPandas().sort_values(["doc_id", "label"])
-    xs = [np.asarray(x, np.float64).reshape(-1, WIDTH) for x in found["x"]]
+    found = rows.select("doc_id", "label", "text").mapInArrow(extract, "doc_id long, label int, x array<float>").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
+    # Features stay one array of four-byte floats: as Python numbers they would take the driver's memory many times over.
+    xs = [np.asarray(c.flatten()).reshape(-1, WIDTH) for c in found["x"].chunks if len(c)]
+    sizes = [n // WIDTH for n in pc.list_value_length(found["x"]).to_pylist()]
     if not xs:
         return Model(s, {"W": np.zeros((WIDTH, s.hidden)), "b": np.zeros(s.hidden), "V": np.zeros((s.hidden, s.attention)), "U": np.zeros((s.hidden, s.attention)), "w": np.zeros(s.attention), "c": np.zeros(s.hidden), "d": np.zeros(())}, np.zeros(WIDTH), np.ones(WIDTH))
-    return train(np.vstack(xs), np.array([len(x) for x in xs]), found["label"].to_numpy().astype(float), s)
+    return train(np.vstack(xs), np.array(sizes), found["label"].to_numpy().astype(float), s)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
