@@ -19,12 +19,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import cut, mix, slices, text_bytes
+from folioscope.llm.common import cut, mix, slices, stored, text_bytes
 from folioscope.llm.components import connected_components
 
 
@@ -222,11 +221,25 @@ def postings(docs: DataFrame, hot: np.ndarray, light: int, s: Settings) -> DataF
     return docs.mapInArrow(run, "key long, cls long, nr long")
 
 
-def shared_lists(posted: DataFrame) -> DataFrame:
+def hopeless(opens: np.ndarray, nr: np.ndarray, percent: int, carried: bool) -> np.ndarray:
+    """Postings of lists of two, whole in a batch, whose sets are too different in size ever to be linked."""
+    number = np.cumsum(opens) - 1
+    size, first = np.bincount(number), np.flatnonzero(opens)
+    two = np.flatnonzero(size == 2)
+    two = two[(two < len(size) - 1) & ((two > 0) | (not carried))]
+    n, m = nr[first[two]] >> 32, nr[first[two] + 1] >> 32
+    apart = first[two][100 * np.minimum(n, m) < percent * np.maximum(n, m)]
+    out = np.zeros(len(nr), bool)
+    out[apart] = out[apart + 1] = True
+    return out
+
+
+def shared_lists(posted: DataFrame, percent: int) -> DataFrame:
     """(key, cls, nr, pivot, pivot_nr) of the postings whose list holds at least two classes; the pivot is the set that
     others are likeliest to be copies of.
 
-    A list is read as a stream: only its first posting and the one last read are held.
+    A list is read as a stream: only its first posting and the one last read are held. Lists of two sets that their
+    sizes keep apart are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,7 +264,7 @@ def shared_lists(posted: DataFrame) -> DataFrame:
             company[:-1] |= ~opens[1:]
             if held is not None and held[5]:
                 company[0] = True
-            out = company.copy()
+            out = company & ~hopeless(opens, nr, percent, held is not None)
             out[-1] = False  # waits for the next batch
             held = (key[-1], cls[-1], nr[-1], pivot[-1], pivot_nr[-1], bool(company[-1]))
             if out.any():
@@ -326,8 +339,8 @@ def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, s: Settings) ->
     return both.where(shared * (100 + s.percent) >= s.percent * (F.size("x") + F.size("y"))).select("a", "b").distinct()
 
 
-def most_found(described: DataFrame, most: int) -> pd.DataFrame:
-    """(shingle, often) of the shingles found most, as many as share a count and number ``most`` at most together."""
+def most_found(described: DataFrame, most: int) -> pa.Table:
+    """(shingle, often), rising, of the shingles found most, as many as share a count and number ``most`` at most together."""
     counted = cut(described.where("shingle is not null").groupBy("shingle").agg(F.sum("often").alias("often")))
     total, least = 0, None
     for row in counted.groupBy("often").count().orderBy(F.desc("often")).collect():
@@ -335,7 +348,7 @@ def most_found(described: DataFrame, most: int) -> pd.DataFrame:
         if total > most:
             break
         least = row["often"]
-    return counted.where(F.col("often") >= least if least is not None else F.lit(False)).toPandas()
+    return counted.where(F.col("often") >= least if least is not None else F.lit(False)).toArrow().sort_by([("often", "ascending"), ("shingle", "ascending")])
 
 
 def similarity_components(documents: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -352,10 +365,10 @@ def similarity_components(documents: DataFrame, s: Settings = Settings(), id_col
     sizes = {r["n"]: r["count"] for r in classes.groupBy("n").count().collect()}
     elements = sum(n * c for n, c in sizes.items())
     # Other sets that a posting meets: at most a few, as shingles with long lists come last.
-    scan = min(3.0, float((hot["often"].astype(float) ** 2).sum() / max(1, elements)))
+    scan = min(3.0, float((hot["often"].to_numpy().astype(float) ** 2).sum() / max(1, elements)))
     light = boundary(sizes, scan, s)
-    rising = hot.sort_values(["often", "shingle"])["shingle"].to_numpy(np.int64).copy().view(np.uint64)
-    lists = cut(shared_lists(postings(docs.where("doc_id is not null"), rising, light, s)))
+    rising = hot["shingle"].to_numpy().astype(np.int64).view(np.uint64)
+    lists = stored(shared_lists(postings(docs.where("doc_id is not null"), rising, light, s), s.percent))
     size = lambda c: F.shiftright(c, 32)
     to_pivot = lists.where((F.col("cls") != F.col("pivot")) & in_place("nr", "pivot_nr", s.percent))
     to_pivot = to_pivot.select(F.col("cls").alias("a"), F.col("pivot").alias("b"), size("nr").alias("n"), size("pivot_nr").alias("m")).distinct()
@@ -364,8 +377,9 @@ def similarity_components(documents: DataFrame, s: Settings = Settings(), id_col
     labels = cut(connected_components(found))
     # Lists that still hold several components: their pairs across components.
     labelled = lists.select("key", "cls", "nr").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    open_ = cut(labelled.join(mixed, "key", "left_semi"))
+    one_list = Window.partitionBy("key")
+    mixed = labelled.withColumns({"lo": F.min("label").over(one_list), "hi": F.max("label").over(one_list)}).where("lo <> hi")
+    open_ = stored(mixed.select("key", "cls", "nr", "label"))
     x, y = open_.withColumnsRenamed({"cls": "a", "nr": "nr_a", "label": "label_a"}), open_.withColumnsRenamed({"cls": "b", "nr": "nr_b", "label": "label_b"})
     across = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & in_place("nr_a", "nr_b", s.percent))
     across = plausible(across.select("a", "b", size("nr_a").alias("n"), size("nr_b").alias("m")).distinct(), open_, light, s.percent)
