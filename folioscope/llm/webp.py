@@ -476,6 +476,8 @@ OWN_CODES = 4096
 #: Equal samples in a row from which on a run is a back-reference.
 RUN = 8
 LONGEST = 11
+#: Text bytes that are stored and read together: some twenty arrays of eight bytes a sample stand at once.
+SLICE_BYTES = 2 << 20
 
 
 def code_lengths(counts: np.ndarray) -> np.ndarray:
@@ -665,7 +667,7 @@ def store_and_read(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE_BYTES):
             files, size = encode(batch.column("text"))
             texts = pc.fill_null(batch.column("text"), "").to_pylist()
             rows = []
