@@ -387,6 +387,27 @@ def test_recall_under_edits(spark, rate, least):
     assert sum((k, k) in found for k in range(len(items))) / len(items) >= least
 
 
+@pytest.mark.parametrize("rate", [0.15, 0.2])
+def test_recall_up_to_the_edits_allowed(spark, rate):
+    test_recall_under_edits(spark, rate, 0.9)
+
+
+def test_short_items_are_found_with_edits():
+    rng = random.Random(8)
+    items = ["".join(rng.choice("abcd é") for _ in range(rng.randint(5, 39))).strip().replace("  ", " a") for _ in range(60)]
+    texts = ["".join(rng.choice("abcd é,") for _ in range(rng.randint(0, 70))) for _ in range(60)] + [f'"{x[:3]}{x[4:]}".' for x in items] + [None, ""]
+    index = decontaminate.index(list(enumerate(items)))
+    found = decontaminate.search(pa.array(texts), index, decontaminate.Walks(index.settings))
+    for row, text in enumerate(texts):
+        for n, item in zip(index.ids, index.texts, strict=True):
+            distance = edit_brute(item, re.sub(" +", " ", text or ""))
+            assert found.get((row, n), (None,))[0] == (distance if distance <= int(0.2 * len(item)) else None)
+    assert all((60 + n, n) in found for n in range(60))
+    tiny = decontaminate.index([(1, "cat"), (2, "漢字")])
+    rows = pa.array(["a (Cat), here", "concatenate", "cat", "這漢字是", "cat" * 2])
+    assert sorted(decontaminate.search(rows, tiny, decontaminate.Walks(tiny.settings))) == [(0, 0), (2, 0), (3, 1)]
+
+
 def test_decontamination_edges(spark, edge, empty):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "one two three"), (4, "x " * 40)], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find(edge, items).collect()}
