@@ -58,6 +58,12 @@ def folded() -> np.ndarray:
     return out
 
 
+@cache
+def folded_wide(code: int) -> int:
+    """The same for a code point beyond the basic plane."""
+    return ord(chr(code).lower()) if chr(code).isalpha() else 0
+
+
 def letters(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Letter codes of all texts, two zeros after each text, and the n + 1 offsets of the texts in them."""
     data, offsets = text_bytes(column)
@@ -67,7 +73,12 @@ def letters(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     at = starts[offsets] + 2 * np.arange(len(offsets))
     out = np.zeros(len(codes) + 2 * len(column), np.uint32)
     place = np.arange(len(codes)) + 2 * np.repeat(np.arange(len(column)), np.diff(starts[offsets]))
-    out[place] = np.where(codes < 1 << 16, folded()[codes & 0xFFFF], codes)
+    found = folded()[codes & 0xFFFF]
+    wide = np.flatnonzero(codes >= 1 << 16)
+    if len(wide):
+        distinct, which = np.unique(codes[wide], return_inverse=True)
+        found[wide] = np.array([folded_wide(c) for c in distinct.tolist()], np.uint32)[which]
+    out[place] = found
     return out, at
 
 

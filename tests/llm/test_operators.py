@@ -212,6 +212,15 @@ def test_language_edges(edge, empty):
     assert sorted(r["doc_id"] or -1 for r in langid.remove_unidentified(edge, langid.fit(edge)).collect()) == [-1, 3, 3, 5, 6, 7, 8]
 
 
+def test_language_of_astral_symbols(spark, edge):
+    texts = ["😀🚀 🎉", "\U0001d7d8", "𐐀", "𠀀😀", "a😀"]
+    codes, at = langid.letters(pa.array(texts))
+    assert [codes[a:b][codes[a:b] != 0].tolist() for a, b in zip(at, at[1:])] == [[], [], [ord("𐐨")], [ord("𠀀")], [ord("a")]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(rows, langid.fit(edge)).collect()}
+    assert got[0] == got[1] == ("und", 0.0) and got[2][0] == got[3][0] == got[4][0] == "en"
+
+
 def test_folds(spark):
     rows = spark.range(50).select("id", fold_of("id", 3).alias("f")).collect()
     assert all(r["f"] == zlib.crc32(str(r["id"]).encode()) % 3 for r in rows)
