@@ -2,22 +2,26 @@
 
 A page becomes lines, one for each block of text. Pages of a host are ordered by URL path, each is paired with the
 nearer of its neighbours (the longer common beginning of the path), the two pages' lines are aligned by their
-longest common subsequence, and shared lines, which a site repeats on its pages, go. Elements that by their kind hold
-no article text go too. A shared line inside the page's article or main element stays: there a sentence that two
-articles share is content.
+longest common subsequence, and shared lines, which a site repeats on its pages, go; all others stay. Markup corrects
+this: elements that by their kind hold no article text go too, and a shared line inside the page's article or main
+element stays if few pages of the host have it: there a sentence that two articles share is content.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 from html.parser import HTMLParser
 from os.path import commonprefix
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.llm.common import cut, stored
 from folioscope.llm.urlfilter import host_of, path_of
 
 # Element names of HTML, and the words that mark an element's class, id or role as page furniture.
@@ -124,62 +128,128 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
     return shared
 
 
+def remaining(lines: list[tuple[str, bool]], shared: set[int], often: set[int]) -> str:
+    """The lines (text, lies in a main element) that are left, given which are shared and which of these many pages have."""
+    has_main = any(main for _, main in lines)
+    return "\n".join(t for k, (t, main) in enumerate(lines) if (main if has_main else k not in shared))
+
+
 def main_text(lines: list[tuple[str, bool, bool]], other: list[str] | None) -> str:
-    """The lines that are left of a page, given those of the page it is paired with."""
-    shared = common_lines([t for t, _, _ in lines], other) if other else set()
-    has_main = any(main and not furniture for _, furniture, main in lines)
-    return "\n".join(t for k, (t, furniture, main) in enumerate(lines) if not furniture and (main if has_main else k not in shared))
+    """The lines that are left of a page, given those of the page it is paired with, where no line is on many pages."""
+    own = [(t, main) for t, furniture, main in lines if not furniture]
+    return remaining(own, common_lines([t for t, _ in own], other) if other else set(), set())
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, url, text, n_chars) of every row.
+def key_of(line: str) -> int:
+    return int.from_bytes(blake2b(line.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
-    Neighbours are found in a sort by host, path and id over ranges of these, so a host of any size is spread over
-    tasks; a page at a range's edge is paired inside its range, and one without a neighbour there is left whole but for its furniture.
-    A null html is an empty page; a null URL has an empty host and path; repeated rows are rows of their own, and a
-    page is never paired with a copy of itself, whose lines would all be shared.
-    """
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def digest_of(keys: list[int]) -> bytes:
+    return blake2b(np.array(keys, np.int64).tobytes(), digest_size=16).digest()
+
+
+def many(pages: Column, have: Column) -> Column:
+    """Whether ``have`` of a host's pages are too many for a line of an article: more than 4 and more than a quarter."""
+    return (have > 4) & (4 * have > pages)
+
+
+def paired(reps: DataFrame) -> DataFrame:
+    """(host, digest, shared, often): of each line list, which positions it shares with its neighbour, and which of these many pages have.
+
+    The neighbours are those of the whole order by host and path: the first and last rows of each range, two a range,
+    are carried to the ranges beside it.
+    """
+    spark = reps.sparkSession
+    have = reps.select("host", F.explode(F.array_distinct("keys")).alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("have"))
+    sizes = reps.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    # At most four times the lines of a host's mean page.
+    often = have.where("have > 4").join(sizes, "host").where(many(F.col("pages"), F.col("have"))).groupBy("host").agg(F.collect_list("key").alias("often"))
+    ordered = cut(reps.join(often, "host", "left").repartitionByRange("host", "path", "page_id", "digest").sortWithinPartitions("host", "path", "page_id", "digest"))
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = last = None
         for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                part = batch.slice(low, 500)
-                found = [lines_of(x) for x in part.column("html").to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in ("page_id", "url", "host", "path")), pa.array([[t for t, _, _ in x] for x in found], pa.list_(pa.string())),
-                     pa.array([[f for _, f, _ in x] for x in found], pa.list_(pa.bool_())), pa.array([[m for _, _, m in x] for x in found], pa.list_(pa.bool_()))],
-                    names=["page_id", "url", "host", "path", "lines", "furniture", "main"],
-                )
+            if batch.num_rows:
+                first = first or batch.slice(0, 1).to_pylist()[0]
+                last = batch.slice(batch.num_rows - 1, 1).to_pylist()[0]
+        if first:
+            pid = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_pylist([{"pid": pid, "late": late, **{c: row[c] for c in ("host", "path", "keys")}} for late, row in ((False, first), (True, last))], edge)
+
+    edge = pa.schema([("pid", pa.int32()), ("late", pa.bool_()), ("host", pa.string()), ("path", pa.string()), ("keys", pa.list_(pa.int64()))])
+    edges = ordered.mapInArrow(ends, "pid int, late boolean, host string, path string, keys array<long>").collect()
+    carried = spark.sparkContext.broadcast(sorted(((r["pid"], r["late"], r["host"], r["path"], r["keys"]) for r in edges), key=lambda r: r[:2]))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pid = TaskContext.get().partitionId()
+        page = lambda r: {"host": r[2], "path": r[3], "keys": r[4]}
+        start = next((page(r) for r in reversed(carried.value) if r[0] < pid and r[1]), None)
+        stop = next((page(r) for r in carried.value if r[0] > pid and not r[1]), None)
+
         def neighbours() -> Iterator[tuple[dict | None, dict, dict | None]]:
-            before = now = None
+            before, now = start, None
             for batch in batches:
                 for row in batch.to_pylist():
                     if now is not None:
                         yield before, now, row
-                    before, now = now, row
+                        before = now
+                    now = row
             if now is not None:
-                yield before, now, None
+                yield before, now, stop
 
         def near(row: dict, other: dict | None) -> int:
-            return -1 if other is None or other["host"] != row["host"] or other["lines"] == row["lines"] else len(commonprefix([row["path"], other["path"]]))
+            return -1 if other is None or other["host"] != row["host"] else len(commonprefix([row["path"], other["path"]]))
 
         out: list[dict] = []
         for before, row, after in neighbours():
-            other = max((near(row, before), 1, before), (near(row, after), 0, after), key=lambda x: x[:2])
-            text = main_text(list(zip(row["lines"], row["furniture"], row["main"], strict=True)), other[2]["lines"] if other[0] >= 0 else None)
-            out.append({"page_id": row["page_id"], "url": row["url"], "text": text, "n_chars": len(text)})
+            length, _, other = max((near(row, before), 1, before), (near(row, after), 0, after), key=lambda x: x[:2])
+            shared = sorted(common_lines(row["keys"], other["keys"])) if length >= 0 else []
+            frequent = set(row["often"] or ())
+            out.append({"host": row["host"], "digest": row["digest"], "shared": shared, "often": [k for k in shared if row["keys"][k] in frequent]})
             if len(out) == 500:
                 yield pa.RecordBatch.from_pylist(out, schema)
                 out = []
         if out:
             yield pa.RecordBatch.from_pylist(out, schema)
 
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
-    lined = rows.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html").mapInArrow(
-        split, "page_id long, url string, host string, path string, lines array<string>, furniture array<boolean>, main array<boolean>"
-    )
-    ordered = lined.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
-    return ordered.mapInArrow(compare, "page_id long, url string, text string, n_chars long")
+    schema = pa.schema([("host", pa.string()), ("digest", pa.binary()), ("shared", pa.list_(pa.int32())), ("often", pa.list_(pa.int32()))])
+    return ordered.mapInArrow(compare, "host string, digest binary, shared array<int>, often array<int>")
+
+
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(page_id, url, text, n_chars) of every row.
+
+    Pages of a host with the same lines are one in the order of its pages, under the least of their paths, so that
+    copies get the same text and no page is paired with a copy of itself, whose lines would all be shared. Only
+    hashes of lines are sorted, over ranges, so a host of any size is spread over tasks. A host's only line list is
+    left whole but for its furniture. A null html is an empty page; a null URL has an empty host and path; repeated
+    rows are rows of their own.
+    """
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    rows = rows.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
+
+    def split(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 500):
+                part = batch.slice(low, 500)
+                found = [[(t, main) for t, furniture, main in lines_of(x) if not furniture] for x in part.column("html").to_pylist()]
+                keys = [[key_of(t) for t, _ in x] for x in found]
+                digest = pa.array([digest_of(k) for k in keys], pa.binary())
+                if texts:
+                    columns = [*(part.column(c) for c in ("page_id", "url", "host")), digest, pa.array([[t for t, _ in x] for x in found], pa.list_(pa.string())), pa.array([[m for _, m in x] for x in found], pa.list_(pa.bool_()))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "host", "digest", "lines", "main"])
+                else:
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("page_id", "host", "path")), digest, pa.array(keys, pa.list_(pa.int64()))], names=["page_id", "host", "path", "digest", "keys"])
+
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for lines, main, shared, often in zip(*(batch.column(c).to_pylist() for c in ("lines", "main", "shared", "often")), strict=True):
+                out.append(remaining(list(zip(lines, main, strict=True)), set(shared or ()), set(often or ())))
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    hashed = rows.drop("url").mapInArrow(lambda b: split(b, False), "page_id long, host string, path string, digest binary, keys array<long>").where(F.size("keys") > 0)
+    reps = hashed.groupBy("host", "digest").agg(F.min(F.struct("path", "page_id")).alias("least"), F.first("keys").alias("keys"))
+    reps = stored(reps.select("host", "digest", "least.path", "least.page_id", "keys"))
+    lined = rows.drop("path").mapInArrow(lambda b: split(b, True), "page_id long, url string, host string, digest binary, lines array<string>, main array<boolean>")
+    return lined.join(paired(reps), ["host", "digest"], "left").mapInArrow(left, "page_id long, url string, text string, n_chars long")

@@ -296,6 +296,21 @@ def test_html_edges(spark):
     assert got == {1: "", 2: "", 3: "unclosed x", -1: "<A&bogus;", 4: "deep"}
 
 
+@pytest.mark.parametrize("parts", ["1", "7"])
+def test_copies_are_paired_alike_in_any_partitions(spark, parts):
+    html = lambda k: f"<div>Menu</div><p>Own {k}</p>"
+    rows = [(k, f"http://h{k % 2}/{k:03d}", html(k if k < 20 or k > 40 else k % 2)) for k in range(60)] + [(99, "http://h0/021", "")]
+    old = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        got = {r["page_id"]: r["text"] for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    finally:
+        for c, value in old.items():
+            spark.conf.set(c, value)
+    assert got == {k: f"Own {k if k < 20 or k > 40 else k % 2}" for k in range(60)} | {99: ""}
+
+
 def test_url_rules(spark):
     urls = ["http://A.Example.ORG/es/1", "https://example.org/en/12", "https://example.org/en/2", "https://x.org", "http://b.com/fr/9?q#f", "http://b.com/de/", "http://notorg/", None, "no scheme", "x://com/fr/://org/es/"]
     rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
