@@ -130,8 +130,7 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
 
 def remaining(lines: list[tuple[str, bool]], shared: set[int], often: set[int]) -> str:
     """The lines (text, lies in a main element) that are left, given which are shared and which of these many pages have."""
-    has_main = any(main for _, main in lines)
-    return "\n".join(t for k, (t, main) in enumerate(lines) if (main if has_main else k not in shared))
+    return "\n".join(t for k, (t, main) in enumerate(lines) if k not in shared or main and k not in often)
 
 
 def main_text(lines: list[tuple[str, bool, bool]], other: list[str] | None) -> str:

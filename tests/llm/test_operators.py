@@ -296,6 +296,13 @@ def test_html_edges(spark):
     assert got == {1: "", 2: "", 3: "unclosed x", -1: "<A&bogus;", 4: "deep"}
 
 
+def test_differencing_decides_inside_and_outside_an_article(spark):
+    html = lambda k: f"<p>Site line</p><p>Lead {k}</p><article><p>Read on our site</p><p>Story {k}</p><p>{'Quoted' if k < 2 else f'Said {k}'}</p></article>"
+    rows = spark.createDataFrame([(k, f"http://h/{k}", html(k)) for k in range(8)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(rows).collect()}
+    assert got == {k: f"Lead {k}\nStory {k}\n{'Quoted' if k < 2 else f'Said {k}'}" for k in range(8)}
+
+
 @pytest.mark.parametrize("parts", ["1", "7"])
 def test_copies_are_paired_alike_in_any_partitions(spark, parts):
     html = lambda k: f"<div>Menu</div><p>Own {k}</p>"
