@@ -41,8 +41,6 @@ class Settings:
     bins: int = 32
     least_weight: float = 5.0
     penalty: float = 1.0
-    #: Host suffixes with statistics of their own, the most frequent ones.
-    suffixes: int = 1000
 
 
 def host_of(url: Column) -> Column:
@@ -87,7 +85,8 @@ def entropy(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return -(p * np.log2(np.where(p > 0, p, 1))).sum(1)
 
 
-def features(url: pa.Array, host: pa.Array, path: pa.Array, suffix: dict[str, tuple[float, float]]) -> np.ndarray:
+def features(url: pa.Array, host: pa.Array, path: pa.Array, narrow: np.ndarray, wide: np.ndarray) -> np.ndarray:
+    """narrow, wide: (block rate, share) of each host's suffix of one label and of two."""
     u, uo = text_bytes(url)
     h, ho = text_bytes(host)
     p, po = text_bytes(path)
@@ -97,9 +96,6 @@ def features(url: pa.Array, host: pa.Array, path: pa.Array, suffix: dict[str, tu
     longest = np.array([max(map(len, (x or "").split("/"))) for x in paths], float)
     tail = np.array([len(t) - t.rfind(".") if "." in (t := (x or "").rsplit("/", 1)[-1]) else 0 for x in paths], float)
     query = np.array([len(q) for x in urls for q in [(x or "").partition("#")[0].partition("?")[2]]], float)
-    unknown = suffix.get("", (0.5, 0.0))
-    narrow = np.array([suffix.get((x or "").rsplit(".", 1)[-1], unknown) for x in hosts]).reshape(-1, 2)
-    wide = np.array([suffix.get(".".join((x or "").rsplit(".", 2)[-2:]), unknown) for x in hosts]).reshape(-1, 2)
     one = lambda x: np.maximum(x, 1)
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return np.stack([
@@ -173,24 +169,38 @@ def boost(x: np.ndarray, y: np.ndarray, s: Settings = Settings()) -> Trees:
     return Trees(out.base, np.array(features_), np.array(cuts), np.array(values), s.depth)
 
 
-@dataclass
-class Model:
-    trees: Trees
-    suffix: dict[str, tuple[float, float]]
+SUFFIX = ("narrow_rate", "narrow_share", "wide_rate", "wide_share")
+
 
+def with_suffixes(rows: DataFrame, labelled: DataFrame) -> DataFrame:
+    """rows with the statistics, over all labelled URLs, of their hosts' suffixes; the prior and 0 where none is labelled.
 
-def fit(labelled: DataFrame, s: Settings = Settings()) -> Model:
-    """A model of rows (url, host, path, blocked): suffix statistics over all of them, trees on a bounded sample."""
+    They are joined to the distinct hosts first, so the URLs of a host meet one row.
+    """
     total, blocked = labelled.agg(F.count(F.lit(1)), F.coalesce(F.sum("blocked"), F.lit(0))).first()
     prior = (blocked + 0.5) / (total + 1)
-    suffix = {"": (prior, 0.0)}
-    for labels in (1, 2):
-        top = labelled.groupBy(suffix_of(F.col("host"), labels).alias("suffix")).agg(F.count(F.lit(1)).alias("n"), F.sum("blocked").alias("k"))
-        for r in top.orderBy(F.desc("n"), "suffix").limit(s.suffixes).collect():
-            suffix[r["suffix"]] = ((r["k"] + 10 * prior) / (r["n"] + 10), r["n"] / total)
-    sample = labelled.orderBy(F.xxhash64(F.lit("fit"), "url"), "url").limit(s.fit_rows).toPandas()
-    columns = [pa.array(sample[c], pa.string()) for c in ("url", "host", "path")]
-    return Model(boost(features(*columns, suffix), sample["blocked"].to_numpy(float), s), suffix)
+    hosts = rows.select("host").distinct()
+    by_host = labelled.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("blocked").alias("k"))
+    for labels, name in ((1, "narrow"), (2, "wide")):
+        known = by_host.groupBy(suffix_of(F.col("host"), labels).alias("suffix")).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+        rate, share = (F.col("k") + F.lit(10 * prior)) / (F.col("n") + 10), F.col("n") / F.lit(total)
+        known = known.where("suffix <> ''").select("suffix", rate.alias(f"{name}_rate"), share.alias(f"{name}_share"))
+        hosts = hosts.withColumn("suffix", suffix_of(F.col("host"), labels)).join(known, "suffix", "left").drop("suffix")
+    hosts = hosts.select("host", *(F.coalesce(c, F.lit(prior if c.endswith("rate") else 0.0)).alias(c) for c in SUFFIX))
+    return rows.join(hosts, "host", "left")
+
+
+def features_of(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
+    text = [pa.array(batch.column(c).to_pylist(), pa.string()) for c in ("url", "host", "path")]
+    numbers = np.stack([np.asarray(batch.column(c), float) for c in SUFFIX], 1)
+    return features(*text, numbers[:, :2], numbers[:, 2:])
+
+
+def fit(labelled: DataFrame, s: Settings = Settings()) -> Trees:
+    """Trees over rows (url, host, path, blocked), on a bounded sample; suffix statistics are those of all rows."""
+    sample = labelled.orderBy(F.xxhash64(F.lit("fit"), "url"), "url").limit(s.fit_rows)
+    found = with_suffixes(sample, labelled).orderBy(F.xxhash64(F.lit("fit"), "url"), "url").toArrow()
+    return boost(features_of(found), np.asarray(found["blocked"], float), s)
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule], s: Settings = Settings(), id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -208,10 +218,9 @@ def judge(pages: DataFrame, rules: Sequence[Rule], s: Settings = Settings(), id_
     shipped = pages.sparkSession.sparkContext.broadcast(fit(labelled, s))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shipped.value
         for batch in batches:
-            p = model.trees.probability(features(batch.column("url"), batch.column("host"), batch.column("path"), model.suffix))
+            p = shipped.value.probability(features_of(batch))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "host", "path", "rule", "ruled")), pa.array(p)], names=["page_id", "host", "path", "rule", "ruled", "score"])
 
-    scored = rows.mapInArrow(run, "page_id long, host string, path string, rule string, ruled string, score double")
+    scored = with_suffixes(rows, labelled).mapInArrow(run, "page_id long, host string, path string, rule string, ruled string, score double")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("score") > 0.5, BLOCK).otherwise(ALLOW)).alias("verdict"), "score")

@@ -330,6 +330,16 @@ def test_url_rules(spark):
     assert urlfilter.judge(rows.limit(0), entries.RULES).count() == 0
 
 
+def test_every_suffix_keeps_its_statistics(spark):
+    hosts = [f"a.d{k:04d}.net" for k in range(1500)]
+    rows = spark.createDataFrame([(f"http://{h}/", h, "/", k % 2) for k, h in enumerate(hosts) for _ in range(1 + (k < 1200))], "url string, host string, path string, blocked int")
+    got = {r["host"]: r for r in urlfilter.with_suffixes(rows.select("host").union(spark.createDataFrame([("new.org",), ("",)], "host string")).distinct(), rows).collect()}
+    prior = (1350 + 0.5) / 2701
+    assert len(got) == 1502 and all(got[h]["wide_share"] == pytest.approx((1 + (k < 1200)) / 2700) for k, h in enumerate(hosts))
+    assert got[hosts[1499]]["wide_rate"] == pytest.approx((1 + 10 * prior) / 11) and got[hosts[0]]["narrow_share"] == 1
+    assert got["new.org"]["wide_rate"] == got[""]["wide_rate"] == pytest.approx(prior) and got["new.org"]["wide_share"] == 0
+
+
 def test_boosting_learns_and_generalises():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(4000, 6))
