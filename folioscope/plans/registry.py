@@ -558,7 +558,7 @@ def manifest_hash(s, d):
 @query("""WITH RECURSIVE r AS (SELECT 'r' || CAST(o_orderkey AS VARCHAR) AS id, 'r' || CAST(o_orderkey - 1 AS VARCHAR) AS parent FROM orders WHERE o_orderkey <= 40),
     c AS (SELECT id, parent, 0 AS hop FROM r WHERE id = 'r40' UNION ALL SELECT r.id, r.parent, hop + 1 FROM c JOIN r ON r.id = c.parent) SELECT id AS release_id, min(hop) AS hop FROM c GROUP BY id""")
 def release_chain(s, d):
-    rows = vault.read_table(s, d, "orders").where("o_orderkey <= 40")
+    rows = vault.read_table(s, d, "orders")
     name = lambda k: F.concat(F.lit("r"), (F.col("o_orderkey") - k).cast("string"))
     return release.release_chain(rows.select(name(0).alias("release_id"), name(1).alias("parent_id")), "r40")
 

@@ -42,3 +42,8 @@ def test_flagship(spark):
 
 def test_every_twin_has_a_query():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_release_chain_reads_all_orders(spark):
+    plan = registry.QUERIES["release_chain"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert "<= 40" not in plan
