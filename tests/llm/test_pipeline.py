@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from test_operators import brute_components
+from test_corpus_operators import brute_components
 
 import corpus_pipeline
 
