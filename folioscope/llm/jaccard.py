@@ -37,7 +37,7 @@ class Settings:
     #: Shingles found in so many different sets among ``window`` shingles read in a row are counted; the ``frequent`` most found come last.
     often: int = 2
     frequent: int = 400_000
-    window: int = 1 << 22
+    window: int = 1 << 21
     #: Shingles that a task counts at once, the most frequent ones.
     counted: int = 1 << 20
 

@@ -44,6 +44,14 @@ class Model:
     weights: np.ndarray = field(repr=False)  # buckets x languages
     bias: np.ndarray = field(default_factory=lambda: np.zeros(0))
     temperature: float = 1.0
+    _table: np.ndarray | None = field(default=None, repr=False, compare=False)
+
+    def table(self) -> np.ndarray:
+        """What an n-gram of each bucket adds to the scores; the last row is for n-grams that don't count."""
+        if self._table is None:
+            table = (self.settings.scale * self.idf[:, None] * self.weights).astype(np.float32)
+            self._table = np.vstack([table, np.zeros((1, table.shape[1]), np.float32)])
+        return self._table
 
 
 @cache
@@ -218,8 +226,7 @@ def score(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     codes, at = letters(column)
     sums = np.zeros((len(column), len(model.languages)))
     totals = np.zeros(len(column))
-    table = (s.scale * model.idf[:, None] * model.weights).astype(np.float32)
-    table = np.vstack([table, np.zeros((1, table.shape[1]), np.float32)])  # the last row is for n-grams that don't count
+    table = model.table()
     for size in SIZES:
         b, held = grams(codes, size, s.buckets)
         held = np.pad(held, (0, len(codes) - len(held)))
