@@ -247,6 +247,24 @@ def test_shards_are_even_gapless_and_keep_copies_together(spark):
     assert (groups["nunique"] == groups["max"] - groups["min"] + 1).all()
 
 
+@pytest.mark.parametrize("rows", [
+    [(k if k % 2 else (1 << 63) - 1 - k, "same text") for k in range(20)] + [(-(1 << 63) + k, "same text") for k in range(20)],
+    [(7, "repeated")] * 400 + [(k, f"t{k}") for k in range(100)],
+    [(None, "repeated")] * 300 + [(None, None)] * 100,
+])
+def test_shards_split_any_ids_and_repeated_rows(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.histogram_shards(docs, 4).toPandas()
+    sums = got.groupby("shard")["size"].sum()
+    assert len(got) == len(rows) and len(sums) == 4 and sums.max() - sums.min() <= 2 * got["size"].max()
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+    # Brute force: shards follow the order of (hash, id), cut where the bytes before a row reach a share.
+    text = F.coalesce("text", F.lit(""))
+    order = docs.select(F.shiftrightunsigned(F.xxhash64(text), 2).alias("h"), F.coalesce("doc_id", F.lit(0)).alias("k"), (F.length(text) + 1).alias("n")).toPandas().sort_values(["h", "k"])
+    ideal = ((order.n.cumsum() - order.n) * 4 / order.n.sum()).astype(int).value_counts()
+    assert all(abs(ideal.get(k, 0) - n) <= 2 for k, n in got["shard"].value_counts().items())
+
+
 def test_shard_edges(edge, empty):
     got = sharding.histogram_shards(edge).toPandas()
     assert len(got) == len(EDGE) and got[got.doc_id == 1]["size"].item() == 1 and got[got.doc_id == 1].text_crc32.item() == 0
