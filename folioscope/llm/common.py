@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,12 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where the session names none."""
+    """The folder of spark.checkpoint.dir; where the session names none, a temporary one in local mode and an error elsewhere."""
     sc = spark.sparkContext
     known = sc._jsc.sc().getCheckpointDir()
     named = spark.conf.get("spark.checkpoint.dir", None)
     if known.isDefined():
         return named or known.get()
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     folder = named or tempfile.mkdtemp(prefix="folioscope-")
     sc.setCheckpointDir(folder)
     return folder
@@ -45,6 +48,19 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(folder)
 
 
+def joined_by_count(rows: DataFrame, keyed: DataFrame, key: str, count: str = "n", parts: int = 1000) -> DataFrame:
+    """rows joined with keyed, which has a row for each key and in ``count`` how many of rows hold it.
+
+    Keys of more than 1 / parts of the counted rows, fewer than ``parts`` of them, are broadcast; so no task of the
+    other join, by shuffle, gets more than that of one key.
+    """
+    keyed = cut(keyed)
+    total = keyed.agg(F.sum(count)).first()[0] or 0
+    hot = keyed.where(F.col(count) * parts > total).drop(count)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(keyed.where(F.col(count) * parts <= total).drop(count), key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that none holds much more than limit bytes of text (one long text stands alone)."""
     for batch in batches:

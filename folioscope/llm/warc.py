@@ -16,6 +16,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.llm.common import cut, joined_by_count
+
 #: An archive is closed once it has grown to so many bytes.
 ARCHIVE_BYTES = 8 << 20
 #: Bytes handed to the decompressor at once.
@@ -124,12 +126,13 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """Rows for write_archives: of equal payloads of at least ``least`` bytes, that with the largest id is the response.
 
     A null html is an empty payload; a null id is always a response; rows repeated with one id are all responses if
-    that id is the largest. Payloads are compared by SHA-1 and length, counted before anything is joined, and the
-    join that carries the html is on the id, so a payload that many pages share makes no hot task.
+    that id is the largest. Payloads are compared by SHA-1 and counted before anything is joined; digests that many
+    pages share are broadcast to their pages, and the join that carries the html is on the id as well, so such a
+    payload makes no hot task.
     """
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha1(payload).alias("payload_digest"))
-    sized = rows.where(F.octet_length("payload") >= least).select("page_id", "payload_digest")
-    shared = sized.groupBy("payload_digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    revisits = sized.join(shared, "payload_digest").where("page_id < refers_to").distinct()
+    sized = cut(rows.where(F.octet_length("payload") >= least).select("page_id", "payload_digest"))
+    shared = sized.groupBy("payload_digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    revisits = joined_by_count(sized, shared, "payload_digest").where("page_id < refers_to").distinct()
     return rows.join(revisits, ["page_id", "payload_digest"], "left")
