@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import cut, mix, slices, stored, text_bytes
+from folioscope.llm.common import cut, joined_by_count, mix, slices, stored, text_bytes
 from folioscope.llm.components import connected_components
 
 
@@ -386,9 +386,9 @@ def similarity_components(documents: DataFrame, s: Settings = Settings(), id_col
     across = across.join(to_pivot.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     links = cut(found.unionByName(verified(docs, classes, across, s)))
     labels = connected_components(links).withColumnRenamed("node", "cls")
-    placed = classes.join(labels, "cls", "left").select("cls", "doc_id", F.coalesce("label", "cls").alias("label"))
-    roots = placed.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    of_class = placed.join(roots, "label").select("cls", "component_id")
+    placed = cut(classes.join(labels, "cls", "left").select("cls", "doc_id", F.coalesce("label", "cls").alias("label")))
+    roots = placed.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    of_class = joined_by_count(placed.select("cls", "label"), roots, "label").select("cls", "component_id")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
     return rows.join(of_class, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), component)
 
