@@ -179,8 +179,9 @@ def train(x: np.ndarray, bags: np.ndarray, y: np.ndarray, s: Settings = Settings
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """A model of the labels of docs. Labels other than 0 and 1, or null, are passed over; so are texts of no passage.
 
-    The labelled documents that are learned from are at most 2 x fit_rows of each class, drawn by a hash of their ids;
-    only their ids are broadcast, and only their passages' features reach the driver.
+    The labelled documents that are learned from are at most fit_rows of each class, drawn by a hash of their ids; an
+    id that occurs several times is learned once, with its least text. Only the ids are broadcast, and only the
+    features of these documents' passages reach the driver.
     """
     s = settings
     draw = F.xxhash64(F.lit("fit"), F.col(id_col).cast("string"))
@@ -190,6 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_
         part = known.where(F.col("label") == k).orderBy("draw", "doc_id").limit(s.fit_rows)
         chosen = part if chosen is None else chosen.unionByName(part)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen.select("doc_id", "label").distinct()), "doc_id")
+    rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
