@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.sources.shared import cut
+
 # Sizes in characters, and the headings that name a page or a slide.
 TARGET = 1200
 OVERLAP = 150
@@ -87,31 +93,161 @@ def chunk_documents(docs: DataFrame, id_col: str = "document_id", text_col: str
 
 
 def fragments(text: Column, size: int = 6000) -> Column:
-    """Consecutive slices of ``size`` characters, without overlap; none for an empty text."""
-    starts = F.when(F.char_length(text) > 0, F.sequence(F.lit(0), F.floor((F.char_length(text) - 1) / size).cast("int"))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda k: F.substring(text, k * size + 1, F.lit(size)))
+    """Consecutive slices of at most ``size`` UTF-8 bytes that end between characters, without overlap; none for an empty text."""
+    data = text.cast("binary")
+    inside = lambda at: F.hex(F.substring(data, at + 1, F.lit(1))).between("80", "BF")
+
+    def step(acc: Column, _: Column) -> Column:
+        begin = acc["at"]
+        end = begin + size
+        for _back in range(3):
+            end = F.when((end < F.octet_length(data)) & inside(end), end - 1).otherwise(end)
+        piece = F.decode(F.substring(data, begin + 1, end - begin), "UTF-8")
+        more = begin < F.octet_length(data)
+        return F.struct(F.when(more, end).otherwise(begin).alias("at"), F.when(more, F.concat(acc["out"], F.array(piece))).otherwise(acc["out"]).alias("out"))
+
+    rounds = F.sequence(F.lit(0), F.floor(F.octet_length(data) / max(1, size - 3)).cast("int"))
+    cut = F.aggregate(rounds, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step)["out"]
+    ascii_ = F.transform(F.sequence(F.lit(0), F.floor((F.char_length(text) - 1) / size).cast("int")), lambda k: F.substring(text, k * size + 1, F.lit(size)))
+    plain = F.char_length(text) == F.octet_length(text)
+    return F.when(F.char_length(text) == 0, F.array().cast("array<string>")).when(plain, ascii_).otherwise(cut)
 
 
-def volumes(items: DataFrame, group: list[str], order: str, size: str, most: int = 48_000) -> DataFrame:
-    """items with the number of the volume that each falls into: a new one opens when the next item would not fit.
+@dataclass
+class Run:
+    """A stretch of one group's items in order, and where volumes that open at each of them would end."""
+
+    sizes: np.ndarray
+    most: int
+
+    def __post_init__(self) -> None:
+        s = self.sizes
+        n = len(s)
+        self.sums = np.concatenate([[0], np.cumsum(s)])
+        filled = np.flatnonzero(s > 0)
+        full = np.append(filled, n)[np.searchsorted(filled, np.arange(n))]  # the first item from each on that has a size
+        after = np.searchsorted(self.sums[1:], self.sums[:-1] + self.most, side="right")
+        self.next = np.minimum(np.maximum(after, full + 1), n)
+
+    def first_break(self, filled: int) -> int:
+        """The first item that doesn't fit a volume that holds ``filled`` already; the number of items if all do."""
+        if not filled:
+            return int(self.next[0]) if len(self.sizes) else 0
+        return int(np.searchsorted(self.sums[1:], self.most - filled, side="right"))
+
+    def breaks(self, filled: int) -> np.ndarray:
+        """Which items open a volume."""
+        out = np.zeros(len(self.sizes), np.int64)
+        at = self.first_break(filled)
+        while at < len(out):
+            out[at] = 1
+            at = int(self.next[at])
+        return out
+
+    def ends(self) -> list[tuple[int, int]]:
+        """For each first break among the items that a volume could hold: (bytes in the last volume, volumes opened)."""
+        n = len(self.sizes)
+        filled, opened = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+        for i in range(n - 1, -1, -1):
+            k = int(self.next[i])
+            filled[i], opened[i] = (filled[k], opened[k] + 1) if k < n else (self.sums[n] - self.sums[i], 1)
+        last = min(n, int(self.next[0])) if n else 0
+        return list(zip(filled[: last + 1].tolist(), opened[: last + 1].tolist(), strict=True))
+
+
+def group_runs(batches: Iterator[pa.RecordBatch], group: list[str], size: str) -> Iterator[tuple[tuple, pa.Table]]:
+    """The rows of sorted batches, a table for each group."""
+    held, key = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(c).to_pylist() for c in group]
+        keys = list(zip(*columns, strict=True)) if group else [()] * batch.num_rows
+        edges = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+        for low, high in zip(edges, edges[1:], strict=False):
+            if held and keys[low] != key:
+                yield key, pa.Table.from_batches(held)
+                held = []
+            key = keys[low]
+            held.append(batch.slice(low, high - low))
+    if held:
+        yield key, pa.Table.from_batches(held)
 
-    The greedy rule carries state along a group's order, so a group is folded by one aggregate over its sorted
-    (order, size) pairs; the items themselves are not gathered.
-    """
-    pair = F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s"))
-    zero = F.struct(F.lit(0).cast("long").alias("filled"), F.lit(0).alias("volume"), F.array().cast("array<int>").alias("volumes"))
 
-    def step(acc: Column, x: Column) -> Column:
-        over = (acc["filled"] > 0) & (acc["filled"] + x["s"] > most)
-        volume = F.when(over, acc["volume"] + 1).otherwise(acc["volume"])
-        return F.struct(F.when(over, x["s"]).otherwise(acc["filled"] + x["s"]).alias("filled"), volume.alias("volume"), F.concat(acc["volumes"], F.array(volume)).alias("volumes"))
+def volumes(items: DataFrame, group: list[str], order: str, size: str, most: int = 48_000) -> DataFrame:
+    """(group, order, size, volume) of items: a new volume opens when the next item would not fit one that holds something.
 
-    placed = items.groupBy(*group).agg(F.array_sort(F.collect_list(pair)).alias("pairs")).withColumn("volumes", F.aggregate("pairs", zero, step)["volumes"])
-    rows = placed.select(*group, F.posexplode("pairs").alias("at", "pair"), "volumes")
-    return rows.select(*group, F.col("pair.o").alias(order), F.col("pair.s").alias(size), F.element_at("volumes", F.col("at") + 1).alias("volume"))
+    The greedy rule carries state along a group's order. Items are sorted into ranges; each range tells for every
+    state in which it could be entered how it would be left, which is a list no longer than a volume's items; these
+    are followed from range to range, and a second pass numbers the volumes. So a group of any size is spread over
+    tasks. Only sizes and keys are moved.
+    """
+    rows = items.select(*group, order, F.coalesce(F.col(size).cast("long"), F.lit(0).cast("long")).alias(size))
+    ordered = cut(rows.repartitionByRange(*group, order).sortWithinPartitions(*group, order))
+    kinds = dict(ordered.dtypes)
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pid, first, ends, single, last, tail = TaskContext.get().partitionId(), None, None, True, None, (0, 0)
+        for key, table in group_runs(batches, group, size):
+            run = Run(table.column(size).to_numpy(), most)
+            if first is None:
+                first, ends, sums = key, run.ends(), run.sums[1 : len(run.ends()) + 1].tolist()
+            else:
+                single, opened = False, run.breaks(0)
+                at = int(np.flatnonzero(opened)[-1]) if opened.any() else 0
+                tail = (int(run.sizes[at:].sum()), int(opened.sum()))
+            last = key
+            total = int(run.sizes.sum())
+        if first is not None:
+            whole = [] if not single else [total]
+            yield pa.RecordBatch.from_pydict({"pid": pa.array([pid], pa.int32()), "said": [pickle.dumps((first, last, single, sums, ends, whole, tail))]})
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filled, volume, open_key = entered.value.get(TaskContext.get().partitionId(), (0, 0, None))
+        for key, table in group_runs(batches, group, size):
+            start, base = (filled, volume) if key == open_key else (0, 0)
+            run = Run(table.column(size).to_numpy(), most)
+            numbers = base + np.cumsum(run.breaks(start))
+            yield from table.append_column("volume", pa.array(numbers, pa.int32())).to_batches()
+
+    said = sorted((r["pid"], pickle.loads(r["said"])) for r in ordered.mapInArrow(describe, "pid int, said binary").collect())
+    entries, state = {}, (0, 0, None)
+    for pid, (first, last, single, sums, ends, whole, tail) in said:
+        filled, volume, key = state if state[2] == first else (0, 0, first)
+        entries[pid] = (filled, volume, key)
+        if not single:
+            state = (*tail, last)
+            continue
+        at = bisect.bisect_right(sums, most - filled) if filled else len(ends) - 1
+        if filled and at < len(ends) and at < len(sums):
+            left, opened = ends[at]
+            state = (left, volume + opened, last)
+        elif not filled and ends[-1][1]:
+            left, opened = ends[-1]
+            state = (left, volume + opened, last)
+        else:
+            state = (filled + whole[0], volume, last)
+    entered = items.sparkSession.sparkContext.broadcast(entries)
+    return ordered.mapInArrow(number, ", ".join(f"`{c}` {kinds[c]}" for c in (*group, order, size)) + ", volume int")
+
+
+def running_budget(items: DataFrame, group: list[str], order: list[str], size: str, most: int) -> DataFrame:
+    """The items before the first that overflows the budget, in order, with what is used up to each.
+
+    What follows an overflow is out too. So each range of the order first drops what alone overflows it, and the
+    running sum is over what is left: a budget's worth of items from each range at most.
+    """
+    ordered = items.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)
 
+    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, used = None, 0
+        for batch in batches:
+            sizes, keys = batch.column(size).to_numpy(), list(zip(*(batch.column(c).to_pylist() for c in group), strict=True)) if group else [()] * batch.num_rows
+            keep = np.zeros(len(sizes), bool)
+            for i, own in enumerate(keys):
+                key, used = own, (used if own == key else 0) + int(sizes[i])
+                keep[i] = used <= most
+            yield batch.filter(pa.array(keep))
 
-def running_budget(items: DataFrame, group: list[str], order: list[Column], size: Column, most: int) -> DataFrame:
-    """The items before the first that overflows the budget, in order: a running sum, since what follows an overflow is out too."""
     window = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return items.withColumn("used", F.sum(size).over(window)).where(F.col("used") <= most)
+    return ordered.mapInArrow(drop, items.schema).withColumn("used", F.sum(size).over(window)).where(F.col("used") <= most)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The stop words (Italian and English) that tokens leave out.
 STOP_WORDS = (
@@ -15,6 +18,23 @@ STOP_WORDS = (
 ).split()
 
 
+# The Italian stop words of the overlap and diversity checks.
+WORD_STOPS = (
+    "il lo la i gli le un uno una del dello della dei degli delle al allo alla ai agli alle dal dallo dalla dai dagli dalle nel nello nella nei negli nelle col coi sul sullo "
+    "sulla sui sugli sulle di a da in con su per tra fra e ed o od ma se che chi cui non piu meno come dove quando quale quali quanto quanti quanta quante questo questa questi "
+    "queste quello quella quelli quelle suo sua suoi sue loro nostro nostra nostri nostre vostro vostra vostri vostre mio mia miei mie tuo tua tuoi tue anche gia cosi solo "
+    "tutto tutti tutta tutte molto molti molta molte poco pochi poca poche essere stato stati stata state sono sei era erano sara sarebbe sia siano fare fatto fatta fatti "
+    "fatte fa fanno faceva avere ho hai ha abbiamo avete hanno aveva avevano ad ci vi ne si mi ti li ogni alcuni alcune alcuno alcuna senza dopo prima sopra sotto dentro fuori "
+    "verso contro mediante durante"
+).split()
+
+# The folders of a vault.
+FOLDERS = (
+    "00_SYSTEM 01_CLIENTS 02_PROJECTS 03_BRANDS 04_POSITIONING 05_PACKAGING_KNOWLEDGE 06_METHODS 07_CASE_STUDIES 08_MARKET_RESEARCH 09_COMPETITORS 10_APPROVED_OUTPUTS 20_RAW_SOURCES "
+    "80_AI_OUTPUTS 90_PROPOSALS 99_ARCHIVE"
+).split()
+
+
 def accent_map() -> tuple[str, str]:
     """The Latin letters that lose marks of U+0300 to U+036F under NFD, and what is left of each."""
     marked, plain = [], []
@@ -63,10 +83,11 @@ def contains_whole_words(text: Column, needle: Column) -> Column:
 def snippet(text: Column, terms: list[str], size: int = 180) -> Column:
     """A window of the stripped text around the first term (in the given order) that occurs, with ... where it is cut."""
     plain = strip_markdown(text)
-    folded = fold(plain)
+    # Marks stay here, so that places are those of the text shown; a term's letters may have some after them.
+    folded = F.lower(F.translate(plain, MARKED, PLAIN))
     at = F.lit(0)
     for term in reversed(terms):
-        place = F.locate(term, folded)
+        place = F.regexp_instr(folded, F.lit("[\\u0300-\\u036F]*".join(re.escape(c) for c in term)))
         at = F.when(place > 0, place - 1).otherwise(at)
     n = F.char_length(plain)
     start = F.greatest(F.lit(0), at - size // 2)
@@ -96,7 +117,7 @@ def embedding_text(title: Column, category: Column, locator: Column, passage: Co
 
 def redact(text: Column) -> Column:
     """Keys and bearer tokens replaced; ``token = "hex"`` is an extension for plain assignments."""
-    for pattern, put in (("sk-[A-Za-z0-9_-]{12,}", "[REDACTED_API_KEY]"), ("(?i)bearer [A-Za-z0-9._-]+", "Bearer [REDACTED]"), ('token = "[0-9a-f]{16,}"', 'token = "[REDACTED]"')):
+    for pattern, put in (("sk-[A-Za-z0-9_-]{12,}", "[REDACTED_API_KEY]"), ("(?i)Bearer\\s+[A-Za-z0-9._-]+", "Bearer [REDACTED_TOKEN]"), ('token = "[0-9a-f]{16,}"', 'token = "[REDACTED]"')):
         text = F.regexp_replace(text, pattern, put)
     return text
 
@@ -105,10 +126,44 @@ def slug(name: Column) -> Column:
     return F.substring(F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "_"), "^_+|_+$", ""), 1, 30)
 
 
-def word_set(text: Column) -> Column:
-    """Distinct words for diversity checks: folded ASCII words of at least three characters that aren't numbers or stop words."""
+def content_words(text: Column) -> Column:
+    """Distinct words of an overlap check: folded ASCII words of at least three characters that aren't stop words."""
     words = F.split(F.regexp_replace(fold(text), "[^a-z0-9\\s]", " "), "\\s+")
-    return F.array_distinct(F.filter(words, lambda w: (F.char_length(w) >= 3) & ~w.rlike("^[0-9]+$") & ~w.isin(STOP_WORDS)))
+    return F.array_distinct(F.filter(words, lambda w: (F.char_length(w) >= 3) & ~w.isin(WORD_STOPS)))
+
+
+def word_set(text: Column) -> Column:
+    """Distinct words of a diversity check: content words that aren't numbers."""
+    return F.filter(content_words(text), lambda w: ~w.rlike("^[0-9]+$"))
+
+
+def is_sync_path(path: Column) -> Column:
+    """What a release may hold: under 1024 bytes, at most 32 parts, none empty or hidden; no backslash or NUL."""
+    parts = F.split(path, "/")
+    clean = F.forall(parts, lambda p: (p != "") & ~p.startswith("."))
+    return (F.octet_length(path) < 1024) & (F.size(parts) <= 32) & clean & ~F.contains(path, F.lit("\\")) & ~F.contains(path, F.lit("\0"))
+
+
+def is_note_path(path: Column) -> Column:
+    """A safe path under one of the vault's folders."""
+    return is_safe_path(path) & F.substring_index(path, "/", 1).isin(*FOLDERS)
+
+
+def rfc3339(millis: Column) -> Column:
+    """A time in milliseconds since 1970 as text, in UTC."""
+    whole = F.timestamp_seconds(F.floor(millis / 1000))
+    utc = F.date_format(F.to_utc_timestamp(whole, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss")
+    return F.concat(utc, F.lit("."), F.lpad(F.pmod(millis, F.lit(1000)).cast("string"), 3, "0"), F.lit("Z"))
+
+
+@F.pandas_udf(StringType())
+def composed(text: pd.Series) -> pd.Series:
+    return text.map(lambda x: x if x is None else unicodedata.normalize("NFC", x))
+
+
+def collision_key(path: Column) -> Column:
+    """Composed (NFC) and lower-cased; only paths beyond ASCII leave the JVM."""
+    return F.lower(F.when(path.rlike("[^\\x00-\\x7F]"), composed(path)).otherwise(path))
 
 
 def is_safe_path(path: Column) -> Column:

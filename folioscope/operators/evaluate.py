@@ -16,6 +16,32 @@ def recall(hits: DataFrame, relevant: DataFrame, queries: DataFrame) -> DataFram
     return out.withColumn("recall", F.round(F.when(F.col("relevant") > 0, F.col("found") / F.col("relevant")).otherwise(1.0), 4))
 
 
+def recall_by_path(hits: DataFrame, relevant: DataFrame) -> DataFrame:
+    """(query_id, relevant, found): of rows (query_id, target), how many a hit (query_id, id, path) has as its id or in its path."""
+    matched = hits.join(relevant, "query_id").where((F.col("id") == F.col("target")) | F.contains("path", F.col("target")))
+    found = matched.groupBy("query_id").agg(F.count_distinct("target").alias("found"))
+    total = relevant.groupBy("query_id").agg(F.count_distinct("target").alias("relevant"))
+    return total.join(found, "query_id", "left").fillna(0, ["found"])
+
+
+def containing(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(query_id, doc_id) of documents (doc_id, text) that hold the text of an item (query_id, text).
+
+    Three pieces between spaces inside an item are looked up among those of the documents by their hash; what is
+    found is verified. Items of fewer than five pieces are compared with every document.
+    """
+    pieces = F.split("text", " ")
+    asked = items.select("query_id", F.col("text").alias("item"), pieces.alias("p"))
+    long = asked.where(F.size("p") >= 5).select("query_id", "item", F.xxhash64(F.array_join(F.slice("p", 2, 3), " ")).alias("key"))
+    grams = docs.select("doc_id", pieces.alias("p")).where(F.size("p") >= 3)
+    keys = grams.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("p") - 2), lambda k: F.xxhash64(F.array_join(F.slice("p", k, 3), " ")))).alias("key"))
+    candidates = keys.join(long.select("query_id", "key"), "key").select("query_id", "doc_id").distinct()
+    verified = docs.select("doc_id", "text").join(candidates, "doc_id").join(long.select("query_id", "item"), "query_id").where(F.contains("text", F.col("item")))
+    short = asked.where(F.size("p") < 5).select("query_id", "item")
+    rest = docs.select("doc_id", "text").join(short, F.contains("text", F.col("item")))
+    return verified.select("query_id", "doc_id").unionByName(rest.select("query_id", "doc_id"))
+
+
 def first_hits(hits: DataFrame, relevant: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, first_rank, hit1, hit10): the rank of the first relevant hit, null without one."""
     ranks = hits.join(relevant, ["query_id", "doc_id"], "left_semi").groupBy("query_id").agg(F.min("rank").alias("first_rank"))
@@ -29,6 +55,45 @@ def ties_at_top(hits: DataFrame) -> DataFrame:
     return hits.join(best, "query_id").groupBy("query_id").agg(F.count_if(F.abs(F.col("score") - F.col("top")) < 1e-4).alias("tied"))
 
 
+def tie_statistics(hits: DataFrame, relevant: DataFrame, queries: DataFrame) -> DataFrame:
+    """One row: queries, hits at 1 (apparent precision), queries tied at 1, hits at 1 without a tie (net precision), the largest tie."""
+    first = first_hits(hits, relevant, queries).select("query_id", "hit1")
+    joined = first.join(ties_at_top(hits), "query_id", "left").fillna(0, ["tied"])
+    strict = (F.col("hit1") == 1) & (F.col("tied") < 2)
+    return joined.agg(
+        F.count(F.lit(1)).alias("queries"), F.sum("hit1").alias("hits_at_1"), F.count_if(F.col("tied") >= 2).alias("ties_at_1"), F.count_if(strict).alias("strict_hits_at_1"),
+        F.max(F.when(F.col("tied") >= 2, F.col("tied")).otherwise(1)).alias("largest_tie"),
+    )
+
+
+def repeated_rows(hits: DataFrame, by: str, what: str) -> DataFrame:
+    """(by, repeated): how many of a query's rows repeat another's value."""
+    return hits.groupBy(by).agg((F.count(F.lit(1)) - F.count_distinct(what)).alias("repeated"))
+
+
+def diversity(items: DataFrame, identifier: str, text: str, most: float = 0.3) -> DataFrame:
+    """One row over all pairs of items: their number, mean and greatest Jaccard, and how many are over ``most``.
+
+    Pairs that share no word count as 0 and are never formed.
+    """
+    n = items.agg(F.count(F.lit(1)).alias("n"))
+    shared = jaccard_pairs(items, identifier, text).agg(F.coalesce(F.sum("jaccard"), F.lit(0.0)).alias("total"), F.coalesce(F.max("jaccard"), F.lit(0.0)).alias("greatest"), F.count_if(F.col("jaccard") > most).alias("violations"))
+    pairs = F.expr("n * (n - 1) div 2")
+    return n.crossJoin(shared).select(pairs.alias("pairs"), F.round(F.when(pairs > 0, F.col("total") / pairs).otherwise(0.0), 4).alias("mean"), "greatest", "violations")
+
+
+def winner(recalls: DataFrame) -> DataFrame:
+    """The configuration (config, kind, k, recall) to take: a lone f1 at the top, else f2 with k = 0.3, 0.2 or the least k, else f3."""
+    best = recalls.agg(F.max("recall").alias("best"))
+    top = recalls.crossJoin(F.broadcast(best)).where("abs(recall - best) < 1e-6")
+    alone = top.agg((F.count(F.lit(1)) == 1).alias("alone"))
+    order = (
+        F.when((F.col("kind") == "f1") & F.col("alone"), 0).when(F.col("kind") == "f2", F.when(F.col("k") == 0.3, 1).when(F.col("k") == 0.2, 2).otherwise(3))
+        .when(F.col("kind") == "f3", 4).otherwise(5)
+    )
+    return top.crossJoin(F.broadcast(alone)).orderBy(order, "k", "config").limit(1).select("config", "recall")
+
+
 def percentiles(values: DataFrame, column: str, by: list[str]) -> DataFrame:
     """Linear-interpolated percentiles with least, greatest and mean."""
     x = F.col(column).cast("double")
@@ -49,6 +114,11 @@ def gate(value: Column, least: float, count: Column, least_count: int) -> Column
     return F.when((value >= least) & (count >= least_count), "PASS").otherwise("FAIL")
 
 
+def latency_gate(p95: Column, documents: Column, passages: Column) -> Column:
+    """Answers within a second, over enough documents and passages to mean something."""
+    return F.when((documents >= 1000) & (passages >= 10_000) & (p95 <= 1000.0), "PASS").otherwise("FAIL")
+
+
 def verdict(mean: Column) -> Column:
     """What the mean recall of the semantic side alone says."""
     return F.when(mean >= 0.85, "fusion").when(mean <= 0.7, "model").otherwise("mixed")

@@ -18,6 +18,7 @@ class SearchQuery:
     term: str = ""
     category: str = ""
     client: str = ""
+    project: str = ""
     status: str = ""
     tags: tuple[str, ...] = field(default=())
     limit: int = 50
@@ -70,7 +71,7 @@ def filters(q: SearchQuery) -> Column:
     keep = F.lit(True)
     if q.category:
         keep = keep & (F.col("category") == q.category)
-    for name, value in (("client", q.client), ("status", q.status)):
+    for name, value in (("client", q.client), ("project", q.project), ("status", q.status)):
         if value:
             keep = keep & (T.fold(F.coalesce(F.col(name), F.lit(""))) == T.fold(F.lit(value)))
     for tag in q.tags:
@@ -93,8 +94,15 @@ def bm25(indexed: DataFrame, q: SearchQuery, terms: list[str], boosts: bool = Tr
 
 
 def top(scored: DataFrame, q: SearchQuery, *columns: str) -> DataFrame:
-    """A page of results by score, then path."""
-    return scored.orderBy(F.desc("score"), "path").offset(q.offset).limit(q.limit).select(*columns, "score")
+    """A page of results by score, then the newest where rows have updated_at, then path."""
+    newest = [F.desc_nulls_last("updated_at")] if "updated_at" in scored.columns else []
+    return scored.orderBy(F.desc("score"), *newest, "path").offset(q.offset).limit(q.limit).select(*columns, "score")
+
+
+def first_of_each(scores: DataFrame, limit: int) -> DataFrame:
+    """(query_id, doc_id, rank, score): the first ``limit`` of each query, by score and id."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "doc_id", "rank", "score")
 
 
 def search(indexed: DataFrame, q: SearchQuery, *columns: str) -> DataFrame:
@@ -134,17 +142,43 @@ def best_passage(scored: DataFrame) -> DataFrame:
     return scored.groupBy("document_id").agg(best).select("document_id", "b.passage_id", "b.locator", "b.score")
 
 
-def many_queries(indexed: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
-    """(query_id, document, rank, score) of the first hits of each of many queries (query_id, text).
+def ranked_passages(passages: DataFrame, term: str, terms: list[str], stats: DataFrame) -> DataFrame:
+    """Per document: its matching passages by rounded score (equal ones in their order), and the best one by the unrounded score.
 
-    Postings are kept only for terms that some query has, so what is shuffled follows the queries; ranks need the
-    candidates of one query at a time.
+    stats is one row: n and the document frequency of each term. A passage scores tf times idf, and a bonus where the
+    whole term stands as words. A document's own passages are gathered, those that match.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    postings = indexed.select("doc_id", "length", F.explode("tokens").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weight = (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))
-    parts = postings.join(df, "term").crossJoin(F.broadcast(corpus_stats(indexed))).withColumn("w", weight)
-    scores = asked.join(parts, "term").groupBy("query_id", "doc_id").agg(F.sum(F.round("w", 6)).alias("s")).withColumn("score", T.cents(F.col("s")))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "doc_id", "rank", "score")
+    tokens = passages.withColumn("tokens", T.tokens(F.col("text"))).crossJoin(F.broadcast(stats))
+    score: Column = F.lit(0.0)
+    for i, t in enumerate(terms):
+        score = score + occurrences("tokens", t) * idf(i)
+    score = score + F.when(T.contains_whole_words(T.fold(F.col("text")), T.fold(F.lit(term))), PHRASE_BONUS).otherwise(0.0)
+    hits = tokens.withColumn("raw", F.round(score, 9)).where("raw > 0").withColumns({"score": T.cents(F.col("raw")), "snippet": T.snippet(F.col("text"), terms)})
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("order"), "position", "passage_id", "locator", "snippet", "score")))
+    best = F.max_by(F.struct("passage_id", "locator", "snippet", "raw"), F.struct(F.col("raw"), -F.col("position")))
+    return hits.groupBy("document_id").agg(listed.alias("passages"), best.alias("best"))
+
+
+def page(documents: DataFrame, passages: DataFrame, q: SearchQuery) -> DataFrame:
+    """A whole lexical query over documents (index() of them) and their passages: filters, BM25 with boosts, the best
+    passage's score where the document itself has none, the snippet of the best passage or else of the text, and a page
+    by score, then the newest, then path."""
+    terms = query_terms(documents.sparkSession, q.term)
+    if q.term.strip() and not terms:
+        return documents.limit(0).select("document_id", "path", "updated_at", F.lit(0.0).alias("score"), F.lit("").alias("snippet"), F.lit("").alias("matching_passage_id"), F.lit("").alias("matching_locator"), F.array().cast("array<string>").alias("passages"))
+    stats = term_stats(documents, terms)
+    if terms:
+        raw: Column = F.lit(0.0)
+        norm = K1 * (1 - B + B * F.col("length") / F.col("avgdl"))
+        for i, t in enumerate(terms):
+            tf = occurrences("tokens", t)
+            raw = raw + F.when(tf > 0, idf(i) * tf * (K1 + 1) / (tf + norm)).otherwise(0.0)
+            raw = raw + F.when(F.array_contains("title_tokens", t), TITLE_BOOST).otherwise(0.0) + F.when(F.array_contains("tag_tokens", t), TAG_BOOST).otherwise(0.0)
+    else:
+        raw = F.lit(1.0)
+    kept = documents.where(filters(q)).crossJoin(F.broadcast(stats)).withColumn("raw", raw)
+    found = kept.join(ranked_passages(passages, q.term, terms, stats), "document_id", "left")
+    found = found.withColumn("raw", F.when(F.col("raw") > 0, F.col("raw")).otherwise(F.coalesce("best.raw", F.lit(0.0)))).where("raw > 0")
+    found = found.withColumns({"score": T.cents(F.round("raw", 9)), "snippet": F.coalesce("best.snippet", T.snippet(F.substring(F.col("text"), 1, 500), terms))})
+    found = found.withColumns({"matching_passage_id": F.col("best.passage_id"), "matching_locator": F.col("best.locator"), "passages": F.coalesce(F.transform("passages", lambda p: p["passage_id"]), F.array().cast("array<string>"))})
+    return top(found, q, "document_id", "path", "updated_at", "snippet", "matching_passage_id", "matching_locator", "passages")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.sources.shared import with_rank
+
 #: Similarities up to this don't count; weight of the weaker side in fusion; bonuses for a literal match.
 THRESHOLD, K, CODE_BONUS, WORD_BONUS = 0.25, 0.2, 0.2, 0.05
 
@@ -44,30 +46,103 @@ def best_of_document(scored: DataFrame, document: str, passage: str) -> DataFram
     return scored.groupBy(document).agg(best).select(document, f"b.{passage}", "b.similarity").where(F.col("similarity") > THRESHOLD)
 
 
-def normalised(x: str, over: Window) -> Column:
-    """Between the least and the greatest of a query; where these are one, 1 for what is over 0. A missing side counts as 0."""
-    v, lo, hi = F.coalesce(F.col(x), F.lit(0.0)), F.min(F.coalesce(F.col(x), F.lit(0.0))).over(over), F.max(F.coalesce(F.col(x), F.lit(0.0))).over(over)
-    return F.when(hi > lo, (v - lo) / (hi - lo)).otherwise(F.when(v > 0, 1.0).otherwise(0.0))
-
-
 def coalesced(lexical: DataFrame, semantic: DataFrame, on: str) -> DataFrame:
     """Every candidate of either side once, with lex and sem, null where it has none."""
     return lexical.join(semantic, on, "full_outer")
 
 
-def fused(both: DataFrame, on: str, by: list[str] | None = None) -> DataFrame:
-    """both with its sides normalised and fused in the ways compared: f1 mean, f2 stronger plus K of weaker, f3 single or mean, rrf."""
-    over = Window.partitionBy(*(by or [F.lit(1)]))
-    ranked = lambda c: F.when(F.col(c).isNotNull(), 1 / (60 + F.row_number().over(over.orderBy(F.desc_nulls_last(c), on)))).otherwise(0.0)
-    out = both.withColumns({"l": normalised("lex", over), "s": normalised("sem", over), "rl": ranked("lex"), "rs": ranked("sem")})
-    one = F.when(F.col("lex").isNull(), F.col("s")).when(F.col("sem").isNull(), F.col("l"))
+def normalised(x: str, lo: str, hi: str) -> Column:
+    """Between the least and the greatest; where these are one, 1 for what is over 0. A missing side counts as 0."""
+    v = F.coalesce(F.col(x), F.lit(0.0))
+    return F.when(F.col(hi) > F.col(lo), (v - F.col(lo)) / (F.col(hi) - F.col(lo))).otherwise(F.when(v > 0, 1.0).otherwise(0.0))
+
+
+def scaled(both: DataFrame) -> DataFrame:
+    """both with l and s, its sides between their least and greatest, and max_lex and max_sem: one row of bounds is broadcast."""
+    lex, sem = (F.coalesce(c, F.lit(0.0)) for c in ("lex", "sem"))
+    bounds = both.agg(F.min(lex).alias("min_lex"), F.max(lex).alias("max_lex"), F.min(sem).alias("min_sem"), F.max(sem).alias("max_sem"))
+    joined = both.crossJoin(F.broadcast(bounds))
+    return joined.withColumns({"l": normalised("lex", "min_lex", "max_lex"), "s": normalised("sem", "min_sem", "max_sem")}).drop("min_lex", "min_sem")
+
+
+def with_ranks(both: DataFrame, on: str) -> DataFrame:
+    """both with rank_lex and rank_sem, the place on each side; null where it has none."""
+    out = both
+    for c in ("lex", "sem"):
+        out = out.join(with_rank(both.where(F.col(c).isNotNull()).select(on, c), [F.desc(c), F.col(on)], f"rank_{c}").drop(c), on, "left")
+    return out
+
+
+def reciprocal(rank: str) -> Column:
+    return F.coalesce(1 / (60 + F.col(rank)), F.lit(0.0))
+
+
+def f2(k: float = K) -> Column:
+    """The stronger side, and k of the weaker one."""
+    return F.greatest("l", "s") + k * F.least("l", "s")
+
+
+def f3() -> Column:
+    """The one side that is there, or the mean of both."""
+    return F.when(F.col("lex").isNull(), F.col("s")).when(F.col("sem").isNull(), F.col("l")).otherwise((F.col("l") + F.col("s")) / 2)
+
+
+def fused(both: DataFrame, on: str) -> DataFrame:
+    """both with its sides scaled, ranked and fused in the ways compared: f1 mean, f2 stronger plus K of weaker, f3 single or mean, rrf."""
+    out = with_ranks(scaled(both), on)
     return out.withColumns({
-        "f1": F.round((F.col("l") + F.col("s")) / 2, 6), "f2": F.round(F.greatest("l", "s") + K * F.least("l", "s"), 6),
-        "f3": F.round(F.coalesce(one, (F.col("l") + F.col("s")) / 2), 6), "rrf": F.round(F.col("rl") + F.col("rs"), 6),
+        "f1": F.round((F.col("l") + F.col("s")) / 2, 6), "f2": F.round(f2(), 6), "f3": F.round(f3(), 6),
+        "rrf": F.round(reciprocal("rank_lex") + reciprocal("rank_sem"), 6),
     })
 
 
+def max_ratio() -> Column:
+    """Half of each side's share of its greatest."""
+    share = lambda x, most: F.when(F.col(most) > 0, F.coalesce(x, F.lit(0.0)) / F.col(most)).otherwise(0.0)
+    return 0.5 * share("lex", "max_lex") + 0.5 * share("sem", "max_sem")
+
+
+def literal_match(term: str, title: Column, snippet: Column) -> Column:
+    """Whether title or snippet hold the term as typed, but for case; accents count."""
+    found = F.contains(F.lower(title), F.lit(term.lower())) | F.contains(F.lower(snippet), F.lit(term.lower()))
+    return F.coalesce(found, F.lit(False))
+
+
 def literal_bonus(term: str, title: Column, snippet: Column, exact: bool) -> Column:
     """More for a code than for a word that title or snippet hold as typed."""
-    found = F.contains(F.lower(title), F.lit(term.lower())) | F.contains(F.lower(snippet), F.lit(term.lower()))
-    return F.when(found, CODE_BONUS if exact else WORD_BONUS).otherwise(0.0)
+    return F.when(literal_match(term, title, snippet), CODE_BONUS if exact else WORD_BONUS).otherwise(0.0)
+
+
+def hybrid(lexical: DataFrame, semantic: DataFrame | None, on: str, term: str, exact: bool, limit: int = 50, offset: int = 0) -> DataFrame:
+    """A whole hybrid query: a page of (on, lex, sem, score) by fused score, then id.
+
+    lexical: candidates (on, lex, title, snippet), at most a search's 200; semantic: (on, sem, title, snippet), those
+    over the threshold, or None where there is no vector or no term, for which the lexical order stands.
+    """
+    if semantic is None or not term.strip():
+        page = lexical.withColumns({"sem": F.lit(None).cast("double"), "score": F.col("lex")})
+        return page.orderBy(F.desc("score"), on).offset(offset).limit(limit).select(on, "lex", "sem", "score")
+    sides = lexical.withColumnsRenamed({"title": "title_l", "snippet": "snippet_l"}).join(semantic.withColumnsRenamed({"title": "title_s", "snippet": "snippet_s"}), on, "full_outer")
+    title, snippet = F.coalesce("title_l", "title_s"), F.coalesce("snippet_l", "snippet_s")
+    score = F.round(f2() + literal_bonus(term, F.col("title"), F.col("snippet"), exact), 6)
+    out = scaled(sides.select(on, "lex", "sem", title.alias("title"), snippet.alias("snippet"))).withColumn("score", score)
+    return out.orderBy(F.desc("score"), on).offset(offset).limit(limit).select(on, "lex", "sem", "score")
+
+
+def to_embed(passages: DataFrame, cache: DataFrame, model: str, dimensions: int) -> DataFrame:
+    """passage_id of passages whose vector is missing, or is of another text, model or size."""
+    held = cache.where((F.col("model") == model) & (F.col("dimensions") == dimensions) & (F.size("vector") == dimensions))
+    same = held.select("passage_id", "sha256", "embedded_text_sha256")
+    return passages.join(same, ["passage_id", "sha256", "embedded_text_sha256"], "left_anti").select("passage_id")
+
+
+def stale_entries(cache: DataFrame, passages: DataFrame) -> DataFrame:
+    """passage_id of cached vectors whose passage is gone."""
+    return cache.select("passage_id").distinct().join(passages.select("passage_id"), "passage_id", "left_anti")
+
+
+def provider_state(passages: DataFrame, cache: DataFrame, model: str, dimensions: int) -> DataFrame:
+    """One row: passages, those with a usable vector, and whether any must be embedded again."""
+    missing = to_embed(passages, cache, model, dimensions).withColumn("gone", F.lit(1))
+    flagged = passages.join(missing, "passage_id", "left")
+    return flagged.agg(F.count(F.lit(1)).alias("total"), (F.count(F.lit(1)) - F.count("gone")).alias("matched"), (F.count("gone") > 0).alias("needs_reindex"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Failures after which a job is not tried again.
@@ -22,3 +22,50 @@ def exhausted(events: DataFrame, key: str, kind: str, failure: str) -> DataFrame
 def operations(events: DataFrame, operation: str, payload: str) -> DataFrame:
     """(operation, sent, conflict): how often an operation id came, and whether it came with different payloads."""
     return events.groupBy(operation).agg(F.count(F.lit(1)).alias("sent"), (F.min(payload) != F.max(payload)).alias("conflict"))
+
+
+def proposals(events: DataFrame, status: str = "", category: str = "") -> DataFrame:
+    """(proposal_id, status, category, updated_at) of each proposal's last event, newest first; empty filters hold for all."""
+    last = F.max_by(F.struct("status", "category", "updated_at"), F.struct("updated_at", "event_id")).alias("last")
+    rows = events.groupBy("proposal_id").agg(last).select("proposal_id", "last.*")
+    keep = F.lit(True)
+    if status:
+        keep = keep & (F.col("status") == status)
+    if category:
+        keep = keep & (F.col("category") == category)
+    return rows.where(keep).orderBy(F.desc("updated_at"), "proposal_id")
+
+
+#: The state that each action leads to, and the states it may start from; fixed values of the workflow.
+MOVES = {"save": ("pending", (None, "pending")), "revise": ("pending", ("pending",)), "approve": ("approved", ("pending",)), "reject": ("rejected", ("pending",))}
+
+
+def proposal_history(events: DataFrame, at: list[str]) -> DataFrame:
+    """(proposal_id, status, revision, refused) after all events (proposal_id, action, ...), in the order of ``at``.
+
+    An event that its state does not allow is refused and changes nothing; saves and revisions raise the revision. A
+    proposal's own events are folded in their order, by one aggregate in the JVM.
+    """
+    zero = F.struct(F.lit(None).cast("string").alias("status"), F.lit(0).alias("revision"), F.lit(0).alias("refused"))
+
+    def step(acc: Column, e: Column) -> Column:
+        status, allowed = acc["status"], F.lit(False)
+        for action, (to, sources) in MOVES.items():
+            fits = F.coalesce(acc["status"].isin(*(s for s in sources if s)), F.lit(False))
+            fits = fits | acc["status"].isNull() if None in sources else fits
+            hit = (e["action"] == action) & fits
+            status, allowed = F.when(hit, to).otherwise(status), allowed | hit
+        written = allowed & e["action"].isin("save", "revise")
+        return F.struct(status.alias("status"), (acc["revision"] + written.cast("int")).alias("revision"), (acc["refused"] + (~allowed).cast("int")).alias("refused"))
+
+    folded = events.groupBy("proposal_id").agg(F.array_sort(F.collect_list(F.struct(*at, "action"))).alias("all"))
+    return folded.withColumn("s", F.aggregate("all", zero, step)).select("proposal_id", "s.status", "s.revision", "s.refused")
+
+
+def automation_report(sources: DataFrame, jobs: DataFrame) -> DataFrame:
+    """One row over sources (path) and jobs (path, status, current): sources, ready and blocked ones, and wikis that are current."""
+    joined = sources.select("path").join(jobs, "path", "left")
+    blocked = F.col("status").isin("error", "unsupported")
+    of_sources = joined.agg(F.count(F.lit(1)).alias("sources"), F.count_if(F.col("current")).alias("ready"), F.count_if(blocked).alias("blocked"))
+    wikis = jobs.where(F.col("path").startswith("wiki:")).agg(F.count_if(F.col("current")).alias("wikis"))
+    return of_sources.crossJoin(wikis)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioscope.functions.text import STOP_WORDS
+from folioscope.functions.text import STOP_WORDS, WORD_STOPS
 
 STOP = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
 
@@ -27,9 +27,13 @@ def tokens(x: str) -> str:
     return f"list_filter({words}, lambda w: length(w) >= 2 AND NOT list_contains({STOP}, w))"
 
 
-def word_set(x: str) -> str:
+def content_words(x: str) -> str:
     words = rf"string_split_regex(regexp_replace({fold(x)}, '[^a-z0-9\s]', ' ', 'g'), '\s+')"
-    return f"list_distinct(list_filter({words}, lambda w: length(w) >= 3 AND NOT regexp_matches(w, '^[0-9]+$') AND NOT list_contains({STOP}, w)))"
+    return f"list_distinct(list_filter({words}, lambda w: length(w) >= 3 AND NOT list_contains([{', '.join(repr(w) for w in WORD_STOPS)}], w)))"
+
+
+def word_set(x: str) -> str:
+    return f"list_filter({content_words(x)}, lambda w: NOT regexp_matches(w, '^[0-9]+$'))"
 
 
 def cents(x: str) -> str:

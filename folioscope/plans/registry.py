@@ -2,42 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions import chunking as C
 from folioscope.functions import text as T
-from folioscope.operators import catalog, context, evaluate, release, search, vectors, workflow
+from folioscope.operators import catalog, context, evaluate, release, search, store, vectors, workflow
+from folioscope.plans import curation, retrieval  # noqa: F401  (their queries register themselves)
 from folioscope.plans import dialect as D
+from folioscope.plans.base import ORACLES, QUERIES, TERM, TERMS, docs, files, index_of, labelled, query
 from folioscope.sources import vault
+from folioscope.sources.shared import new_folder
 from folioscope.streaming import ingest
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-TERM, TERMS = "the thing tionble", ["thing", "tionble"]
-
-
-def query(sql: str | None = None) -> Callable:
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def docs(s: SparkSession, d: str) -> DataFrame:
-    return vault.raw_documents(s, d)
-
-
-def labelled(s: SparkSession, d: str) -> DataFrame:
-    return vault.with_status(s, d, docs(s, d))
-
-
 def indexed(s: SparkSession, d: str) -> DataFrame:
     return search.index(docs(s, d))
 
@@ -92,15 +69,18 @@ def embed_text(s, d):
     return docs(s, d).select("doc_id", F.sha2(T.embedding_text(F.col("title"), F.col("category"), F.lit("Paragrafo 1"), F.col("text")), 256).alias("embedded"))
 
 
-@query("""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, 'sk-[A-Za-z0-9_-]{12,}', '[REDACTED_API_KEY]', 'g'), '(?i)bearer [A-Za-z0-9._-]+', 'Bearer [REDACTED]', 'g'),
-    'token = "[0-9a-f]{16,}"', 'token = "[REDACTED]"', 'g') AS redacted FROM documents WHERE contains(text, 'token = "')""")
+@query(r"""WITH x AS (SELECT doc_id, text || CASE doc_id % 3 WHEN 0 THEN ' sk-' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 9 + doc_id % 8) WHEN 1 THEN ' bearer  ' || md5(CAST(doc_id AS VARCHAR)) || '.x_y!' ELSE '' END AS t FROM documents)
+    SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(t, 'sk-[A-Za-z0-9_-]{12,}', '[REDACTED_API_KEY]', 'g'), '(?i)bearer\s+[A-Za-z0-9._-]+', 'Bearer [REDACTED_TOKEN]', 'g'),
+    'token = "[0-9a-f]{16,}"', 'token = "[REDACTED]"', 'g')) AS redacted FROM x""")
 def redact_secrets(s, d):
-    return docs(s, d).where(F.contains("text", F.lit('token = "'))).select("doc_id", T.redact(F.col("text")).alias("redacted"))
+    hashed, k = F.md5(F.col("doc_id").cast("string").cast("binary")), F.col("doc_id") % 3
+    secret = F.when(k == 0, F.concat(F.lit(" sk-"), F.substring(hashed, F.lit(1), (9 + F.col("doc_id") % 8).cast("int")))).when(k == 1, F.concat(F.lit(" bearer  "), hashed, F.lit(".x_y!"))).otherwise("")
+    return docs(s, d).select("doc_id", F.sha2(T.redact(F.concat("text", secret)), 256).alias("redacted"))
 
 
-@query(r"SELECT doc_id, substr(regexp_replace(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 30) AS slug FROM documents")
+@query(r"SELECT doc_id, substr(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 30) AS slug FROM documents")
 def slugs(s, d):
-    return docs(s, d).select("doc_id", T.slug(F.substring("text", 1, 60)).alias("slug"))
+    return docs(s, d).select("doc_id", T.slug(F.col("text")).alias("slug"))
 
 
 @query(r"""SELECT doc_id, CAST((length(f) - length(replace(f, 'the', ''))) / 3 AS BIGINT) AS n FROM (SELECT doc_id, lower(strip_accents(text)) AS f FROM documents)""")
@@ -116,9 +96,18 @@ def chunk_passages(s, d):
     return C.chunk_documents(docs(s, d))
 
 
-@query("SELECT doc_id, CAST(k AS INT) AS position, sha256(substr(text, k * 600 + 1, 600)) AS fragment FROM documents, unnest(range(0, CAST(ceil(length(text) / 600.0) AS BIGINT))) AS r(k)")
+FRAGMENTS = """c AS (SELECT doc_id, text, list_transform(range(1, length(text) + 1), lambda k: strlen(substr(text, k, 1))) AS w FROM (SELECT doc_id, text FROM documents WHERE strlen(text) > 0) WHERE strlen(text) > length(text)),
+    ends AS (SELECT doc_id, k, sum(b) OVER (PARTITION BY doc_id ORDER BY k) AS e FROM (SELECT doc_id, unnest(range(1, len(w) + 1)) AS k, unnest(w) AS b FROM c)),
+    cut AS (SELECT doc_id, CAST(0 AS BIGINT) AS low, CAST(0 AS BIGINT) AS done, CAST(-1 AS INT) AS position FROM c
+            UNION ALL SELECT cut.doc_id, max(ends.k), CAST(max(ends.e) AS BIGINT), any_value(cut.position) + 1 FROM cut JOIN ends ON ends.doc_id = cut.doc_id AND ends.e > cut.done AND ends.e <= cut.done + 6000 GROUP BY cut.doc_id, cut.done),
+    wide AS (SELECT doc_id, position, substr(text, lag(low, 1, 0) OVER (PARTITION BY doc_id ORDER BY position) + 1, low - lag(low, 1, 0) OVER (PARTITION BY doc_id ORDER BY position)) AS f, position >= 0 AS real FROM cut JOIN c USING (doc_id)),
+    fragments AS (SELECT doc_id, CAST(position AS INT) AS position, f FROM wide WHERE real
+            UNION ALL SELECT doc_id, CAST(k AS INT), substr(text, k * 6000 + 1, 6000) FROM documents, unnest(range(0, CAST(ceil(length(text) / 6000.0) AS BIGINT))) AS r(k) WHERE strlen(text) = length(text))"""
+
+
+@query(f"WITH RECURSIVE {FRAGMENTS} SELECT doc_id, position, sha256(f) AS fragment FROM fragments")
 def fragments(s, d):
-    return docs(s, d).select("doc_id", F.posexplode(C.fragments(F.col("text"), 600)).alias("position", "f")).select("doc_id", "position", F.sha2("f", 256).alias("fragment"))
+    return docs(s, d).select("doc_id", F.posexplode(C.fragments(F.col("text"))).alias("position", "f")).select("doc_id", "position", F.sha2("f", 256).alias("fragment"))
 
 
 @query("""WITH RECURSIVE o AS (SELECT lang, source, doc_id, CAST(strlen(text) AS BIGINT) AS size, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS k FROM documents),
@@ -136,9 +125,9 @@ def wiki_groups(s, d):
     return docs(s, d).groupBy("category", "client").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.octet_length("text")).alias("bytes"), F.min("doc_id").alias("first_id"))
 
 
-@query("SELECT doc_id, sha256(array_to_string(list_transform(range(0, least(4, CAST(ceil(length(text) / 600.0) AS BIGINT))), lambda k: substr(text, k * 600 + 1, 600)), chr(10))) AS sample FROM documents")
+@query(f"WITH RECURSIVE {FRAGMENTS} SELECT doc_id, sha256(coalesce(string_agg(f, chr(10) ORDER BY position) FILTER (position < 4), '')) AS sample FROM documents LEFT JOIN fragments USING (doc_id) GROUP BY doc_id")
 def classification_sample(s, d):
-    return docs(s, d).select("doc_id", F.sha2(F.array_join(F.slice(C.fragments(F.col("text"), 600), 1, 4), "\n"), 256).alias("sample"))
+    return docs(s, d).select("doc_id", F.sha2(F.array_join(F.slice(C.fragments(F.col("text")), 1, 4), "\n"), 256).alias("sample"))
 
 
 # --- index and lexical search ----------------------------------------------------------------------------------------
@@ -146,12 +135,12 @@ def classification_sample(s, d):
 
 @query(f"WITH {D.INDEXED} SELECT CAST(n AS BIGINT) AS n, round(avgdl, 4) AS avgdl FROM stats")
 def corpus_stats(s, d):
-    return search.corpus_stats(indexed(s, d)).select("n", F.round("avgdl", 4).alias("avgdl"))
+    return index_of(s, d).table("stats").select("n", F.round("avgdl", 4).alias("avgdl"))
 
 
 @query(f"WITH {D.INDEXED} SELECT t AS term, CAST(count(*) AS BIGINT) AS df FROM (SELECT unnest(list_distinct(tokens)) AS t FROM indexed) GROUP BY t")
 def document_frequencies(s, d):
-    return search.document_frequencies(indexed(s, d))
+    return index_of(s, d).table("postings").where("tf > 0").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 @query(f"WITH {D.INDEXED} SELECT doc_id, CAST(len(list_filter(tokens, lambda x: x = 'thing')) AS BIGINT) AS thing, CAST(len(list_filter(tokens, lambda x: x = 'of')) AS BIGINT) AS \"of\" FROM indexed")
@@ -167,42 +156,42 @@ def index_status(s, d):
 @query(f"WITH {D.bm25(TERMS)} SELECT doc_id, path, score FROM scored ORDER BY score DESC, path LIMIT 10")
 def bm25_top10(s, d):
     """The flagship: top ten of a query over all documents."""
-    return search.search(indexed(s, d), search.SearchQuery(TERM, limit=10), "doc_id", "path")
+    return store.search(index_of(s, d), search.SearchQuery(TERM, limit=10), "doc_id", "path")
 
 
 @query(f"WITH {D.bm25(TERMS)} SELECT doc_id, score FROM scored")
 def bm25_all(s, d):
-    return search.bm25(indexed(s, d), search.SearchQuery(TERM), TERMS).select("doc_id", "score")
+    return store.scored(index_of(s, d), search.SearchQuery(TERM), TERMS).select("doc_id", "score")
 
 
 @query(f"WITH {D.bm25(['of'], where='''category = 'en' ''')} SELECT doc_id, score FROM scored ORDER BY score DESC, path LIMIT 20")
 def bm25_category(s, d):
-    return search.search(indexed(s, d), search.SearchQuery("of", category="en", limit=20), "doc_id")
+    return store.search(index_of(s, d), search.SearchQuery("of", category="en", limit=20), "doc_id")
 
 
 @query(f"WITH {D.bm25(['of'], where='''list_contains([category, client], 'en') AND list_contains([category, client], 'src1') ''')} SELECT doc_id, score FROM scored ORDER BY score DESC, path LIMIT 20")
 def bm25_tags_all(s, d):
-    return search.search(indexed(s, d), search.SearchQuery("of", tags=("en", "src1"), limit=20), "doc_id")
+    return store.search(index_of(s, d), search.SearchQuery("of", tags=("en", "src1"), limit=20), "doc_id")
 
 
 @query(f"WITH {D.bm25(['of'], where='''status = 'approved' ''')} SELECT doc_id, score FROM scored ORDER BY score DESC, path LIMIT 20 OFFSET 5")
 def bm25_status(s, d):
-    return search.search(search.index(labelled(s, d)), search.SearchQuery("of", status="Approved", limit=20, offset=5), "doc_id")
+    return store.search(index_of(s, d), search.SearchQuery("of", status="Approved", limit=20, offset=5), "doc_id")
 
 
 @query(f"WITH {D.bm25(['src1', 'of'])} SELECT doc_id, score FROM scored ORDER BY score DESC, path LIMIT 50")
 def title_tag_boost(s, d):
-    return search.search(indexed(s, d), search.SearchQuery("src1 of"), "doc_id")
+    return store.search(index_of(s, d), search.SearchQuery("src1 of"), "doc_id")
 
 
 @query(f"WITH {D.DOCS} SELECT doc_id, 1.0 AS score FROM docs WHERE category = 'de' ORDER BY path LIMIT 50")
 def browse_mode(s, d):
-    return search.search(indexed(s, d), search.SearchQuery(category="de"), "doc_id")
+    return store.search(index_of(s, d), search.SearchQuery(category="de"), "doc_id")
 
 
 @query(f"WITH {D.INDEXED} SELECT doc_id, 1.0 AS score FROM docs WHERE false")
 def stop_word_query(s, d):
-    return search.search(indexed(s, d), search.SearchQuery("the and"), "doc_id")
+    return store.search(index_of(s, d), search.SearchQuery("the and"), "doc_id")
 
 
 def _tfidf() -> str:
@@ -213,8 +202,7 @@ def _tfidf() -> str:
 
 @query(_tfidf())
 def tfidf_top10(s, d):
-    q = search.SearchQuery(TERM, limit=10)
-    return search.top(search.tfidf(indexed(s, d), q, TERMS), q, "doc_id")
+    return store.search(index_of(s, d), search.SearchQuery(TERM, limit=10), "doc_id", boosts=False, normed=False)
 
 
 PASSAGES = f"""p AS (SELECT CAST(conv_id AS VARCHAR) AS document_id, CAST(conv_id AS VARCHAR) || '_p' || CAST(turn AS VARCHAR) AS passage_id, CAST(turn AS BIGINT) AS position, 'Turno ' || CAST(turn AS VARCHAR) AS locator, text, {D.tokens('text')} AS tokens FROM conversations),
@@ -283,7 +271,7 @@ def needs_reindex(s, d):
 
 
 def _sides(s, d):
-    lex = search.bm25(indexed(s, d), search.SearchQuery(TERM), TERMS).orderBy(F.desc("score"), "path").limit(200).select(F.col("doc_id").alias("id"), F.col("score").alias("lex"))
+    lex = store.scored(index_of(s, d), search.SearchQuery(TERM), TERMS).orderBy(F.desc("score"), "path").limit(200).select(F.col("doc_id").alias("id"), F.col("score").alias("lex"))
     sem = _vectors(s, d).where(F.col("similarity") > vectors.THRESHOLD).select(F.col("vec_id").alias("id"), F.col("similarity").alias("sem"))
     return vectors.coalesced(lex, sem, "id")
 
@@ -302,7 +290,7 @@ def coalesce_full_outer(s, d):
 
 @query(f"WITH {BOTH} SELECT id, round(l, 6) AS l, round(s, 6) AS s FROM w")
 def minmax(s, d):
-    return vectors.fused(_sides(s, d), "id").select("id", F.round("l", 6).alias("l"), F.round("s", 6).alias("s"))
+    return vectors.scaled(_sides(s, d)).select("id", F.round("l", 6).alias("l"), F.round("s", 6).alias("s"))
 
 
 for _name, _sql in {"f1": "(l + s) / 2", "f2": "greatest(l, s) + 0.2 * least(l, s)", "f3": "CASE WHEN lex IS NULL THEN s WHEN sem IS NULL THEN l ELSE (l + s) / 2 END", "rrf": "CAST(rl AS DOUBLE) + CAST(rs AS DOUBLE)"}.items():
@@ -322,13 +310,12 @@ def _asked(s, d):
 
 
 def _hits(s, d):
-    return search.many_queries(indexed(s, d), _asked(s, d))
+    return store.many(index_of(s, d), _asked(s, d))
 
 
 def _relevant(s, d):
     """Documents that hold an item's text; the items are a stated query set, looked for in all documents."""
-    items = _asked(s, d).withColumnRenamed("text", "item")
-    return docs(s, d).select("doc_id", "text").join(items, F.contains("text", F.col("item"))).select("query_id", "doc_id")
+    return evaluate.containing(docs(s, d).select("doc_id", "text"), _asked(s, d))
 
 
 HITS = f"""{D.INDEXED}, asked AS (SELECT item_id AS query_id, unnest(list_distinct({D.tokens('text')})) AS term FROM benchmark),
@@ -395,18 +382,14 @@ def version_comparison(s, d):
 # --- catalog ---------------------------------------------------------------------------------------------------------
 
 
-def _files(s, d):
-    return docs(s, d).select("doc_id", "path", "text", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("size"))
-
-
-@query(f"WITH {D.DOCS} SELECT sha256, list_sort(list(path))[1] AS path, array_to_string(list_sort(list(path))[2:], ',') AS aliases, CAST(count(*) AS BIGINT) AS copies FROM docs GROUP BY sha256")
+@query(f"WITH {D.DOCS} SELECT sha256, path, min(path) OVER (PARTITION BY sha256) AS canonical, count(*) OVER (PARTITION BY sha256) AS copies FROM docs")
 def dedup_aliases(s, d):
-    return catalog.deduplicated(_files(s, d)).withColumn("aliases", F.array_join("aliases", ","))
+    return catalog.deduplicated(files(s, d))
 
 
 @query("SELECT doc_id, CASE WHEN trim(coalesce(text, '')) = '' THEN 'error' WHEN doc_id = min(doc_id) OVER (PARTITION BY sha256(text)) THEN 'imported' ELSE 'duplicate' END AS status FROM documents")
 def import_receipts(s, d):
-    return catalog.receipts(_files(s, d), "doc_id").select("doc_id", "status")
+    return catalog.receipts(files(s, d), "doc_id").select("doc_id", "status")
 
 
 @query(f"""WITH {D.DOCS} SELECT doc_id, path, (SELECT count(*) FROM docs) AS total, (SELECT count(*) FROM docs WHERE contains(lower(path), 'src1') AND status = 'approved') AS filtered
@@ -431,9 +414,9 @@ def mime_dispatch(s, d):
 
 
 def _versions(s, d):
-    files = _files(s, d)
-    known = files.where("doc_id % 10 <> 0").select("path", F.when(F.col("doc_id") % 7 == 0, F.lit("old")).otherwise(F.col("sha256")).alias("sha256"), F.lit(1).cast("long").alias("revision"))
-    return known, files.where("doc_id % 10 <> 1").withColumn("revision", F.when(F.col("doc_id") % 11 == 0, 2).otherwise(1).cast("long"))
+    rows = files(s, d)
+    known = rows.where("doc_id % 10 <> 0").select("path", F.when(F.col("doc_id") % 7 == 0, F.lit("old")).otherwise(F.col("sha256")).alias("sha256"), F.lit(1).cast("long").alias("revision"))
+    return known, rows.where("doc_id % 10 <> 1").withColumn("revision", F.when(F.col("doc_id") % 11 == 0, 2).otherwise(1).cast("long"))
 
 
 @query(f"""WITH {D.DOCS} SELECT path, CASE WHEN doc_id % 10 = 0 THEN 'added' WHEN doc_id % 10 = 1 THEN 'removed' WHEN doc_id % 7 = 0 THEN 'revised' ELSE 'unchanged' END AS change,
@@ -457,24 +440,26 @@ def verify_cascade(s, d):
     SELECT name, count(docs.path) AS matches, CASE WHEN count(docs.path) = 1 THEN min(docs.path) END AS path
     FROM wanted LEFT JOIN docs ON docs.path = name OR name = 'alias-' || CAST(doc_id AS VARCHAR) OR (NOT contains(name, '/') AND docs.path LIKE '%/' || name) GROUP BY name""")
 def resolve_path(s, d):
-    files = docs(s, d).select("doc_id", "path")
-    part = lambda k, c: files.where(F.col("doc_id") % 3 == k).select(c.alias("name"))
+    rows = docs(s, d).select("doc_id", "path")
+    part = lambda k, c: rows.where(F.col("doc_id") % 3 == k).select(c.alias("name"))
     text_id = F.col("doc_id").cast("string")
     wanted = part(0, F.col("path")).union(part(1, F.concat(text_id, F.lit(".txt")))).union(part(2, F.concat(F.lit("alias-"), text_id))).union(s.createDataFrame([("nothing",)], "name string")).distinct()
-    aliases = files.select(F.concat(F.lit("alias-"), text_id).alias("alias"), "path")
-    return catalog.resolved(wanted, files.select("path"), aliases)
+    aliases = rows.select(F.concat(F.lit("alias-"), text_id).alias("alias"), "path")
+    return catalog.resolved(wanted, rows.select("path"), aliases)
 
 
 @query(f"""WITH {D.DOCS} SELECT category || '/' || client AS id, bool_and(doc_id % 10 <> 1 AND doc_id % 70 <> 7) AS current FROM docs WHERE doc_id % 10 <> 0 GROUP BY 1""")
 def lineage_current(s, d):
-    files = docs(s, d).select("doc_id", "path", "category", "client", F.sha2("text", 256).alias("sha256"))
-    recorded = files.where("doc_id % 10 <> 0").select(F.concat_ws("/", "category", "client").alias("id"), "path", F.when(F.col("doc_id") % 70 == 7, F.lit("old")).otherwise(F.col("sha256")).alias("sha256"))
-    return catalog.current(recorded, files.where("doc_id % 10 <> 1"))
+    rows = docs(s, d).select("doc_id", "path", "category", "client", F.sha2("text", 256).alias("sha256"))
+    recorded = rows.where("doc_id % 10 <> 0").select(F.concat_ws("/", "category", "client").alias("id"), "path", F.when(F.col("doc_id") % 70 == 7, F.lit("old")).otherwise(F.col("sha256")).alias("sha256"))
+    return catalog.current(recorded, rows.where("doc_id % 10 <> 1"))
 
 
-@query("SELECT lower(regexp_replace(url, '[?#].*$', '')) AS key, count(*) AS n FROM pages GROUP BY 1 HAVING count(*) > 1")
+@query("""WITH p AS (SELECT 'Caf' || CASE doc_id % 3 WHEN 0 THEN 'e' || chr(769) WHEN 1 THEN chr(201) ELSE 'e' END || '/' || CAST(doc_id // 2 AS VARCHAR) AS path FROM documents)
+    SELECT lower(nfc_normalize(path)) AS key, count(*) AS n FROM p GROUP BY 1 HAVING count(*) > 1""")
 def path_collisions(s, d):
-    return catalog.path_collisions(vault.read_table(s, d, "pages").select(F.regexp_replace("url", "[?#].*$", "").alias("path")))
+    mark = F.when(F.col("doc_id") % 3 == 0, "e\u0301").when(F.col("doc_id") % 3 == 1, "\u00c9").otherwise("e")
+    return catalog.path_collisions(docs(s, d).select(F.concat(F.lit("Caf"), mark, F.lit("/"), F.expr("cast(doc_id div 2 as string)")).alias("path")))
 
 
 @query(r"SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title FROM pages")
@@ -483,16 +468,23 @@ def html_title(s, d):
 
 
 def _html() -> str:
-    x = "html"
-    for tag in ("script", "style", "iframe", "object", "template", "noscript"):
-        x = rf"regexp_replace({x}, '(?is)<{tag}\b[^>]*>.*?(</{tag}\s*>|$)', ' ', 'g')"
-    x = f"regexp_replace(regexp_replace({x}, '(?s)<!--.*?(-->|$)', ' ', 'g'), '(?s)<[^>]*(>|$)', ' ', 'g')"
-    return f"SELECT page_id, sha256({D.collapse(f'''replace(replace({x}, '&', '&amp;'), '>', '&gt;')''')}) AS text FROM pages"
+    """Quoted parts are masked first, as no quote stands outside a tag or blocked element without ending there."""
+    tag = r"<(?:[^<>\x22\x27]|\x22[^\x22]*\x22|\x27[^\x27]*\x27|<)*>"
+    steps = f"list_filter(regexp_extract_all(html, '(?s){tag}|[^<]+|<.*'), lambda x: x <> '')"
+    name = r"lower(regexp_extract(t, '^<\s*/?\s*([A-Za-z0-9]*)', 1))"
+    return f"""WITH RECURSIVE p AS MATERIALIZED (SELECT page_id, {steps} AS parts FROM (SELECT page_id, html || CASE WHEN page_id % 4 = 0 THEN '<p title="a>b">x & y</p><script>"<b>"</script>z<noscript>n<template>t</noscript>u</template>v</noscript>w' ELSE '' END AS html FROM pages)),
+        k AS MATERIALIZED (SELECT page_id, i, t, starts_with(t, '<') AS is_tag, regexp_matches(t, '^<\\s*/') AS closing, {name} AS name FROM (SELECT page_id, unnest(range(1, len(parts) + 1)) AS i, unnest(parts) AS t FROM p)),
+        w AS (SELECT page_id, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS open, '' AS put FROM p
+              UNION ALL SELECT k.page_id, k.i, CASE WHEN is_tag AND name IN ('script', 'style', 'iframe', 'object', 'template', 'noscript') THEN CASE WHEN NOT closing THEN list_append(open, name) WHEN len(open) > 0 AND open[-1] = name THEN open[:-2] ELSE open END ELSE open END AS now,
+                     CASE WHEN is_tag AND NOT regexp_matches(t, '(?s)^{tag}$') THEN chr(0) WHEN is_tag THEN CASE WHEN len(CASE WHEN name IN ('script', 'style', 'iframe', 'object', 'template', 'noscript') THEN CASE WHEN NOT closing THEN list_append(open, name) WHEN len(open) > 0 AND open[-1] = name THEN open[:-2] ELSE open END ELSE open END) = 0 THEN ' ' ELSE '' END
+                          WHEN len(open) = 0 THEN t ELSE '' END FROM w JOIN k ON k.page_id = w.page_id AND k.i = w.i + 1)
+        SELECT page_id, sha256({D.collapse("replace(replace(replace(string_agg(put, '' ORDER BY i), chr(0), ''), '&', '&amp;'), '>', '&gt;')")}) AS text FROM w GROUP BY page_id"""
 
 
 @query(_html())
 def html_text(s, d):
-    return vault.read_table(s, d, "pages").select("page_id", F.sha2(vault.html_text(F.col("html")), 256).alias("text"))
+    tail = F.when(F.col("page_id") % 4 == 0, '<p title="a>b">x & y</p><script>"<b>"</script>z<noscript>n<template>t</noscript>u</template>v</noscript>w').otherwise("")
+    return vault.read_table(s, d, "pages").select("page_id", F.sha2(vault.html_text(F.concat("html", tail)), 256).alias("text"))
 
 
 # --- context and releases --------------------------------------------------------------------------------------------
@@ -507,7 +499,7 @@ def eligibility(s, d):
 @query("SELECT lang, doc_id, used FROM (SELECT lang, doc_id, CAST(sum(n_chars) OVER (PARTITION BY lang ORDER BY doc_id) AS BIGINT) AS used FROM documents) WHERE used <= 24000")
 def context_budget_break(s, d):
     items = vault.read_table(s, d, "documents").select("lang", "doc_id", F.col("n_chars").cast("long").alias("n_chars"))
-    return C.running_budget(items, ["lang"], [F.col("doc_id")], F.col("n_chars"), 24_000).select("lang", "doc_id", "used")
+    return C.running_budget(items, ["lang"], ["doc_id"], "n_chars", 24_000).select("lang", "doc_id", "used")
 
 
 @query("""WITH RECURSIVE h AS (SELECT * FROM (SELECT source, doc_id, CAST(strlen(text) AS BIGINT) AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents) WHERE k <= 50),
@@ -550,12 +542,17 @@ def missing_objects(s, d):
     return release.missing_objects(found, known)
 
 
-@query()
+@query(f"""WITH {D.DOCS}, r AS (SELECT *, doc_id // 500 AS k, '{{"category":"' || category || '","id":"' || path || '","objectRef":"' || sha256 || '","relativePath":"' || path || '","sha256":"' || sha256 || '","sizeBytes":' || CAST(strlen(text) AS VARCHAR) || ',"status":"private"}}' AS j FROM docs)
+    SELECT 'r' || CAST(k AS VARCHAR) AS release_id, sha256('{{"channel":"private","documents":[' || string_agg(j, ',' ORDER BY path) || '],"parentReleaseId":' || CASE WHEN k > 0 THEN '"r' || CAST(k - 1 AS VARCHAR) || '"' ELSE 'null' END || ',"releaseId":"r' || CAST(k AS VARCHAR) || '","schemaVersion":1}}') AS manifest_hash FROM r GROUP BY k""")
 def manifest_hash(s, d):
-    return release.manifest_hash(_files(s, d))
+    release_id = lambda back: F.concat(F.lit("r"), F.expr(f"cast(doc_id div 500 - {back} as string)"))
+    rows = files(s, d)
+    documents = rows.select(release_id(0).alias("release_id"), "category", F.col("path").alias("id"), F.col("sha256").alias("objectRef"), F.col("path").alias("relativePath"), "sha256", F.col("size").alias("sizeBytes"), F.lit("private").alias("status"))
+    releases = rows.select(release_id(0).alias("release_id"), F.when(F.expr("doc_id div 500 > 0"), release_id(1)).alias("parent_id"), F.lit("private").alias("channel"), F.lit(1).alias("schemaVersion")).distinct()
+    return release.manifest_hash(documents, releases)
 
 
-@query("""WITH RECURSIVE r AS (SELECT 'r' || CAST(o_orderkey AS VARCHAR) AS id, 'r' || CAST(o_orderkey - 1 AS VARCHAR) AS parent FROM orders WHERE o_orderkey <= 40),
+@query("""WITH RECURSIVE r AS (SELECT 'r' || CAST(o_orderkey AS VARCHAR) AS id, 'r' || CAST(o_orderkey - 1 AS VARCHAR) AS parent FROM orders),
     c AS (SELECT id, parent, 0 AS hop FROM r WHERE id = 'r40' UNION ALL SELECT r.id, r.parent, hop + 1 FROM c JOIN r ON r.id = c.parent) SELECT id AS release_id, min(hop) AS hop FROM c GROUP BY id""")
 def release_chain(s, d):
     rows = vault.read_table(s, d, "orders")
@@ -565,7 +562,7 @@ def release_chain(s, d):
 
 @query("SELECT count(*) AS files, CAST(sum(strlen(text)) AS BIGINT) AS bytes, count(*) <= 1000 AND sum(strlen(text)) <= 268435456 AS ok FROM documents")
 def release_limits(s, d):
-    return release.within_limits(_files(s, d))
+    return release.within_limits(files(s, d))
 
 
 @query(f"WITH {D.DOCS} SELECT doc_id, path FROM docs WHERE status = 'approved' AND NOT toxic AND (contains(lower(title), 'src1') OR contains(lower(path), 'src1')) AND starts_with(category, 'e') AND lower(client) = 'src1'")
@@ -598,21 +595,15 @@ def json_scalar(s, d):
     return vault.read_table(s, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-def _checkpoint(s: SparkSession) -> str:
-    known = s.conf.get("spark.checkpoint.dir", None)
-    return f"{known or '/tmp/folioscope-streams'}/stream-{uuid.uuid4().hex}"
-
-
 @query("SELECT count(*) AS contents FROM (SELECT DISTINCT sha256(text) FROM documents)")
 def stream_ingest(s, d):
     stream = ingest.once_each(ingest.read_stream(s, f"{d}/documents.parquet", "*.parquet").select(F.sha2("text", 256).alias("sha256")))
-    return ingest.run_once(stream, f"ingest_{uuid.uuid4().hex}", _checkpoint(s)).agg(F.count(F.lit(1)).alias("contents"))
+    return ingest.run_once(stream, new_folder(s, "ingest")).agg(F.count(F.lit(1)).alias("contents"))
 
 
 @query("SELECT user_id AS job, CASE WHEN count(*) FILTER (event_type = 'error') >= 3 THEN 'blocked' WHEN count(*) FILTER (event_type = 'purchase') > 0 THEN 'ready' ELSE 'waiting' END AS status, count(*) FILTER (event_type = 'error') AS attempts FROM events GROUP BY user_id")
 def stream_job_states(s, d):
     events = ingest.read_stream(s, f"{d}/events.parquet", "*.parquet").select(F.col("user_id").alias("job"), F.col("event_type").alias("kind"))
-    states = ingest.run_once(ingest.job_states(events), f"jobs_{uuid.uuid4().hex}", _checkpoint(s), "update")
-    # Every batch writes a job anew: the last one has the most attempts.
-    last = states.groupBy("job").agg(F.max("attempts").alias("attempts"), F.max(F.col("status") == "ready").alias("done"))
-    return last.select("job", F.when(F.col("attempts") >= workflow.ATTEMPTS, "blocked").when(F.col("done"), "ready").otherwise("waiting").alias("status"), "attempts")
+    rows = ingest.run_once(ingest.job_states(events), new_folder(s, "jobs"), "update")
+    last = rows.groupBy("job").agg(F.max_by(F.struct("done", "attempts"), "batch").alias("last"))
+    return last.select("job", ingest.status(F.col("last.done"), F.col("last.attempts")).alias("status"), F.col("last.attempts").alias("attempts"))

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import io
+import posixpath
 import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from folioscope.functions import text as T
 
@@ -53,14 +56,23 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def read_folder(spark: SparkSession, path: str, extensions: tuple[str, ...] = ("md", "markdown"), most: int = MAX_FILE_BYTES) -> DataFrame:
-    """Files under a folder (path, modified, size, content, sha256), without hidden ones and ones over the size limit."""
+def read_folder(spark: SparkSession, path: str, extensions: tuple[str, ...] = ("md", "markdown"), most: int = MAX_FILE_BYTES, depth: int = 64) -> DataFrame:
+    """Files under a folder (path, modified, size, content, sha256), without hidden ones and ones over the size limit;
+    folders nested deeper than ``depth`` are an error."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(extensions) + "}").load(path)
-    return files.where((F.col("length") <= most) & ~F.col("path").rlike("/\\.[^/]*")).select(
+    deep = F.size(F.split(F.replace("path", F.lit(path.rstrip("/")), F.lit("")), "/")) > depth + 1
+    safe = F.when(deep, F.raise_error(F.concat(F.lit("folders are nested too deep: "), "path")).cast("boolean")).otherwise(F.lit(True))
+    return files.where((F.col("length") <= most) & ~F.col("path").rlike("/\\.[^/]*") & safe).select(
         "path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"), "content", F.sha2("content", 256).alias("sha256")
     )
 
 
+def read_gold(spark: SparkSession, path: str) -> DataFrame:
+    """(query_id, text, document_id) of a JSON array of queries, a row for each relevant document; null where a query has none."""
+    rows = spark.read.option("multiLine", "true").schema("queryId string, text string, relevantDocumentIds array<string>").json(path)
+    return rows.select(F.col("queryId").alias("query_id"), "text", F.explode_outer("relevantDocumentIds").alias("document_id"))
+
+
 def decode_text(content: Column) -> Column:
     """UTF-8, or UTF-16 behind its byte order mark; marks go, line ends become \\n; blank text is null."""
     mark = F.hex(F.substring(content, 1, 3))
@@ -69,7 +81,7 @@ def decode_text(content: Column) -> Column:
         .otherwise(F.regexp_replace(F.decode(content, "UTF-8"), "^\\uFEFF", ""))
     )
     plain = F.regexp_replace(plain, "\\r\\n", "\n")
-    return F.when(F.trim(plain) != "", plain)
+    return F.when(plain.rlike("\\S"), plain)
 
 
 def extension(path: Column) -> Column:
@@ -96,12 +108,40 @@ def extraction_status(error: Column) -> Column:
     return F.when(error.isNull(), "ready").when(e.contains("protected") | e.contains("password"), "protected").when(e.contains("unsupported"), "unsupported").otherwise("failed")
 
 
-def html_text(html: Column) -> Column:
-    """Text of a page: elements without text out (an unclosed one ends the page), tags out, & and > escaped, spaces collapsed."""
-    for tag in ("script", "style", "iframe", "object", "template", "noscript"):
-        html = F.regexp_replace(html, f"(?is)<{tag}\\b[^>]*>.*?(</{tag}\\s*>|$)", " ")
-    html = F.regexp_replace(F.regexp_replace(html, "(?s)<!--.*?(-->|$)", " "), "(?s)<[^>]*(>|$)", " ")
-    return T.collapse(F.replace(F.replace(html, F.lit("&"), F.lit("&amp;")), F.lit(">"), F.lit("&gt;")))
+# Elements whose content is no text.
+BLOCKED = frozenset("script style iframe object template noscript".split())
+TAG = re.compile(r"""<((?:[^"'>]|"[^"]*"|'[^']*')*)>""")
+NAME = re.compile(r"\s*(/?)\s*([A-Za-z0-9]*)")
+
+
+def visible(html: str) -> str:
+    """Text between tags: a > inside quotes ends no tag, blocked elements nest, an unclosed tag ends the page; & and > are escaped."""
+    out, blocked, at = [], [], 0
+    while (low := html.find("<", at)) >= 0:
+        if not blocked:
+            out.append(html[at:low])
+        tag = TAG.match(html, low)
+        if tag is None:
+            at = len(html)
+            break
+        closing, name = NAME.match(tag[1]).groups()
+        name = name.lower()
+        if name in BLOCKED:
+            if not closing:
+                blocked.append(name)
+            elif blocked and blocked[-1] == name:
+                blocked.pop()
+        if not blocked:
+            out.append(" ")
+        at = tag.end()
+    if not blocked:
+        out.append(html[at:])
+    return " ".join("".join(out).split()).replace("&", "&amp;").replace(">", "&gt;")
+
+
+@F.pandas_udf(StringType())
+def html_text(html: pd.Series) -> pd.Series:
+    return html.map(visible, na_action="ignore")
 
 
 def html_title(html: Column) -> Column:
@@ -120,15 +160,24 @@ def xml_lines(root: ElementTree.Element) -> str:
     return re.sub(r"\n{3,}", "\n\n", "".join(out)).strip()
 
 
+def related(archive: zipfile.ZipFile, name: str) -> dict[str, str]:
+    """The parts that a part refers to, by relationship id."""
+    folder, _, file = name.rpartition("/")
+    if f"{folder}/_rels/{file}.rels" not in archive.namelist():
+        return {}
+    links = ElementTree.fromstring(archive.read(f"{folder}/_rels/{file}.rels"))
+    return {r.get("Id"): posixpath.normpath(posixpath.join("/" + folder, r.get("Target"))).lstrip("/") for r in links}
+
+
 def cells(archive: zipfile.ZipFile) -> str:
     """Sheets as lines: a heading for each sheet, a line for each cell that isn't empty."""
     read = lambda name: ElementTree.fromstring(archive.read(name))
     shared = ["".join(t.text or "" for t in si.iter() if t.tag.endswith("}t")) for si in read("xl/sharedStrings.xml")] if "xl/sharedStrings.xml" in archive.namelist() else []
-    titles = [s.get("name", "") for s in read("xl/workbook.xml").iter() if s.tag.endswith("}sheet")]
-    lines = []
-    for n, title in enumerate(titles, 1):
+    sheets = [(s.get("name", ""), next((v for k, v in s.items() if k.endswith("}id")), "")) for s in read("xl/workbook.xml").iter() if s.tag.rsplit("}", 1)[-1] == "sheet"]
+    parts, lines = related(archive, "xl/workbook.xml"), []
+    for n, (title, relation) in enumerate(sheets, 1):
         lines.append(f"## Foglio: {title}")
-        for cell in read(f"xl/worksheets/sheet{n}.xml").iter():
+        for cell in read(parts.get(relation, f"xl/worksheets/sheet{n}.xml")).iter():
             if cell.tag.endswith("}c"):
                 value = "".join(v.text or "" for v in cell.iter() if v.tag.rsplit("}", 1)[-1] in ("v", "t"))
                 value = shared[int(value)] if cell.get("t") == "s" and value else value
@@ -153,7 +202,9 @@ def office_text(content: bytes, kind: str, members: int = 20_000, most: int = 16
             return cells(archive)
         names = archive.namelist()
         if kind == "pptx":
-            slides = sorted((n for n in names if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[0]))
+            parts = related(archive, "ppt/presentation.xml")
+            ids = [next(v for k, v in s.items() if k.endswith("}id")) for s in ElementTree.fromstring(archive.read("ppt/presentation.xml")).iter() if s.tag.rsplit("}", 1)[-1] == "sldId"]
+            slides = [parts[i] for i in ids]
             return "\n\n".join(f"## Slide {k}\n\n{xml_lines(ElementTree.fromstring(archive.read(n)))}" for k, n in enumerate(slides, 1))
         parts = ["content.xml"] if kind == "odt" else ["word/document.xml", *sorted(n for n in names if re.fullmatch(r"word/(header|footer|footnotes|endnotes)\d*\.xml", n))]
         return "\n\n".join(x for x in (xml_lines(ElementTree.fromstring(archive.read(n))) for n in parts if n in names) if x)
@@ -175,6 +226,14 @@ def extract_office(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, "path string, text string, error string")
 
 
+def title_of(text: Column, path: Column) -> Column:
+    """The title that the front matter states, else the first heading of the first level, else the file's name with - and _ as spaces."""
+    body = F.regexp_replace(text, "^---\\r?\\n(?:[\\s\\S]*?\\r?\\n)?---(?:\\r?\\n|$)", "")
+    heading = F.nullif(F.trim(F.regexp_extract(body, "(?m)^# (.*)$", 1)), F.lit(""))
+    stem = F.regexp_replace(F.substring_index(path, "/", -1), "\\.[^.]*$", "")
+    return F.coalesce(front_matter(text)["title"], heading, F.regexp_replace(stem, "[-_]", " "))
+
+
 def front_matter(text: Column) -> Column:
     """state (READY without a block or with a plain one, else INVALID), and the values of title, status and client."""
     block = F.regexp_extract(F.replace(text, F.lit("\r\n"), F.lit("\n")), "^---\\n(?:([\\s\\S]*?)\\n)?---(?:\\n|$)", 1)

@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType
 
 from folioscope.operators.workflow import ATTEMPTS
 
@@ -25,26 +21,26 @@ def once_each(documents: DataFrame, key: str = "sha256") -> DataFrame:
 
 
 def job_states(events: DataFrame) -> DataFrame:
-    """(job, status, attempts) after each batch in which a job had events (job, kind): ready, waiting or blocked after too many errors."""
+    """(job, done, attempts) of each job with new events (job, kind), in update mode; status() reads the state from the last row."""
+    return events.groupBy("job").agg(F.max(F.col("kind") == "purchase").alias("done"), F.count_if(F.col("kind") == "error").alias("attempts"))
+
+
+def status(done: Column, attempts: Column) -> Column:
+    return F.when(attempts >= ATTEMPTS, "blocked").when(done, "ready").otherwise("waiting")
+
 
-    def fold(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        failed = state.get[0] if state.exists else 0
-        done = False
-        for batch in batches:
-            failed += int((batch["kind"] == "error").sum())
-            done = done or bool((batch["kind"] == "purchase").any())
-        state.update((failed,))
-        status = "blocked" if failed >= ATTEMPTS else "ready" if done else "waiting"
-        yield pd.DataFrame({"job": [key[0]], "status": [status], "attempts": [failed]})
+def run_once(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Everything that is there now through the stream, into a Parquet table below folder; ``batch`` says which batch wrote a row.
 
-    return events.groupBy("job").applyInPandasWithState(fold, "job long, status string, attempts long", "failed long", "update", GroupStateTimeout.NoTimeout)
+    A batch that is tried again overwrites what it wrote before.
+    """
 
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/out/batch={batch}")
 
-def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Everything that is there now through the stream, into a table in memory."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema.add("batch", IntegerType())).option("basePath", f"{folder}/out").parquet(f"{folder}/out")
 
 
 def windowed_counts(events: DataFrame, at: str, by: str, size: str = "1 day", late: str = "1 hour") -> DataFrame:

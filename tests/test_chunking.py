@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from folioscope.functions import chunking as C
@@ -38,4 +41,33 @@ def test_fragments_and_volumes(spark):
 
 def test_running_budget_stops_at_the_first_overflow(spark):
     items = spark.createDataFrame([(i, s) for i, s in enumerate([5, 5, 9, 1])], "o int, size int").withColumn("g", F.lit(1))
-    assert sorted(r["o"] for r in C.running_budget(items, ["g"], [F.col("o")], F.col("size"), 12).collect()) == [0, 1]
+    assert sorted(r["o"] for r in C.running_budget(items, ["g"], ["o"], "size", 12).collect()) == [0, 1]
+
+
+def test_fragments_end_between_characters(spark):
+    text = "".join(random.Random(3).choices(["a", "é", "€", "😀"], k=500))
+    got = [r[0] for r in spark.range(1).select(F.explode(C.fragments(F.lit(text), 10))).collect()]
+    assert "".join(got) == text and all(7 <= len(x.encode()) <= 10 for x in got[:-1])
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_volumes_over_many_ranges_equal_the_greedy_rule(spark, seed):
+    rng = random.Random(seed)
+    rows = [(g, i, rng.choice([0, 1, 5, 20, 59, 60, 61, 200]) if rng.random() < 0.3 else rng.randint(0, 9)) for g, n in (("a", 3), ("b", 900), ("c", 0), ("d", 70)) for i in range(n)]
+    want, filled, volume, last = {}, 0, 0, None
+    for g, i, size in rows:
+        filled, volume = (filled, volume) if g == last else (0, 0)
+        if filled > 0 and filled + size > 60:
+            filled, volume = 0, volume + 1
+        filled, last = filled + size, g
+        want[g, i] = volume
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "13")
+        items = spark.createDataFrame(rows, "g string, o int, size long").repartition(5)
+        got = {(r["g"], r["o"]): r["volume"] for r in C.volumes(items, ["g"], "o", "size", 60).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == want

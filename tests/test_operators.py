@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from folioscope.operators import catalog, context, evaluate, release, search, vectors, workflow
 from folioscope.sources import vault
+from folioscope.sources.shared import with_rank
 
 
 def indexed(spark, texts, titles=None):
@@ -83,7 +84,7 @@ def test_percentiles_interpolate(spark):
 
 def test_catalog(spark):
     files = spark.createDataFrame([("b", "x"), ("a", "x"), ("c", "y")], "path string, sha256 string")
-    assert {(r["path"], tuple(r["aliases"])) for r in catalog.deduplicated(files).collect()} == {("a", ("b",)), ("c", ())}
+    assert {(r["path"], r["canonical"], r["copies"]) for r in catalog.deduplicated(files).collect()} == {("a", "a", 2), ("b", "a", 2), ("c", "c", 1)}
     known = spark.createDataFrame([("a", "x", 1), ("b", "y", 3), ("z", "q", 1)], "path string, sha256 string, revision long")
     got = {r["path"]: (r["change"], r["revision"]) for r in catalog.reconciled(known, files).collect()}
     assert got == {"a": ("unchanged", 1), "b": ("revised", 4), "c": ("added", 1), "z": ("removed", 1)}
@@ -106,9 +107,41 @@ def test_eligibility_and_packing(spark):
     assert sorted(r["id"] for r in context.packed_with_skips(items, ["g"], F.col("id"), "id", "size", 19).collect()) == [0, 2, 3]
 
 
-def test_release_chain_ends_at_a_cycle(spark):
-    rows = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", None)], "release_id string, parent_id string")
-    assert {r["release_id"]: r["hop"] for r in release.release_chain(rows, "a", 6).collect()} == {"a": 0, "b": 1, "c": 2}
+def test_release_chain_refuses_a_cycle(spark):
+    rows = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "e"), ("e", None)], "release_id string, parent_id string")
+    assert {r["release_id"]: r["hop"] for r in release.release_chain(rows, "d", 6).collect()} == {"d": 0, "e": 1}
+    with pytest.raises(Exception, match="cycle"):
+        release.release_chain(rows, "a", 6).collect()
+
+
+def test_large_releases_and_folders_are_refused(spark):
+    files = spark.range(4).select(F.lit("r").alias("release_id"), F.concat(F.lit("01_CLIENTS/"), F.col("id").cast("string"), F.lit(".md")).alias("relativePath"))
+    releases = spark.createDataFrame([("r", None)], "release_id string, parent_id string")
+    with pytest.raises(Exception, match="too many documents"):
+        release.manifest_hash(files, releases, most=3).collect()
+    listed = files.select(F.col("relativePath").alias("path"), F.lit("t").alias("title"), F.lit("draft").alias("status"), F.lit(9).alias("size"))
+    assert release.browsed(listed).count() == 4
+    with pytest.raises(Exception, match="too large"):
+        release.browsed(listed, most=3).collect()
+    with pytest.raises(ValueError):
+        release.browsed(listed, "elsewhere")
+
+
+def test_changed_passages_are_refused(spark):
+    rows = spark.createDataFrame([("d", "p1", "l", "text", "no hash of it")], "document_id string, passage_id string, locator string, text string, sha256 string")
+    with pytest.raises(Exception, match="changed"):
+        catalog.read_passage(rows, "d", "p1").collect()
+
+
+def test_ranks_over_many_partitions(spark):
+    rows = spark.range(1000).select("id", (F.col("id") * 7 % 10).alias("x")).repartition(9)
+    got = [r["id"] for r in with_rank(rows, [F.desc("x"), F.col("id")]).orderBy("rank").collect()]
+    assert got == sorted(range(1000), key=lambda i: (-(i * 7 % 10), i))
+
+
+def test_gold_queries(spark, tmp_path):
+    (tmp_path / "g.json").write_text('[\n{"queryId": "q1", "text": "a", "relevantDocumentIds": ["x", "y"]},\n{"queryId": "q2", "text": "b", "relevantDocumentIds": []}]')
+    assert {tuple(r) for r in vault.read_gold(spark, str(tmp_path / "g.json")).collect()} == {("q1", "a", "x"), ("q1", "a", "y"), ("q2", "b", None)}
 
 
 def test_operation_ids_with_two_payloads_conflict(spark):
@@ -131,10 +164,15 @@ def test_office_files(spark):
         "xl/workbook.xml": f'<workbook {m}><sheets><sheet name="S"/></sheets></workbook>', "xl/sharedStrings.xml": f"<sst {m}><si><t>shared</t></si></sst>",
         "xl/worksheets/sheet1.xml": f'<worksheet {m}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C2"><v>7</v></c></row></sheetData></worksheet>',
     })
+    r = 'xmlns:r="http://r"'
+    rels = "<R><Relationship Id='a' Target='slides/slide2.xml'/><Relationship Id='b' Target='slides/slide1.xml'/></R>"
+    slide = lambda x: f"<s {w}><w:p><w:t>{x}</w:t></w:p></s>"
+    pptx = archive({"ppt/presentation.xml": f"<p {r}><sldId r:id='a'/><sldId r:id='b'/></p>", "ppt/_rels/presentation.xml.rels": rels, "ppt/slides/slide1.xml": slide("last"), "ppt/slides/slide2.xml": slide("first")})
     bomb = archive({"word/document.xml": "<!DOCTYPE x><a/>"})
-    rows = spark.createDataFrame([("a.docx", docx), ("b.xlsx", xlsx), ("c.docx", b"no zip"), ("d.docx", bomb)], "path string, content binary")
+    rows = spark.createDataFrame([("a.docx", docx), ("b.xlsx", xlsx), ("c.docx", b"no zip"), ("d.docx", bomb), ("e.pptx", pptx)], "path string, content binary")
     got = {r["path"]: (r["text"], r["error"] is None) for r in vault.extract_office(rows).collect()}
     assert got["a.docx"] == ("Hello\n\nWorld", True)
+    assert got["e.pptx"] == ("## Slide 1\n\nfirst\n\n## Slide 2\n\nlast", True)
     assert got["b.xlsx"] == ("## Foglio: S\n- Riga 1, colonna 1: shared\n- Riga 2, colonna 3: 7", True)
     assert not got["c.docx"][1] and not got["d.docx"][1]
 

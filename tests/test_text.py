@@ -42,6 +42,8 @@ def test_snippet_is_cut_around_the_first_term(spark):
     s = one(spark, T.snippet(F.lit(text), ["needle"]))
     assert s.startswith("...") and s.endswith("...") and "needle" in s and len(s) == 186
     assert one(spark, T.snippet(F.lit("short"), ["needle"])) == "short"
+    marked = "e\u0301" * 200 + " ne\u0301edle " + "y" * 300
+    assert "ne\u0301edle" in one(spark, T.snippet(F.lit(marked), ["needle"]))
 
 
 def test_codes_ids_and_embedding_text(spark):
@@ -52,7 +54,7 @@ def test_codes_ids_and_embedding_text(spark):
 
 
 def test_redaction_and_paths(spark):
-    assert one(spark, T.redact(F.lit("key sk-abcdefghijkl1 and Bearer abc.def"))) == "key [REDACTED_API_KEY] and Bearer [REDACTED]"
+    assert one(spark, T.redact(F.lit("key sk-abcdefghijkl1 and Bearer abc.def"))) == "key [REDACTED_API_KEY] and Bearer [REDACTED_TOKEN]"
     assert [one(spark, T.is_safe_path(F.lit(p))) for p in ("a/b.md", "a", "a/../b", "a//b", "a\\b/c", "./a")] == [True, False, False, False, False, False]
 
 
@@ -72,4 +74,5 @@ def test_front_matter(spark, text, state):
 def test_html_text(spark):
     html = "<title>T</title><script>var a='<p>';</script><p>a &amp; b</p><!-- c --><style>x</style>d"
     assert one(spark, vault.html_text(F.lit(html))) == "T a &amp;amp; b d"
+    assert one(spark, vault.html_text(F.lit('<p title="a>b">x</p><noscript><template>n</noscript></template></noscript>y<b unclosed'))) == "x y"
     assert one(spark, vault.html_title(F.lit(html))) == "T"
