@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.sources.shared import cut, shared_dir
+
 #: Text bytes that a task handles at once; the arrays over them, some 130 bytes a byte, stay within some 35 MB.
 SLICE_BYTES = 256 << 10
 
@@ -21,26 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where the session names none, a temporary one in local mode and an error elsewhere."""
-    sc = spark.sparkContext
-    known = sc._jsc.sc().getCheckpointDir()
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if known.isDefined():
-        return named or known.get()
-    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    folder = named or tempfile.mkdtemp(prefix="folioscope-")
-    sc.setCheckpointDir(folder)
-    return folder
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and reread from the shared folder, so that a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def stored(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: compressed, for what is too large to checkpoint as it stands."""
     folder = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
@@ -74,6 +54,31 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
         pa.default_memory_pool().release_unused()
 
 
+def rows_by_size(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that hold at most ``limit`` bytes together, or one longer text alone."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64)
+    low, size = 0, 0
+    for k, n in enumerate(sizes.tolist()):
+        if k > low and size + n > limit:
+            yield low, k
+            low, size = k, 0
+        size += n
+    if low < len(sizes):
+        yield low, len(sizes)
+
+
+def pieces_at(data: np.ndarray, allowed: np.ndarray, limit: int = SLICE_BYTES) -> list[tuple[int, int]]:
+    """Ranges of about ``limit`` bytes that cover data and begin at places that are allowed (rising); longer where there is none."""
+    cuts, last = [0], 0
+    while last + limit < len(data):
+        k = int(np.searchsorted(allowed, last + limit))
+        if k == len(allowed):
+            break
+        last = int(allowed[k])
+        cuts.append(last)
+    return list(zip(cuts, [*cuts[1:], len(data)], strict=True))
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts in a row, and the n + 1 offsets of the texts in them; a null counts as empty."""
     column = pc.fill_null(column, "").cast(pa.large_string())

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import fold_of, mix, slices, text_bytes
+from folioscope.llm.common import SLICE_BYTES, fold_of, mix, pieces_at, rows_by_size, slices, text_bytes
 
 
 @dataclass(frozen=True)
@@ -114,6 +114,16 @@ def features(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     return x, bags
 
 
+def parts_of(column: pa.Array, words: int) -> Iterator[np.ndarray]:
+    """The features of one text's passages, some at a time: a long text is cut where a passage begins."""
+    data, _ = text_bytes(column)
+    white = WHITE[data]
+    starts = np.flatnonzero(~white & np.concatenate([[True], white[:-1]])) if len(data) else np.zeros(0, np.int64)
+    for low, high in pieces_at(data, starts[words::words]):
+        piece = pa.LargeStringArray.from_buffers(1, pa.py_buffer(np.array([0, high - low], np.int64)), pa.py_buffer(np.ascontiguousarray(data[low:high])))
+        yield features(piece, words)[0]
+
+
 @dataclass
 class Model:
     settings: Settings
@@ -125,17 +135,39 @@ class Model:
         """The probability of label 1 of each bag."""
         return 1 / (1 + np.exp(-forward(self.p, (x - self.mean) / self.spread, bags)["logit"]))
 
+    def score_texts(self, column: pa.Array) -> np.ndarray:
+        """The same of each text. A long one is read in parts, whose attention sums are put on one scale and added."""
+        out = np.zeros(len(column))
+        for low, high in rows_by_size(column):
+            rows = column.slice(low, high - low)
+            if high - low > 1 or (pc.binary_length(rows)[0].as_py() or 0) <= SLICE_BYTES:
+                out[low:high] = self.score(*features(rows, self.settings.words))
+                continue
+            top, weight, total = -np.inf, 0.0, np.zeros(self.settings.hidden)
+            for x in parts_of(rows, self.settings.words):
+                h, e = encoded(self.p, (x - self.mean) / self.spread)[:2]
+                now = max(top, float(e.max()))
+                own = np.exp(e - now)
+                total, weight, top = total * np.exp(top - now) + own @ h, weight * np.exp(top - now) + own.sum(), now
+            out[low] = 1 / (1 + np.exp(-np.clip(total / weight @ self.p["c"] + self.p["d"], -30, 30)))
+        return out
+
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def encoded(p: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(encodings, attention before the softmax, its two gates) of passages."""
+    h = np.tanh(x @ p["W"] + p["b"])
+    t, u = np.tanh(h @ p["V"]), sigmoid(h @ p["U"])
+    return h, (t * u) @ p["w"], t, u
+
+
 def forward(p: dict[str, np.ndarray], x: np.ndarray, bags: np.ndarray) -> dict[str, np.ndarray]:
     starts = np.cumsum(bags) - bags
     own = np.repeat(np.arange(len(bags)), bags)
-    h = np.tanh(x @ p["W"] + p["b"])
-    t, u = np.tanh(h @ p["V"]), sigmoid(h @ p["U"])
-    e = (t * u) @ p["w"]
+    h, e, t, u = encoded(p, x)
     e = np.exp(e - np.maximum.reduceat(e, starts)[own])
     a = e / np.add.reduceat(e, starts)[own]
     z = np.add.reduceat(a[:, None] * h, starts)
@@ -216,7 +248,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
         for batch in slices(batches):
-            p = model.score(*features(batch.column("text"), model.settings.words))
+            p = model.score_texts(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
@@ -228,7 +260,7 @@ def remove_poor(docs: DataFrame, model: Model, least: float = 0.5, text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col):
-            p = shipped.value.score(*features(batch.column(text_col), shipped.value.settings.words))
+            p = shipped.value.score_texts(batch.column(text_col))
             yield batch.filter(pa.array(p >= least))
 
     return docs.mapInArrow(run, docs.schema)
