@@ -14,10 +14,11 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import fold_of, slices, text_bytes
+from folioscope.llm.common import SLICE_BYTES, fold_of, rows_by_size, slices, text_bytes
 
 UNKNOWN = "und"
 SIZES = (1, 2, 3)
@@ -220,22 +221,50 @@ def fit(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id"
     return Model(settings, languages, idf, weights, bias, t)
 
 
-def score(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Class probabilities of each text, and whether it has a letter."""
-    s = model.settings
-    codes, at = letters(column)
-    sums = np.zeros((len(column), len(model.languages)))
-    totals = np.zeros(len(column))
-    table = model.table()
+def summed(model: Model, codes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sum of the weights, number) of the n-grams that start in each of the stretches that begin at ``at``."""
+    sums, totals, table = np.zeros((len(at), len(model.languages))), np.zeros(len(at)), model.table()
     for size in SIZES:
-        b, held = grams(codes, size, s.buckets)
+        b, held = grams(codes, size, model.settings.buckets)
         held = np.pad(held, (0, len(codes) - len(held)))
-        b = np.where(held, np.pad(b, (0, len(codes) - len(b))), s.buckets)
-        sums += np.add.reduceat(table[b], at[:-1], axis=0, dtype=np.float64)
-        totals += np.add.reduceat(held, at[:-1], dtype=np.int64)
+        b = np.where(held, np.pad(b, (0, len(codes) - len(b))), model.settings.buckets)
+        sums += np.add.reduceat(table[b], at, axis=0, dtype=np.float64)
+        totals += np.add.reduceat(held, at, dtype=np.int64)
+    return sums, totals
+
+
+def in_parts(column: pa.Array) -> Iterator[tuple[np.ndarray, int]]:
+    """The letter codes of one long text, some at a time, each with the two that follow it, and how many are its own."""
+    data, _ = text_bytes(column)
+    for low in range(0, len(data), SLICE_BYTES):
+        # From the first character that begins at low to that at the next part, and two more.
+        begin, end = (p + int(np.argmax((data[p : p + 4] & 0xC0) != 0x80)) if p < len(data) else len(data) for p in (low, low + SLICE_BYTES))
+        stop = min(len(data), end + 12)
+        while stop < len(data) and data[stop] & 0xC0 == 0x80:
+            stop -= 1
+        codes, _ = letters(pa.array([data[begin:stop].tobytes().decode("utf-8", "replace")], pa.large_string()))
+        own = int(((data[begin:end] & 0xC0) != 0x80).sum())
+        yield codes[: own + 2], own
+
+
+def score(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Class probabilities of each text, and whether it has a letter; a long text is read in parts."""
+    sums, totals, lettered = np.zeros((len(column), len(model.languages))), np.zeros(len(column)), np.zeros(len(column), bool)
+    for low, high in rows_by_size(column):
+        rows = column.slice(low, high - low)
+        if high - low > 1 or (pc.binary_length(rows)[0].as_py() or 0) <= SLICE_BYTES:
+            codes, at = letters(rows)
+            sums[low:high], totals[low:high] = summed(model, codes, at[:-1])
+            lettered[low:high] = np.logical_or.reduceat(codes != 0, at[:-1])
+            continue
+        for codes, own in in_parts(rows):
+            s, n = summed(model, codes, np.array([0, own]))
+            sums[low] += s[0]
+            totals[low] += n[0]
+            lettered[low] |= bool(codes[:own].any())
     x = (sums / np.maximum(totals, 1)[:, None] + model.bias) / model.temperature
     p = np.exp(x - x.max(1, keepdims=True))
-    return p / p.sum(1, keepdims=True), np.logical_or.reduceat(codes != 0, at[:-1])
+    return p / p.sum(1, keepdims=True), lettered
 
 
 def named(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
