@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import cut, joined_by_count, mix, slices, stored, text_bytes
+from folioscope.llm.common import SLICE_BYTES, cut, joined_by_count, mix, pieces_at, slices, stored, text_bytes
 from folioscope.llm.components import connected_components
 
 
@@ -65,6 +65,14 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     n = len(column)
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(n, np.int64)
+    if n == 1 and len(data) > 2 * SLICE_BYTES:  # a long text, in parts that begin between words
+        hashes = np.concatenate([hashes_of(data[low:high], np.array([0, high - low]))[0] for low, high in pieces_at(data, np.flatnonzero(WHITE[data]))])
+        return hashes, np.array([len(hashes)])
+    return hashes_of(data, offsets)
+
+
+def hashes_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = len(offsets) - 1
     white = WHITE[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
