@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import slices, text_bytes
+from folioscope.llm.common import pieces_at, slices, text_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 META = "▁"
@@ -344,6 +344,19 @@ def encode(columns: list[pa.Array], v: Vocabulary, follows: Follows | None = Non
     return out
 
 
+def encode_long(column: pa.Array, v: Vocabulary, follows: Follows) -> pa.ListArray:
+    """Token ids of one long text, encoded in parts that begin at a single space between words, where segments do too."""
+    data, _ = text_bytes(pc.replace_substring(column.cast(pa.large_string()), META, " "))
+    space = data == 32
+    alone = np.flatnonzero(space[1:-1] & ~space[:-2] & ~space[2:]) + 1
+    ids = []
+    for low, high in pieces_at(data, alone):
+        begin = low + (low > 0)  # that space comes back as the one that opens a text
+        ids.append(encode([pa.array([data[begin:high].tobytes().decode("utf-8")], pa.large_string())], v, follows)[0].values)
+    flat = pa.concat_arrays(ids)
+    return pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat)
+
+
 def decode(ids: pa.ListArray, v: Vocabulary) -> pa.Array:
     """The texts of lists of ids: pieces in a row, byte pieces as their bytes, without the first word's mark."""
     value = dict.fromkeys(range(len(v.pieces)), b"")
@@ -376,7 +389,9 @@ def encode_documents(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id"
     shipped = docs.sparkSession.sparkContext.broadcast(load(model))
 
     def emit(window: list[pa.RecordBatch], v: Vocabulary, follows: Follows) -> Iterator[pa.RecordBatch]:
-        for batch, ids in zip(window, encode([b.column("text") for b in window], v, follows), strict=True):
+        long = len(window) == 1 and window[0].num_rows == 1 and window[0].column("text").nbytes > WINDOW_BYTES
+        found = [encode_long(window[0].column("text"), v, follows)] if long else encode([b.column("text") for b in window], v, follows)
+        for batch, ids in zip(window, found, strict=True):
             wanted = pc.replace_substring(pc.fill_null(batch.column("text"), "").cast(pa.large_string()), META, " ")
             same = pc.equal(decode(ids, v), wanted)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pc.list_value_length(ids), ids, same], names=["doc_id", "n_tokens", "ids", "round_trip"])
@@ -385,8 +400,12 @@ def encode_documents(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id"
         v = shipped.value
         follows, window, size = Follows(v), [], 0
         for batch in slices(batches):
+            own = batch.column("text").nbytes
+            if window and own > WINDOW_BYTES:
+                yield from emit(window, v, follows)
+                window, size = [], 0
             window.append(batch)
-            size += batch.column("text").nbytes
+            size += own
             if size >= WINDOW_BYTES:
                 yield from emit(window, v, follows)
                 window, size = [], 0

@@ -473,3 +473,64 @@ def test_decontamination_edges(spark, edge, empty):
     assert got == {(7, 3), (8, 3), (5, 4)}
     assert decontaminate.find(empty, items).count() == 0 and decontaminate.find(edge, items.limit(0)).count() == 0
     assert decontaminate.remove(edge, items.limit(0)).count() == len(EDGE)
+
+
+def long_text(size: int) -> str:
+    rng = random.Random(9)
+    words = ["alpha", "BETA,", "gamma", "d\u00e9lta", "\u20ac5", "\U0001f600", "x", "  ", "\n", "42", "the end."]
+    out, n = [], 0
+    while n < size:
+        out.append(rng.choice(words))
+        n += len(out[-1].encode()) + 1
+    return " ".join(out)
+
+
+def test_long_texts_in_parts_give_what_they_give_whole(monkeypatch):
+    text = long_text(60_000)
+    column = pa.array([text], pa.string())
+    rng = np.random.default_rng(3)
+    s = langid.Settings()
+    lang = langid.Model(s, ["a", "b", "c"], rng.random(s.buckets), rng.normal(size=(s.buckets, 3)), np.zeros(3), 1.0)
+    q = quality.Settings()
+    x, bags = quality.features(column, q.words)
+    model = quality.train(np.vstack([x, x[:1] + 1]), np.array([*bags, 1]), np.array([1.0, 0.0]), quality.Settings(steps=3))
+    v = sentencepiece.load()
+    whole = langid.score(lang, column), model.score_texts(column), jaccard.word_hashes(column), sentencepiece.encode([column], v)[0]
+    for module in (langid, quality, jaccard):
+        monkeypatch.setattr(module, "SLICE_BYTES", 7_001)
+    monkeypatch.setattr("folioscope.llm.common.rows_by_size.__defaults__", (7_001,))
+    monkeypatch.setattr("folioscope.llm.common.pieces_at.__defaults__", (7_001,))
+    assert np.allclose(whole[0][0], langid.score(lang, column)[0]) and langid.score(lang, column)[1].all()
+    assert np.allclose(whole[1], model.score_texts(column))
+    assert (whole[2][0] == jaccard.word_hashes(column)[0]).all()
+    assert whole[3].to_pylist() == sentencepiece.encode_long(column, v, sentencepiece.Follows(v)).to_pylist()
+
+
+def test_sites_edges(spark):
+    """Clashing columns, repeated rows and an empty table change nothing for pages and their URLs."""
+    html = lambda k: f"<p>Menu</p><article><p>Own {k}</p></article>"
+    rows = [(1, "http://h/a?x#y", html(1)), (2, "http://h/b", html(2)), (2, "http://h/b", html(2)), (None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    clash = pages.withColumns({c: F.lit("extra") for c in ("host", "path", "text", "digest", "keys", "lines", "main", "rule", "score", "blocked", "suffix", "shared", "often", "n")})
+    for table_ in (pages, clash):
+        got = sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in htmltext.extract(table_).collect())
+        assert got == [(0, "", 0), (1, "Own 1", 5), (2, "Own 2", 5), (2, "Own 2", 5)]
+        judged = [(r["page_id"], r["host"], r["path"]) for r in urlfilter.judge(table_, entries.RULES).collect()]
+        assert sorted(judged, key=str) == sorted([(1, "h", "/a"), (2, "h", "/b"), (2, "h", "/b"), (None, "", "")], key=str)
+    assert htmltext.extract(pages.limit(0)).count() == 0 and urlfilter.judge(pages.limit(0), entries.RULES).count() == 0
+
+
+def test_urls_of_hosts_not_learned_from(spark):
+    """The trees give what the rules say of URLs whose hosts they have not seen."""
+    rng = random.Random(4)
+    hosts = [f"{w}{k}.{t}" for k in range(40) for w, t in ((("shop", "com")), ("wiki", "org"))]
+    rows = [(k, f"http://{(h := hosts[k % 80])}/{'de/deal' if h.endswith('com') and k % 3 else 'page'}/{rng.randint(1, 9999)}") for k in range(4000)]
+    rules = [urlfilter.Rule("org", "/", urlfilter.ALLOW), urlfilter.Rule("com", "/de/", urlfilter.BLOCK), urlfilter.Rule("com", "/page/", urlfilter.ALLOW)]
+    held = [urlfilter.Rule(f"{h}", "/", urlfilter.BLOCK) for h in hosts[60:]]
+    urls = spark.createDataFrame(rows, "page_id long, url string")
+    truth = {r["page_id"]: r["verdict"] for r in urlfilter.judge(urls, rules).collect()}
+    unseen = urls.where(~F.col("url").rlike("|".join(re.escape(r.host) + "/" for r in held)))
+    hidden = urls.join(unseen, "page_id", "left_anti").withColumn("url", F.regexp_replace("url", "^http://([^./]+)[.](com|org)", "http://$1.$2.example"))
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urlfilter.judge(unseen.unionByName(hidden), rules).collect()}
+    judged = [k for k, (rule, _) in got.items() if rule is None]
+    assert len(judged) == hidden.count() and np.mean([got[k][1] == truth[k] for k in judged]) > 0.9

@@ -273,3 +273,11 @@ def test_payloads_come_back(spark):
     same = got[got.doc_id.isna() | (got.doc_id == 2)]
     assert same.drop(columns="doc_id").drop_duplicates().shape[0] == 1
     assert webp.store_and_read(docs.limit(0)).count() == 0
+
+
+def test_a_picture_of_another_encoder():
+    """The public one-pixel lossless sample that browsers' feature checks use."""
+    import base64
+
+    ((pixels,),) = webp.decode([base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA==")])
+    assert pixels.shape == (1, 1)
