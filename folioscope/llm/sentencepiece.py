@@ -26,7 +26,7 @@ from folioscope.llm.common import pieces_at, slices, text_bytes
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 META = "▁"
 #: Text bytes whose distinct segments are encoded together, and bytes of these that one suffix array indexes.
-WINDOW_BYTES = 8 << 20
+WINDOW_BYTES = 20 << 20
 INDEX_BYTES = 2 << 20
 NONE, START = -1, -2
 
@@ -46,11 +46,20 @@ class Vocabulary:
     run_scores: dict[int, tuple[float, int]]  # length of a run of spaces: score and id of its piece
     lengths: np.ndarray = field(default_factory=lambda: np.zeros(0))
     codes: np.ndarray = field(default_factory=lambda: np.zeros(0))  # code points of each token, padded with 0
+    _bytes: pa.Array | None = field(default=None, repr=False, compare=False)
 
     @property
     def size(self) -> int:
         return len(self.strings)
 
+    def bytes_of_ids(self) -> pa.Array:
+        """What each id decodes to."""
+        if self._bytes is None:
+            value = dict.fromkeys(range(len(self.pieces)), b"")
+            value |= {int(i): p.encode() for i, p in zip(self.ids, self.strings, strict=True)} | {i: b" " * n for n, (_, i) in self.run_scores.items()} | {int(i): bytes([b]) for b, i in enumerate(self.byte_ids)}
+            self._bytes = pa.array([value[i] for i in range(len(self.pieces))], pa.large_binary())
+        return self._bytes
+
 
 def merge(chars: list[str], rank: dict[str, int]) -> tuple[list[str], tuple[str, str] | None]:
     """The pieces that merging leaves (best rank first, leftmost among equals), and the last pair merged."""
@@ -359,10 +368,7 @@ def encode_long(column: pa.Array, v: Vocabulary, follows: Follows) -> pa.ListArr
 
 def decode(ids: pa.ListArray, v: Vocabulary) -> pa.Array:
     """The texts of lists of ids: pieces in a row, byte pieces as their bytes, without the first word's mark."""
-    value = dict.fromkeys(range(len(v.pieces)), b"")
-    value |= {int(i): p.encode() for i, p in zip(v.ids, v.strings, strict=True)} | {i: b" " * n for n, (_, i) in v.run_scores.items()} | {int(i): bytes([b]) for b, i in enumerate(v.byte_ids)}
-    table = pa.array([value[i] for i in range(len(v.pieces))], pa.large_binary())
-    flat = table.take(ids.flatten())
+    flat = v.bytes_of_ids().take(ids.flatten())
     if not len(flat):
         return pa.array([""] * len(ids), pa.large_string())
     data = flat.buffers()[2]
