@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
 from folioscope.operators import search as S
+from folioscope.sources.shared import cut
 
 VERSION = 2
 ATTRIBUTES = ("document_id", "path", "title", "category", "client", "project", "tags", "status", "updated_at")
@@ -37,21 +38,22 @@ class Store:
         return "ready" if version == VERSION else "outdated"
 
 
-def described(docs: DataFrame) -> DataFrame:
-    """A row per document: id, attributes (null where docs has none), length, and the text's hash."""
-    tokens = T.tokens(F.concat_ws(" ", "title", "text"))
+def described(docs: DataFrame, folder: str) -> DataFrame:
+    """A row per document: id, attributes (null where docs has none), the text's hash, and its tokens, with those of title
+    and tags; written below folder, so that no text is tokenised twice."""
     attributes = [F.col(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in ATTRIBUTES]
-    return docs.select("doc_id", *attributes, F.sha2("text", 256).alias("sha256"), F.col("title").alias("_title"), "text", tokens.alias("tokens"))
+    parts = {"tokens": F.concat_ws(" ", "title", "text"), "titles": F.col("title"), "marks": F.array_join("tags", " ")}
+    rows = docs.select("doc_id", *attributes, F.sha2("text", 256).alias("sha256"), *(T.tokens(x).alias(c) for c, x in parts.items()))
+    rows.write.parquet(f"{folder}/tokens")
+    return docs.sparkSession.read.parquet(f"{folder}/tokens").withColumn("length", F.size("tokens"))
 
 
-def postings(described_: DataFrame) -> DataFrame:
+def postings(rows: DataFrame) -> DataFrame:
     """(term, doc_id, tf, length, in_title, in_tags): one row for each term of a document, its title or its tags."""
-    row = described_.withColumns({"title_tokens": T.tokens(F.col("title")), "tag_tokens": T.tokens(F.array_join("tags", " "))})
-    row = row.select("doc_id", F.size("tokens").alias("length"), "tokens", F.array_distinct("title_tokens").alias("titles"), F.array_distinct("tag_tokens").alias("marks"))
-    word = lambda column, tf, title, mark: row.select("doc_id", "length", F.explode(column).alias("term"), F.lit(tf).alias("tf"), F.lit(title).alias("t"), F.lit(mark).alias("m"))
-    words = word("tokens", 1, 0, 0).unionByName(word("titles", 0, 1, 0)).unionByName(word("marks", 0, 0, 1))
-    found = words.groupBy("term", "doc_id", "length").agg(F.sum("tf").cast("int").alias("tf"), F.max("t").alias("t"), F.max("m").alias("m"))
-    return found.select("term", "doc_id", "tf", "length", (F.col("t") == 1).alias("in_title"), (F.col("m") == 1).alias("in_tags"))
+    mark = lambda column, kind: F.transform(column, lambda t: F.struct(t.alias("term"), F.lit(kind).alias("kind")))
+    words = rows.select("doc_id", "length", F.explode(F.concat(mark("tokens", 0), mark(F.array_distinct("titles"), 1), mark(F.array_distinct("marks"), 2))).alias("w")).select("doc_id", "length", "w.*")
+    found = words.groupBy("term", "doc_id", "length").agg(*(F.count_if(F.col("kind") == k).cast("int").alias(c) for k, c in enumerate(("tf", "t", "m"))))
+    return found.select("term", "doc_id", "tf", "length", (F.col("t") > 0).alias("in_title"), (F.col("m") > 0).alias("in_tags"))
 
 
 def write(documents: DataFrame, words: DataFrame, folder: str) -> Store:
@@ -65,8 +67,8 @@ def write(documents: DataFrame, words: DataFrame, folder: str) -> Store:
 
 
 def build(docs: DataFrame, folder: str) -> Store:
-    rows = described(docs)
-    return write(rows.withColumn("length", F.size("tokens")).drop("tokens", "text", "_title"), postings(rows), folder)
+    rows = described(docs, folder)
+    return write(rows.drop("tokens", "titles", "marks"), postings(rows), folder)
 
 
 def changes(known: DataFrame, docs: DataFrame) -> DataFrame:
@@ -79,11 +81,10 @@ def changes(known: DataFrame, docs: DataFrame) -> DataFrame:
 def updated(store: Store, docs: DataFrame, folder: str) -> Store:
     """The index of docs in a new folder; only documents that are new or changed are tokenised."""
     old = store.table("documents")
-    change = changes(old, docs)
+    change = cut(changes(old, docs))
     same = change.where("change = 'unchanged'").select("doc_id")
-    rows = described(docs.join(change.where("change in ('added', 'changed')").select("doc_id"), "doc_id", "left_semi"))
-    fresh = rows.withColumn("length", F.size("tokens")).drop("tokens", "text", "_title")
-    documents = old.join(same, "doc_id", "left_semi").unionByName(fresh)
+    rows = described(docs.join(change.where("change in ('added', 'changed')").select("doc_id"), "doc_id", "left_semi"), folder)
+    documents = old.join(same, "doc_id", "left_semi").unionByName(rows.drop("tokens", "titles", "marks"))
     words = store.table("postings").join(same, "doc_id", "left_semi").unionByName(postings(rows))
     return write(documents, words, folder)
 

@@ -16,7 +16,8 @@ from folioscope.plans import dialect as D
 from folioscope.plans.base import docs, files, labelled, mod, query
 from folioscope.sources import vault
 
-ID = F.col("doc_id").cast("string")
+def ident() -> Column:
+    return F.col("doc_id").cast("string")
 
 
 def case(n: int, values: list, otherwise=None) -> Column:
@@ -41,11 +42,11 @@ def plain_decode(s, d):
 def _notes(s: SparkSession, d: str) -> DataFrame:
     """documents as Markdown notes, with and without front matter and headings."""
     head = case(5, [
-        F.concat(F.lit('---\ntitle: "Note '), ID, F.lit('"\nstatus: draft\nclient: acme\n---\n# Other\n')), F.concat(F.lit("# Heading "), ID, F.lit("\n")), F.lit("---\nstatus: unheard\n---\n"),
+        F.concat(F.lit('---\ntitle: "Note '), ident(), F.lit('"\nstatus: draft\nclient: acme\n---\n# Other\n')), F.concat(F.lit("# Heading "), ident(), F.lit("\n")), F.lit("---\nstatus: unheard\n---\n"),
         F.lit("---\ntitle: never closed\n"), F.lit("---\r\nclient: 'beta'\r\n---\r\n"),
     ], "")
     body = F.regexp_replace("text", "(?m)^(#|---)", "x")
-    return docs(s, d).select("doc_id", F.concat(F.lit("01_CLIENTS/some-client_"), ID, F.lit(".md")).alias("path"), F.concat(head, body).alias("text"))
+    return docs(s, d).select("doc_id", F.concat(F.lit("01_CLIENTS/some-client_"), ident(), F.lit(".md")).alias("path"), F.concat(head, body).alias("text"))
 
 
 @query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Note ' || CAST(doc_id AS VARCHAR) WHEN 1 THEN 'Heading ' || CAST(doc_id AS VARCHAR) ELSE 'some client ' || CAST(doc_id AS VARCHAR) END AS title FROM documents")
@@ -96,9 +97,9 @@ def eligible_paths(s, d):
 
 def _scan(s, d):
     """A catalog and a later scan: doc_id % 10 says what happened to each file."""
-    rows = files(s, d).select("doc_id", "document_id", "path", F.concat_ws("-", ID, "sha256").alias("sha256"))
+    rows = files(s, d).select("doc_id", "document_id", "path", F.concat_ws("-", ident(), "sha256").alias("sha256"))
     known = rows.where("doc_id % 10 <> 0").select("document_id", "path", "sha256", (F.col("doc_id") % 3 + 1).cast("long").alias("revision"), F.lit("ready").alias("extraction"))
-    moved = F.when(mod(10, 3), F.concat(F.lit("20_RAW_SOURCES/moved/"), ID)).otherwise(F.col("path"))
+    moved = F.when(mod(10, 3), F.concat(F.lit("20_RAW_SOURCES/moved/"), ident())).otherwise(F.col("path"))
     found = rows.where("doc_id % 10 <> 1").select(
         moved.alias("path"), F.when(mod(10, 3), T.document_id(moved)).otherwise(F.col("document_id")).alias("document_id"), F.when(mod(10, 2), F.lit("new")).otherwise(F.col("sha256")).alias("sha256"),
     )
@@ -115,7 +116,7 @@ def reconcile_full(s, d):
 @query(f"""WITH {D.DOCS} SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'wiki' ELSE category END AS category, CASE doc_id % 3 WHEN 0 THEN 'acme' ELSE client END AS client, CASE doc_id % 3 WHEN 2 THEN NULL ELSE 'p' || CAST(doc_id AS VARCHAR) END AS project FROM docs""")
 def jobs_into_catalog(s, d):
     rows = docs(s, d).select("doc_id", "path", "category", "client", F.lit(None).cast("string").alias("project"))
-    jobs = rows.where("doc_id % 3 <> 2").select("path", F.when(mod(3), "wiki").otherwise(" ").alias("category"), F.when(mod(3), "acme").alias("client"), F.concat(F.lit("p"), ID).alias("project"))
+    jobs = rows.where("doc_id % 3 <> 2").select("path", F.when(mod(3), "wiki").otherwise(" ").alias("category"), F.when(mod(3), "acme").alias("client"), F.concat(F.lit("p"), ident()).alias("project"))
     return catalog.with_jobs(rows, jobs).select("doc_id", "category", "client", "project")
 
 
@@ -132,7 +133,7 @@ def source_restriction(s, d):
 def catalog_filters(s, d):
     conv = vault.read_table(s, d, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.collect_list("text").alias("passages"))
     rows = conv.withColumns({
-        "file_name": ID, "path": F.concat(F.lit("20_RAW_SOURCES/"), ID), "category": F.when(mod(4, 1), "talk").otherwise("other"), "extraction": F.when(mod(2, 1), "ready").otherwise("failed"),
+        "file_name": ident(), "path": F.concat(F.lit("20_RAW_SOURCES/"), ident()), "category": F.when(mod(4, 1), "talk").otherwise("other"), "extraction": F.when(mod(2, 1), "ready").otherwise("failed"),
         "extension": F.lit("txt"), "client": F.when(mod(2, 1), "ACME"), "project": F.lit(""),
     })
     return rows.where(catalog.listed(rows, "Thin", category="talk", status="ready", client="acme") | catalog.listed(rows, "7", category="talk", client="acme")).select("doc_id")
@@ -262,9 +263,9 @@ def wiki_validation(s, d):
 
 
 def _compiler(s, d):
-    rows = files(s, d).withColumn("path", F.concat(F.lit("20_RAW_SOURCES/"), ID, F.when(mod(6, 5), ".pdf").otherwise(".txt")))
+    rows = files(s, d).withColumn("path", F.concat(F.lit("20_RAW_SOURCES/"), ident(), F.when(mod(6, 5), ".pdf").otherwise(".txt")))
     sources = rows.select("doc_id", "path", F.when(~mod(6, 4), F.col("sha256")).alias("sha256"), F.lit("Title").alias("title"), F.col("text").alias("body"))
-    draft = F.concat(F.lit("90_PROPOSALS/"), ID)
+    draft = F.concat(F.lit("90_PROPOSALS/"), ident())
     past = rows.where("doc_id % 6 in (1, 2, 3)").select("path", F.when(mod(6, 2), "old").otherwise(F.col("sha256")).alias("sha256"), F.lit("0.2.0").alias("version"), draft.alias("draft"), "doc_id")
     return sources, past, past.where("doc_id % 6 <> 3").select(F.col("draft").alias("path"))
 
@@ -314,7 +315,7 @@ def release_inspection(s, d):
 def release_validation(s, d):
     rows = files(s, d).select("doc_id", "sha256", F.expr("doc_id div 20").alias("k"))
     k, first, second = F.col("k") % 5, mod(20), mod(20, 1)
-    path = F.when((k == 1) & first, "01_CLIENTS/../x").when((k == 2) & first, "01_CLIENTS/Café").when((k == 2) & second, "01_clients/café").otherwise(F.concat(F.lit("01_CLIENTS/"), ID))
+    path = F.when((k == 1) & first, "01_CLIENTS/../x").when((k == 2) & first, "01_CLIENTS/Café").when((k == 2) & second, "01_clients/café").otherwise(F.concat(F.lit("01_CLIENTS/"), ident()))
     size = F.when(k == 3, 8 << 20).when((k == 4) & first, (8 << 20) + 1).otherwise(100)
     padded = rows.select(F.concat(F.lit("r"), F.col("k").cast("string")).alias("release_id"), path.alias("path"), "sha256", size.cast("long").alias("size"))
     more = rows.where((k == 3) & first).select(F.concat(F.lit("r"), F.col("k").cast("string")).alias("release_id"), F.explode(F.sequence(F.lit(1), F.lit(40))).alias("n"), "sha256")
@@ -335,7 +336,7 @@ def vault_states(s, d):
 @query("SELECT '01_CLIENTS/' || CAST(doc_id AS VARCHAR) || '.md' AS path, CASE WHEN doc_id % 2 = 0 THEN 'T' ELSE CAST(doc_id AS VARCHAR) || '.md' END AS title, CASE doc_id % 3 WHEN 0 THEN 'approved' ELSE 'unspecified' END AS status FROM documents WHERE doc_id % 5 = 0 AND doc_id < 5000")
 def browse_folder(s, d):
     """A folder's listing; the folder is a fifth of the first 5,000 documents, as it may hold 1,000 files."""
-    name = F.concat(ID, F.lit(".md"))
+    name = F.concat(ident(), F.lit(".md"))
     folder = F.when(mod(5) & (F.col("doc_id") < 5000), "01_CLIENTS/").when(mod(5, 1), "01_CLIENTS/.").otherwise("02_PROJECTS/")
     rows = docs(s, d).select(F.concat(folder, name).alias("path"), F.when(mod(2), "T").alias("title"), F.when(mod(3), "approved").alias("status"), F.lit(100).alias("size"))
     return release.browsed(rows, "01_CLIENTS")

@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import os
+import subprocess
+import sys
+
 import duckdb
 import pytest
 
@@ -47,3 +51,8 @@ def test_every_twin_has_a_query():
 def test_release_chain_reads_all_orders(spark):
     plan = registry.QUERIES["release_chain"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
     assert "<= 40" not in plan
+
+
+def test_entry_is_read_without_a_session():
+    code = "import __spark_entry__ as e; e.queries(); e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.abspath(__spark_entry__.__file__)))
