@@ -26,8 +26,8 @@ from folioscope.llm.common import pieces_at, slices, text_bytes
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 META = "▁"
 #: Text bytes whose distinct segments are encoded together, and bytes of these that one suffix array indexes.
-WINDOW_BYTES = 20 << 20
-INDEX_BYTES = 2 << 20
+WINDOW_BYTES = 8 << 20
+INDEX_BYTES = 1 << 20
 NONE, START = -1, -2
 
 
