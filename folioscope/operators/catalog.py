@@ -176,3 +176,15 @@ def summary(documents: DataFrame) -> DataFrame:
 def path_collisions(paths: DataFrame) -> DataFrame:
     """(key, n): paths that are one but for case and the composition of their accents."""
     return paths.groupBy(T.collision_key(F.col("path")).alias("key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def import_copies(files: DataFrame, existing: DataFrame, largest: int = 32 << 20) -> DataFrame:
+    """(path, target, status) of files (path, sha256, size) to be copied: the target's name begins with the content's hash.
+
+    A target that exists (path, sha256) with equal bytes is there already, with other bytes a conflict; nothing is
+    overwritten, and a file that is too large is an error of its own.
+    """
+    target = F.concat(F.lit("20_RAW_SOURCES/"), F.substring("sha256", 1, 16), F.lit("-"), F.substring_index("path", "/", -1))
+    there = existing.select(F.col("path").alias("target"), F.col("sha256").alias("held"))
+    status = F.when(F.col("size") > largest, "error").when(F.col("held").isNull(), "copy").when(F.col("held") == F.col("sha256"), "there").otherwise("conflict")
+    return files.withColumn("target", target).join(there, "target", "left").select("path", "target", status.alias("status"))

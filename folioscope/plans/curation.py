@@ -6,15 +6,21 @@ out for each remainder, they do not repeat the operator.
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterator
+from xml.sax.saxutils import escape
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.functions import chunking as C
 from folioscope.functions import text as T
 from folioscope.operators import catalog, context, release, vectors, workflow
 from folioscope.plans import dialect as D
-from folioscope.plans.base import docs, files, labelled, mod, query
+from folioscope.plans.base import docs, files, mod, query
 from folioscope.sources import vault
+from folioscope.sources.shared import new_folder
 
 def ident() -> Column:
     return F.col("doc_id").cast("string")
@@ -83,6 +89,86 @@ def overlap_passages(s, d):
     return pairs.groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("shared"))
 
 
+# --- files -----------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, CAST(i - 1 AS INT) AS position, sha256(p[i]) AS paragraph FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents))")
+def paragraph_explosion(s, d):
+    return docs(s, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("position", "p")).select("doc_id", "position", F.sha2("p", 256).alias("paragraph"))
+
+
+@query("SELECT text, count(*) AS n FROM (SELECT trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM benchmark) WHERE text <> '' GROUP BY text".replace("\\\\", "\\"))
+def folder_walk(s, d):
+    """Text files written to a folder are found again, read and decoded."""
+    folder = new_folder(s, "walk")
+    vault.read_table(s, d, "benchmark").select(T.collapse(F.col("text")).alias("value")).where("value <> ''").repartition(3).write.text(f"{folder}/deep/er")
+    text = vault.read_folder(s, folder, ("txt",)).select(vault.decode_text(F.col("content")).alias("text"))
+    return text.select(F.explode(F.split("text", "\n")).alias("text")).where("text <> ''").groupBy("text").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT CAST(item_id AS VARCHAR) AS query_id, sha256(text) AS text, CASE WHEN item_id % 3 > 0 THEN 'd' || CAST(item_id + k AS VARCHAR) END AS document_id FROM benchmark, (SELECT unnest([0, 1]) AS k) WHERE k < greatest(1, item_id % 3)")
+def gold_queries(s, d):
+    """The gold set, a bounded list of queries, as one JSON array in a file."""
+    n = F.col("item_id") % 3
+    ids = F.transform(F.when(n == 0, F.array().cast("array<bigint>")).when(n == 1, F.array("item_id")).otherwise(F.array("item_id", F.col("item_id") + 1)), lambda x: F.concat(F.lit("d"), x.cast("string")))
+    rows = vault.read_table(s, d, "benchmark").select(F.struct(F.col("item_id").cast("string").alias("queryId"), "text", ids.alias("relevantDocumentIds")).alias("q"))
+    folder = new_folder(s, "gold")
+    rows.agg(F.to_json(F.collect_list("q")).alias("value")).coalesce(1).write.text(folder)
+    return vault.read_gold(s, folder).select("query_id", F.sha2("text", 256).alias("text"), "document_id")
+
+
+def _archive(files: dict[str, str]) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, content in files.items():
+            z.writestr(name, content)
+    return out.getvalue()
+
+
+def _office_file(kind: str, text: str) -> bytes:
+    """A small office file of a kind that holds a text, or no archive at all."""
+    text, w, r = escape(text), 'xmlns:w="http://w"', 'xmlns:r="http://r"'
+    paragraph = f"<w:p><w:r><w:t>{text}</w:t></w:r></w:p>"
+    if kind == "docx":
+        return _archive({"word/document.xml": f"<w:document {w}>{paragraph}</w:document>", "word/header1.xml": f"<w:hdr {w}><w:p><w:t>Header</w:t></w:p></w:hdr>"})
+    if kind == "pptx":
+        links = "".join(f"<Relationship Id='{i}' Target='slides/slide{n}.xml'/>" for i, n in (("a", 2), ("b", 1)))
+        return _archive({
+            "ppt/presentation.xml": f"<p {r}><sldId r:id='a'/><sldId r:id='b'/></p>", "ppt/_rels/presentation.xml.rels": f"<R>{links}</R>",
+            "ppt/slides/slide1.xml": f"<s {w}><w:p><w:t>Last</w:t></w:p></s>", "ppt/slides/slide2.xml": f"<s {w}>{paragraph}</s>",
+        })
+    if kind == "xlsx":
+        return _archive({
+            "xl/workbook.xml": f"<workbook {r}><sheets><sheet name='One' r:id='x'/></sheets></workbook>", "xl/_rels/workbook.xml.rels": "<R><Relationship Id='x' Target='worksheets/sheet7.xml'/></R>",
+            "xl/sharedStrings.xml": f"<sst xmlns='http://m'><si><t>{text}</t></si></sst>",
+            "xl/worksheets/sheet7.xml": "<worksheet xmlns='http://m'><row><c r='A1' t='s'><v>0</v></c><c r='AB2'><v>7</v></c><c r='C3'/></row></worksheet>",
+        })
+    return b"no archive"
+
+
+KINDS = ("docx", "pptx", "xlsx", "odt")
+
+
+@query("""SELECT item_id, CASE item_id % 4 WHEN 0 THEN text || chr(10) || chr(10) || 'Header' WHEN 1 THEN '## Slide 1' || chr(10) || chr(10) || text || chr(10) || chr(10) || '## Slide 2' || chr(10) || chr(10) || 'Last'
+    WHEN 2 THEN '## Foglio: One' || chr(10) || '- Riga 1, colonna 1: ' || text || chr(10) || '- Riga 2, colonna 28: 7' END AS text, CASE item_id % 4 WHEN 3 THEN 'failed' ELSE 'ready' END AS status FROM benchmark""")
+def office_files(s, d):
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(f"{r['item_id']}.{(kind := KINDS[r['item_id'] % 4])}", _office_file(kind, r["text"])) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.string()), pa.array([c for _, c in rows], pa.binary())], names=["path", "content"])
+
+    made = vault.read_table(s, d, "benchmark").select("item_id", "text").mapInArrow(make, "path string, content binary")
+    return vault.extract_office(made).select(F.substring_index("path", ".", 1).cast("long").alias("item_id"), "text", vault.extraction_status(F.col("error")).alias("status"))
+
+
+@query(f"""WITH {D.DOCS} SELECT path, '20_RAW_SOURCES/' || substr(sha256(text), 1, 16) || '-' || CAST(doc_id AS VARCHAR) || '.txt' AS target, CASE doc_id % 4 WHEN 1 THEN 'there' WHEN 2 THEN 'conflict' WHEN 3 THEN 'error' ELSE 'copy' END AS status FROM docs""")
+def import_copies(s, d):
+    rows = files(s, d).withColumn("size", F.when(mod(4, 3), (32 << 20) + 1).otherwise(F.col("size")))
+    name = F.concat(F.lit("20_RAW_SOURCES/"), F.substring("sha256", 1, 16), F.lit("-"), ident(), F.lit(".txt"))
+    held = rows.where("doc_id % 4 in (1, 2)").select(name.alias("path"), F.when(mod(4, 2), "other").otherwise(F.col("sha256")).alias("sha256"))
+    return catalog.import_copies(rows, held)
+
+
 # --- catalog ---------------------------------------------------------------------------------------------------------
 
 
