@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -136,6 +139,38 @@ def to_embed(passages: DataFrame, cache: DataFrame, model: str, dimensions: int)
     return passages.join(same, ["passage_id", "sha256", "embedded_text_sha256"], "left_anti").select("passage_id")
 
 
+#: Turns texts into as many vectors: a call to a local or remote model.
+Embedder = Callable[[list[str]], list[list[float]]]
+
+
+def synced(passages: DataFrame, cache: DataFrame, embed: Embedder, model: str, dimensions: int, size: int = 16) -> DataFrame:
+    """The cache after a sync with passages (passage_id, sha256, embedded_text_sha256, embedded_text).
+
+    Entries that are still right stay, those of passages that are gone fall away, and the other passages' texts go to
+    ``embed``, ``size`` at a time, on the executors. cache is only read: write the result to a new table and let it
+    take the old one's place when it is whole. To go on with a sync, or a change of model, that was cut off, give what it
+    had written as cache.
+    """
+    keys = ["passage_id", "sha256", "embedded_text_sha256"]
+    columns = [*keys, "model", "dimensions", "vector"]
+    missing = passages.join(to_embed(passages, cache, model, dimensions), "passage_id", "left_semi").select(*keys, "embedded_text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, size):
+                part = batch.slice(low, size)
+                found = embed(part.column("embedded_text").to_pylist())
+                if len(found) != part.num_rows or any(len(v) != dimensions for v in found):
+                    raise ValueError("vectors of another number or size than asked for")
+                rest = [pa.array([model] * len(found)), pa.array([dimensions] * len(found), pa.int32()), pa.array(found, pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keys), *rest], names=columns)
+
+    made = missing.mapInArrow(run, "passage_id string, sha256 string, embedded_text_sha256 string, model string, dimensions int, vector array<double>")
+    right = cache.where((F.col("model") == model) & (F.col("dimensions") == dimensions) & (F.size("vector") == dimensions))
+    kept = right.join(passages.select(*keys), keys, "left_semi").select(*columns[:-1], F.col("vector").cast("array<double>").alias("vector"))
+    return kept.unionByName(made)
+
+
 def stale_entries(cache: DataFrame, passages: DataFrame) -> DataFrame:
     """passage_id of cached vectors whose passage is gone."""
     return cache.select("passage_id").distinct().join(passages.select("passage_id"), "passage_id", "left_anti")

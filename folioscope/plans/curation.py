@@ -270,8 +270,10 @@ def read_passage(s, d):
 
 
 def _cache(s, d):
-    """Passages with the text that is embedded, and a cache in which turns 1 to 4 have vectors that are each wrong in one way."""
-    p = vault.transcripts(s, d).select("passage_id", "position", F.sha2("text", 256).alias("sha256"), F.sha2(T.embedding_text(F.lit("t"), F.lit("c"), F.col("locator"), F.col("text")), 256).alias("embedded_text_sha256"))
+    """Passages with the text that is embedded and its hash, and a cache in which turns 1 to 4 have vectors that are each wrong in one way."""
+    embedded = T.embedding_text(F.lit("t"), F.lit("c"), F.col("locator"), F.col("text"))
+    p = vault.transcripts(s, d).select("passage_id", "position", F.sha2("text", 256).alias("sha256"), embedded.alias("embedded_text"))
+    p = p.withColumn("embedded_text_sha256", F.sha2("embedded_text", 256))
     at = F.col("position")
     cache = p.where("position < 6").select(
         F.when(at == 5, F.concat(F.lit("gone_"), "passage_id")).otherwise(F.col("passage_id")).alias("passage_id"), F.when(at == 1, "old").otherwise(F.col("sha256")).alias("sha256"),
@@ -286,6 +288,16 @@ def to_embed(s, d):
     return vectors.to_embed(*_cache(s, d), "model", 2)
 
 
+@query("""WITH c AS (SELECT conv_id, turn, text, substr(concat_ws(chr(10), 't', 'c', 'Turno ' || CAST(turn AS VARCHAR)), 1, CAST(floor(length(text) * 0.2) AS INT)) AS context FROM conversations),
+    e AS (SELECT *, CASE WHEN trim(text) = '' OR context = '' THEN text ELSE context || chr(10) || text END AS t FROM c)
+    SELECT CAST(conv_id AS VARCHAR) || '_p' || CAST(turn AS VARCHAR) AS passage_id, CASE WHEN turn = 0 THEN 1.0 ELSE CAST(length(t) AS DOUBLE) END AS x,
+        CASE WHEN turn = 0 THEN 0.5 ELSE CAST(length(t) - length(replace(t, 'e', '')) AS DOUBLE) END AS y FROM e""")
+def embedding_sync(s, d):
+    """What is missing is embedded by a stand-in: a text's length and its letters e."""
+    made = vectors.synced(*_cache(s, d), lambda texts: [[float(len(t)), float(t.count("e"))] for t in texts], "model", 2)
+    return made.select("passage_id", F.col("vector")[0].alias("x"), F.col("vector")[1].alias("y"))
+
+
 @query("SELECT 'gone_' || CAST(conv_id AS VARCHAR) || '_p5' AS passage_id FROM conversations WHERE turn = 5")
 def stale_cache(s, d):
     p, cache = _cache(s, d)
@@ -440,13 +452,61 @@ def proposal_list(s, d):
     return workflow.proposals(rows, "purchase", "a")
 
 
-@query("""WITH RECURSIVE e AS (SELECT user_id // 1 AS p, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, CASE event_id % 5 WHEN 0 THEN 'save' WHEN 1 THEN 'revise' WHEN 2 THEN 'approve' WHEN 3 THEN 'reject' ELSE 'unknown' END AS a FROM events),
+@query("""WITH RECURSIVE e AS (SELECT user_id // 1 AS p, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, CASE event_id % 5 WHEN 0 THEN 'save' WHEN 1 THEN 'revise' WHEN 2 THEN 'approve' WHEN 3 THEN 'reject' ELSE 'unknown' END AS a, CASE WHEN event_id % 3 > 0 THEN event_id % 3 END AS r FROM events),
     f AS (SELECT DISTINCT p, CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS status, 0 AS revision, 0 AS refused FROM e
-          UNION ALL SELECT e.p, e.k, CASE WHEN a = 'save' AND (status IS NULL OR status = 'pending') OR a = 'revise' AND status = 'pending' THEN 'pending' WHEN a = 'approve' AND status = 'pending' THEN 'approved' WHEN a = 'reject' AND status = 'pending' THEN 'rejected' ELSE status END,
-                 revision + CASE WHEN a = 'save' AND (status IS NULL OR status = 'pending') OR a = 'revise' AND status = 'pending' THEN 1 ELSE 0 END,
-                 refused + CASE WHEN a = 'save' AND (status IS NULL OR status = 'pending') OR a IN ('revise', 'approve', 'reject') AND status = 'pending' THEN 0 ELSE 1 END
-          FROM f JOIN e ON e.p = f.p AND e.k = f.k + 1)
+          UNION ALL SELECT p, k, CASE WHEN NOT ok THEN status WHEN a = 'approve' THEN 'approved' WHEN a = 'reject' THEN 'rejected' ELSE 'pending' END, revision + CASE WHEN ok AND a IN ('save', 'revise') THEN 1 ELSE 0 END, refused + CASE WHEN ok THEN 0 ELSE 1 END
+          FROM (SELECT e.p, e.k, a, status, revision, refused, CASE WHEN a = 'save' THEN status IS NULL OR status = 'pending' ELSE a <> 'unknown' AND status IS NOT NULL AND status = 'pending' AND (r IS NULL OR r = revision) END AS ok FROM f JOIN e ON e.p = f.p AND e.k = f.k + 1))
     SELECT p AS proposal_id, arg_max(coalesce(status, ''), k) AS status, arg_max(revision, k) AS revision, arg_max(refused, k) AS refused FROM f GROUP BY p""")
 def proposal_history(s, d):
-    rows = vault.read_table(s, d, "events").withColumn("doc_id", F.col("event_id")).select(F.col("user_id").alias("proposal_id"), "ts", "event_id", case(5, ["save", "revise", "approve", "reject"], "unknown").alias("action"))
+    rows = vault.read_table(s, d, "events").withColumn("doc_id", F.col("event_id")).select(F.col("user_id").alias("proposal_id"), "ts", "event_id", case(5, ["save", "revise", "approve", "reject"], "unknown").alias("action"), case(3, [None, 1, 2]).cast("int").alias("revision"))
     return workflow.proposal_history(rows, ["ts", "event_id"]).withColumn("status", F.coalesce("status", F.lit("")))
+
+
+# --- jobs ------------------------------------------------------------------------------------------------------------
+
+
+def _jobs(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Sources, and jobs in a state for each remainder of doc_id by 8: none, ready, ready but edited, given up, failed once,
+    of older bytes, pending, and one whose source is gone."""
+    rows = files(s, d).select("doc_id", "path", "sha256")
+    jobs = rows.where(~mod(8)).select(
+        F.when(mod(8, 7), F.concat(F.lit("gone/"), "path")).otherwise(F.col("path")).alias("path"), F.when(mod(8, 5), "old").otherwise(workflow.fingerprint("v1", "m", F.col("sha256"))).alias("fingerprint"),
+        case(8, [None, "ready", "ready", "error", "error", "ready", "pending", "ready"]).alias("status"), case(8, [None, 1, 1, 3, 1, 2, 0, 2]).cast("int").alias("attempts"), (F.col("doc_id") % 8).isin(1, 5, 7).alias("current"),
+    )
+    return rows.select("path", "sha256"), jobs
+
+
+def _tick(ready: bool) -> str:
+    """The state of every job after a tick, by what remains of doc_id."""
+    return f"""WITH {D.DOCS}, j AS (SELECT path, CASE doc_id % 8 WHEN 1 THEN 'ready' WHEN 2 THEN 'error' WHEN 3 THEN 'error' WHEN 4 THEN 'error' ELSE 'pending' END AS status,
+            CASE doc_id % 8 WHEN 1 THEN 1 WHEN 2 THEN 3 WHEN 3 THEN 3 WHEN 4 THEN 1 ELSE 0 END AS attempts, doc_id % 8 NOT IN (1, 2, 3) AS due FROM docs),
+        k AS (SELECT *, {"due AND row_number() OVER (PARTITION BY due ORDER BY path) <= 3" if ready else "false"} AS called FROM j)
+        SELECT path, CASE WHEN called THEN 'processing' WHEN due AND NOT {ready} THEN 'waiting' ELSE status END AS status, attempts + CASE WHEN called THEN 1 ELSE 0 END AS attempts, called FROM k
+        UNION ALL SELECT 'gone/' || path, 'removed', 2, false FROM docs WHERE doc_id % 8 = 7"""
+
+
+@query(_tick(True))
+def job_tick(s, d):
+    return workflow.ticked(*_jobs(s, d), "v1", "m").drop("fingerprint")
+
+
+@query(_tick(False))
+def job_tick_waiting(s, d):
+    return workflow.ticked(*_jobs(s, d), "v1", "m", provider_ready=False).drop("fingerprint")
+
+
+def _results(s: SparkSession, d: str) -> DataFrame:
+    rows = docs(s, d).select("doc_id", "path")
+    results = rows.where(~mod(5, 4)).select("path", case(5, [None, "File protetto", "HTTP 500", "Formato non supportato"]).alias("error"))
+    return workflow.finished(rows.select("path", F.lit("processing").alias("status"), F.lit(1).alias("attempts")), results)
+
+
+@query(f"""WITH {D.DOCS} SELECT path, CASE doc_id % 5 WHEN 0 THEN 'ready' WHEN 4 THEN 'processing' ELSE 'error' END AS status, CASE WHEN doc_id % 5 IN (1, 3) THEN 3 ELSE 1 END AS attempts,
+    CASE doc_id % 5 WHEN 1 THEN 'File protetto' WHEN 2 THEN 'HTTP 500' WHEN 3 THEN 'Formato non supportato' ELSE '' END AS error FROM docs""")
+def job_results(s, d):
+    return _results(s, d).withColumn("error", F.coalesce("error", F.lit("")))
+
+
+@query(f"WITH {D.DOCS} SELECT path, CASE doc_id % 5 WHEN 0 THEN 'ready' WHEN 4 THEN 'processing' ELSE 'pending' END AS status, CASE WHEN doc_id % 5 IN (0, 4) THEN 1 ELSE 0 END AS attempts, '' AS error FROM docs")
+def job_retry(s, d):
+    return workflow.retried(_results(s, d)).withColumn("error", F.coalesce("error", F.lit("")))

@@ -184,3 +184,34 @@ def test_folders_skip_hidden_and_large_files(spark, tmp_path):
         (tmp_path / name).write_text("x")
     (tmp_path / "big.md").write_text("x" * 100)
     assert sorted(r["path"].rsplit("/", 1)[1] for r in vault.read_folder(spark, str(tmp_path), most=50).collect()) == ["a.md", "b.markdown"]
+
+
+def test_a_tick_counts_calls_and_keeps_order(spark):
+    sources = spark.createDataFrame([(f"s{k}", f"h{k}") for k in range(6)], "path string, sha256 string")
+    none = spark.createDataFrame([], "path string, fingerprint string, status string, attempts int, current boolean")
+    first = workflow.ticked(sources, none, "v", "m")
+    assert {r["path"] for r in first.where("called").collect()} == {"s0", "s1", "s2"} and first.where("status = 'pending'").count() == 3
+    # A call that never came back has used an attempt; after three of them a job is left alone.
+    jobs = first.drop("called").withColumn("current", F.lit(False))
+    for _ in range(2):
+        jobs = workflow.ticked(sources, jobs, "v", "m").drop("called").withColumn("current", F.lit(False))
+    then = workflow.ticked(sources, jobs, "v", "m")
+    assert {r["path"] for r in then.where("called").collect()} == {"s3", "s4", "s5"}
+    assert workflow.ticked(sources, jobs, "v", "other").where("attempts = 0").count() == 3
+    assert {r["status"] for r in workflow.ticked(sources.limit(0), jobs, "v", "m").collect()} == {"removed"}
+
+
+def test_a_sync_embeds_once_and_refuses_other_sizes(spark):
+    passages = spark.createDataFrame([(f"p{k}", f"h{k}", f"e{k}", "x" * k) for k in range(40)], "passage_id string, sha256 string, embedded_text_sha256 string, embedded_text string")
+    none = spark.createDataFrame([], "passage_id string, sha256 string, embedded_text_sha256 string, model string, dimensions int, vector array<double>")
+
+    def embed(texts):
+        assert len(texts) <= 16
+        return [[float(len(t))] for t in texts]
+
+    made = vectors.synced(passages, none, embed, "m", 1)
+    assert sorted(r["vector"][0] for r in made.collect()) == list(range(40))
+    again = vectors.synced(passages.where("passage_id <> 'p7'"), made, lambda texts: 1 / 0, "m", 1)
+    assert again.count() == 39
+    with pytest.raises(Exception, match="vectors of another number or size"):
+        vectors.synced(passages, none, embed, "m", 2).count()
