@@ -14,10 +14,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import SLICE_BYTES, fold_of, mix, pieces_at, rows_by_size, slices, text_bytes
+from folioscope.llm.common import SLICE_BYTES, cut, fold_of, mix, pieces_at, rows_by_size, slices, text_bytes
 
 
 @dataclass(frozen=True)
@@ -28,6 +28,9 @@ class Settings:
     attention: int = 8
     #: Labelled documents of each class that the weights are fitted on, chosen by a hash of the id.
     fit_rows: int = 1500
+    #: Bytes of text of each class that the weights are fitted on at most, in the order of that hash; a text of more than
+    #: a sixteenth of it is not fitted on. The features that reach the driver are about twice as large.
+    fit_bytes: int = 32 << 20
     steps: int = 400
     rate: float = 0.02
     decay: float = 1e-4
@@ -208,22 +211,32 @@ def train(x: np.ndarray, bags: np.ndarray, y: np.ndarray, s: Settings = Settings
     return Model(s, p, mean, spread)
 
 
-def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """A model of the labels of docs. Labels other than 0 and 1, or null, are passed over; so are texts of no passage.
+def training_rows(docs: DataFrame, labels: DataFrame, s: Settings, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """(doc_id, label, text) that a model is fitted on: whole texts, at most fit_rows and fit_bytes of each class.
 
-    The labelled documents that are learned from are at most fit_rows of each class, drawn by a hash of their ids; an
-    id that occurs several times is learned once, with its least text. Only the ids are broadcast, and only the
-    features of these documents' passages reach the driver.
+    They are drawn by a hash of their ids; an id that occurs several times is learned once, with its least text.
+    Labels other than 0 and 1, or null, are passed over.
     """
-    s = settings
     draw = F.xxhash64(F.lit("fit"), F.col(id_col).cast("string"))
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"), draw.alias("draw"))
     chosen = None
     for k in (0, 1):
         part = known.where(F.col("label") == k).orderBy("draw", "doc_id").limit(s.fit_rows)
         chosen = part if chosen is None else chosen.unionByName(part)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen.select("doc_id", "label").distinct()), "doc_id")
-    rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen.distinct()), "doc_id")
+    rows = cut(rows.groupBy("doc_id", "label", "draw").agg(F.min("text").alias("text")))
+    # Ids and sizes of at most fit_rows documents a class pass through the window, not their texts.
+    sizes = rows.select("doc_id", "label", "draw", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size")).where(F.col("size") * 16 <= s.fit_bytes)
+    so_far = F.sum("size").over(Window.partitionBy("label").orderBy("draw", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    kept = sizes.withColumn("so_far", so_far).where(F.col("so_far") <= s.fit_bytes)
+    return rows.join(F.broadcast(kept.select("doc_id", "label")), ["doc_id", "label"], "left_semi").select("doc_id", "label", "text")
+
+
+def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
+    """A model of the labels of docs, from training_rows(). Only the ids of these are broadcast, and only the features of
+    their passages reach the driver; fit_bytes bounds them."""
+    s = settings
+    rows = training_rows(docs, labels, s, id_col, text_col, label_col)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -232,7 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(bags)]) * WIDTH, pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), lists], names=["doc_id", "label", "x"])
 
-    found = rows.select("doc_id", "label", "text").mapInArrow(extract, "doc_id long, label int, x array<float>").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
+    found = rows.mapInArrow(extract, "doc_id long, label int, x array<float>").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
     # Features stay one array of four-byte floats: as Python numbers they would take the driver's memory many times over.
     xs = [np.asarray(c.flatten()).reshape(-1, WIDTH) for c in found["x"].chunks if len(c)]
     sizes = [n // WIDTH for n in pc.list_value_length(found["x"]).to_pylist()]

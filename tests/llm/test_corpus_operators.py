@@ -174,6 +174,21 @@ def test_quality_gradients():
             assert g[k][at] == pytest.approx((up - down) / 2e-6, abs=1e-5)
 
 
+def test_quality_is_fitted_on_a_bounded_sample(spark):
+    rows = [(k, "word " * (k % 7 + 1)) for k in range(400)] + [(400, "long " * 2000), (401, None), (3, "a repeated id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(410)] + [(5, 1), (None, 1), (6, None)], "doc_id long, quality int")
+    whole = quality.training_rows(docs, labels, quality.Settings()).collect()
+    assert sorted((r["doc_id"], r["label"]) for r in whole) == [(k, k % 2) for k in range(402)]
+    assert {r["text"] for r in whole if r["doc_id"] == 3} == {min("a repeated id", rows[3][1])}
+    most = 480
+    part = quality.training_rows(docs, labels, quality.Settings(fit_bytes=most)).collect()
+    for k in (0, 1):
+        sizes = [len((r["text"] or "").encode()) for r in part if r["label"] == k]
+        assert most - 30 < sum(sizes) <= most and max(sizes) <= most / 16
+    assert len(quality.training_rows(docs, labels, quality.Settings(fit_rows=4)).collect()) == 8
+
+
 def test_quality_edges(spark, edge, empty):
     labels = spark.createDataFrame([(7, 1), (8, 0), (99, 1), (None, 1), (3, None)], "doc_id long, quality int")
     got = quality.classify(edge, labels)
