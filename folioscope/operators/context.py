@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.functions import chunking as C
 from folioscope.functions import text as T
 
+
 def eligible(path: Column, category: Column, status: Column, drafts: bool = False) -> Column:
     """Safe path, no part named for secrets; raw sources approved, auto or without status, notes approved markdown."""
     clean = F.forall(F.split(F.lower(path), "/"), lambda p: ~p.rlike("^(secrets?|credentials|passwords?)"))
@@ -48,10 +50,10 @@ def packed_context(found: DataFrame, texts: DataFrame, most: int = 24_000, whole
     """(path, content) of a search's page (rank, path, matching_passage_id, matching_locator, passage) for a language model.
 
     A text of more than ``whole`` bytes is replaced by its matching passage behind the locator, or by its first
-    ``whole`` characters where it has none; what fits the budget is taken in order, what doesn't is skipped.
+    ``whole`` bytes, less a character cut in two, where it has none; what fits the budget is taken in order, what doesn't is skipped.
     """
     passage = F.concat(F.lit("["), "matching_locator", F.lit("] "), "passage")
-    short = F.when(F.octet_length("text") <= whole, F.col("text")).otherwise(F.coalesce(passage, F.substring("text", 1, whole)))
+    short = F.when(F.octet_length("text") <= whole, F.col("text")).otherwise(F.coalesce(passage, C.fragments(F.col("text"), whole)[0]))
     content = found.join(texts, "path").withColumn("content", short).withColumn("size", F.octet_length("content")).withColumn("one", F.lit(1))
     taken = packed_with_skips(content, ["one"], F.col("rank"), "path", "size", most, count)
     return content.join(taken.select("path"), "path", "left_semi").select("rank", "path", "content")

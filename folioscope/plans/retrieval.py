@@ -229,8 +229,10 @@ def fusion_winner(s, d):
 # --- context ---------------------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH RECURSIVE {D.bm25(['thing'], where="status <> 'draft'")}, h AS (SELECT path, score, doc_id, row_number() OVER (ORDER BY score DESC, path) AS rank, CASE WHEN strlen(text) <= 3000 THEN text ELSE CASE WHEN doc_id % 2 = 0 THEN '[Paragrafo 1] ' || substr(text, 1, 100) ELSE substr(text, 1, 3000) END END AS content FROM scored),
-    g AS (SELECT * FROM h WHERE rank <= 200), f AS (SELECT CAST(0 AS BIGINT) AS rank, CAST(0 AS BIGINT) AS used, 0 AS n, false AS taken
+@query(f"""WITH RECURSIVE {D.bm25(['thing'], where="status <> 'draft'")}, h AS (SELECT path, score, doc_id, text, row_number() OVER (ORDER BY score DESC, path) AS rank FROM scored),
+    g AS (SELECT rank, path, CASE WHEN strlen(text) <= 3000 THEN text WHEN doc_id % 2 = 0 THEN '[Paragrafo 1] ' || substr(text, 1, 100)
+            ELSE substr(text, 1, list_max(list_filter(range(0, 3001), lambda n: strlen(substr(text, 1, n)) <= 3000))) END AS content FROM h WHERE rank <= 200),
+    f AS (SELECT CAST(0 AS BIGINT) AS rank, CAST(0 AS BIGINT) AS used, 0 AS n, false AS taken
         UNION ALL SELECT g.rank, CASE WHEN used + strlen(content) <= 24000 AND n < 10 THEN used + strlen(content) ELSE used END, CASE WHEN used + strlen(content) <= 24000 AND n < 10 THEN n + 1 ELSE n END, used + strlen(content) <= 24000 AND n < 10 FROM f JOIN g ON g.rank = f.rank + 1)
     SELECT g.rank, g.path, sha256(g.content) AS content FROM g JOIN f USING (rank) WHERE taken""")
 def context_pack(s, d):
