@@ -29,7 +29,8 @@ class Settings:
     #: Labelled documents of each class that the weights are fitted on, chosen by a hash of the id.
     fit_rows: int = 1500
     #: Bytes of text of each class that the weights are fitted on at most, in the order of that hash; a text of more than
-    #: a sixteenth of it is not fitted on. The features that reach the driver are about twice as large.
+    #: a sixteenth of it is not fitted on. The features that reach the driver are about twice as large for words of usual
+    #: length, and under seven times for words of one letter.
     fit_bytes: int = 32 << 20
     steps: int = 400
     rate: float = 0.02
