@@ -151,12 +151,14 @@ def vectors(docs: DataFrame, text_col: str, lang_col: str, id_col: str, buckets:
 
     late = F.xxhash64(F.lit("calibrate"), F.col(id_col).cast("string")) % 5 == 0
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), late.alias("late"))
-    found = rows.mapInArrow(extract, "lang string, late boolean, ids array<int>, tfs array<float>").toArrow().combine_chunks()
-    # The lists stay one array each: as Python numbers they would take the driver's memory many times over.
-    ids, tfs = (pa.concat_arrays(found[c].chunks) if found.num_rows else pa.array([], pa.list_(pa.int32())) for c in ("ids", "tfs"))
-    ends, b, tf = np.asarray(ids.offsets), np.asarray(ids.values), np.asarray(tfs.values)
-    rows = zip(found["lang"].to_pylist(), found["late"].to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)
-    return [(lang, late, b[lo:hi], tf[lo:hi]) for lang, late, lo, hi in rows]
+    found = rows.mapInArrow(extract, "lang string, late boolean, ids array<int>, tfs array<float>").toArrow()
+    # What is returned are views of the lists where they lie: as copies or Python numbers they would take the driver's memory again.
+    out = []
+    for batch in found.to_batches():
+        ids, tfs = batch.column("ids"), batch.column("tfs")
+        ends, b, tf = np.asarray(ids.offsets), np.asarray(ids.values), np.asarray(tfs.values)
+        out += [(lang, late, b[lo:hi], tf[lo:hi]) for lang, late, lo, hi in zip(batch.column("lang").to_pylist(), batch.column("late").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    return out
 
 
 def ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], classes: int, s: Settings) -> tuple[np.ndarray, np.ndarray]:
@@ -218,6 +220,8 @@ def fit(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id"
     weights, bias = ftrl([(y, b, x) for y, late, b, x in rows if not late], len(languages), settings)
     kept = [(y, x @ weights[b] + bias) for y, late, b, x in rows if late]
     t = temperature(np.array([s for _, s in kept]), np.array([y for y, _ in kept])) if kept else 1.0
+    del rows
+    pa.default_memory_pool().release_unused()
     return Model(settings, languages, idf, weights, bias, t)
 
 

@@ -163,7 +163,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 def encoded(p: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, ...]:
     """(encodings, attention before the softmax, its two gates) of passages."""
-    h = np.tanh(x @ p["W"] + p["b"])
+    h = np.tanh(x @ p["W"].astype(x.dtype, copy=False) + p["b"])
     t, u = np.tanh(h @ p["V"]), sigmoid(h @ p["U"])
     return h, (t * u) @ p["w"], t, u
 
@@ -187,14 +187,17 @@ def backward(p: dict[str, np.ndarray], x: np.ndarray, f: dict[str, np.ndarray],
     dt, du = de[:, None] * p["w"] * u * (1 - t * t), de[:, None] * p["w"] * t * u * (1 - u)
     dh = a[:, None] * dz[own] + dt @ p["V"].T + du @ p["U"].T
     dpre = dh * (1 - h * h)
-    return {"W": x.T @ dpre, "b": dpre.sum(0), "V": h.T @ dt, "U": h.T @ du, "w": (t * u).T @ de, "c": f["z"].T @ error, "d": error.sum()}
+    return {"W": x.T @ dpre.astype(x.dtype, copy=False), "b": dpre.sum(0), "V": h.T @ dt, "U": h.T @ du, "w": (t * u).T @ de, "c": f["z"].T @ error, "d": error.sum()}
 
 
 def train(x: np.ndarray, bags: np.ndarray, y: np.ndarray, s: Settings = Settings()) -> Model:
     """Adam on all bags at once; classes weigh alike whatever their numbers."""
     rng = np.random.default_rng(11)
     mean, spread = x.mean(0), x.std(0) + 0.05
-    x = ((x - mean) / spread).astype(np.float32)
+    # As four-byte floats throughout: products with longer ones would copy all features at every step.
+    x = x.astype(np.float32)
+    x -= mean
+    x /= spread
     p = {
         "W": rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], s.hidden)), "b": np.zeros(s.hidden), "V": rng.normal(0, 0.3, (s.hidden, s.attention)),
         "U": rng.normal(0, 0.3, (s.hidden, s.attention)), "w": rng.normal(0, 0.3, s.attention), "c": rng.normal(0, 0.3, s.hidden), "d": np.zeros(()),
@@ -246,13 +249,18 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(bags)]) * WIDTH, pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), lists], names=["doc_id", "label", "x"])
 
-    found = rows.mapInArrow(extract, "doc_id long, label int, x array<float>").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
-    # Features stay one array of four-byte floats: as Python numbers they would take the driver's memory many times over.
-    xs = [np.asarray(c.flatten()).reshape(-1, WIDTH) for c in found["x"].chunks if len(c)]
-    sizes = [n // WIDTH for n in pc.list_value_length(found["x"]).to_pylist()]
+    def gathered() -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        found = rows.mapInArrow(extract, "doc_id long, label int, x array<float>").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
+        # Features stay arrays of four-byte floats: as Python numbers they would take the driver's memory many times over.
+        xs = [np.asarray(c.flatten()).reshape(-1, WIDTH) for c in found["x"].chunks if len(c)]
+        sizes = np.array(pc.list_value_length(found["x"]).to_pylist(), np.int64) // WIDTH
+        return [np.vstack(xs)] if xs else [], sizes, found["label"].to_numpy().astype(float)
+
+    xs, sizes, y = gathered()
+    pa.default_memory_pool().release_unused()
     if not xs:
         return Model(s, {"W": np.zeros((WIDTH, s.hidden)), "b": np.zeros(s.hidden), "V": np.zeros((s.hidden, s.attention)), "U": np.zeros((s.hidden, s.attention)), "w": np.zeros(s.attention), "c": np.zeros(s.hidden), "d": np.zeros(())}, np.zeros(WIDTH), np.ones(WIDTH))
-    return train(np.vstack(xs), np.array(sizes), found["label"].to_numpy().astype(float), s)
+    return train(xs.pop(), sizes, y, s)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
