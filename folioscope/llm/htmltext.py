@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import cut, stored
+from folioscope.llm.common import cut, joined_by_count, stored
 from folioscope.llm.urlfilter import host_of, path_of
 
 # Element names of HTML, and the words that mark an element's class, id or role as page furniture.
@@ -163,7 +163,9 @@ def paired(reps: DataFrame) -> DataFrame:
     sizes = reps.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     # At most four times the lines of a host's mean page.
     often = have.where("have > 4").join(sizes, "host").where(many(F.col("pages"), F.col("have"))).groupBy("host").agg(F.collect_list("key").alias("often"))
-    ordered = cut(reps.join(often, "host", "left").repartitionByRange("host", "path", "page_id", "digest").sortWithinPartitions("host", "path", "page_id", "digest"))
+    # Hosts of many line lists get their frequent lines by broadcast, so that none makes a task of its own.
+    joined = joined_by_count(reps, sizes.join(often, "host", "left"), "host", "pages")
+    ordered = cut(joined.repartitionByRange("host", "path", "page_id", "digest").sortWithinPartitions("host", "path", "page_id", "digest"))
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = last = None

@@ -351,6 +351,15 @@ def test_copies_are_paired_alike_in_any_partitions(spark, parts):
     assert got == {k: f"Own {k if k < 20 or k > 40 else k % 2}" for k in range(60)} | {99: ""}
 
 
+def test_a_very_common_host_is_paired_like_any(spark):
+    """Brute force over the order of a site: hosts above and below the bound of the broadcast get the same lines."""
+    html = lambda h, k: f"<p>Menu {h}</p><p>Own {h} {k}</p><article><p>Often {h}</p><p>Story {k}</p></article>"
+    rows = [(h * 10_000 + k, f"http://h{h}/{k:04d}", html(h, k)) for h, n in ((0, 1200), (1, 6), (2, 1)) for k in range(n)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(pages).collect()}
+    assert got == {h * 10_000 + k: f"Own {h} {k}\nStory {k}" for h, n in ((0, 1200), (1, 6)) for k in range(n)} | {20_000: "Menu 2\nOwn 2 0\nOften 2\nStory 0"}
+
+
 def test_url_rules(spark):
     urls = ["http://A.Example.ORG/es/1", "https://example.org/en/12", "https://example.org/en/2", "https://x.org", "http://b.com/fr/9?q#f", "http://b.com/de/", "http://notorg/", None, "no scheme", "x://com/fr/://org/es/"]
     rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
