@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import decontaminate, htmltext, jaccard, langid, quality, sentencepiece, sharding, urlfilter, warc, webp
+from folioscope.llm import decontaminate, dialogues, dialogues_sql, divergence, htmltext, jaccard, langid, quality, sentencepiece, sharding, tokencount, urlfilter, warc, webp
 from folioscope.llm.common import shared_dir, table
 
 
@@ -64,6 +64,18 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogues.repair(dialogues.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_jaccard": op2_jaccard,
@@ -75,6 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_urls": op8_urls,
     "op9_warc": op9_warc,
     "op10_decontaminate": op10_decontaminate,
+    "op11_dialogues": op11_dialogues,
+    "op12_divergence": op12_divergence,
+    "op13_token_counts": op13_token_counts,
 }
 
 ORACLES: dict[str, str] = {
@@ -97,4 +112,6 @@ ORACLES: dict[str, str] = {
                CASE WHEN page_id < r THEN r END AS refers_to
         FROM p LEFT JOIN m ON p.d = m.d
     """,
+    "op11_dialogues": dialogues_sql.SQL,
+    "op12_divergence": divergence.ORACLE_SQL,
 }
