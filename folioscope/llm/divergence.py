@@ -2,7 +2,8 @@
 
 Pass one counts exactly in how many of a language's documents each term occurs. Pass two builds automata (pyahocorasick) of the
 kept terms, each padded by a delimiter, and counts their occurrences over all texts. What was counted are sparse
-postings (language, source, term, count); terms that a source lacks enter the sums in closed form.
+postings (language, source, term, count); terms that a source lacks enter the sums in closed form. A kept term is known by its place
+among all in order, so neither counts nor pairs move words.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import cut, slices, stored, text_bytes
+from folioscope.sources.shared import with_rank
 
 LEAST_DOCUMENTS = 3
 TERM_RANKS = 200
@@ -25,7 +27,7 @@ AUTOMATA_TERMS = 1_000_000
 AUTOMATON_TERMS = 250_000
 #: Text bytes of a batch, and counts that a task holds before it passes them on.
 WINDOW_BYTES, HELD = 2 << 20, 1_000_000
-SCALE = 1_000_000_000
+SCALE, MOST = 1_000_000_000, (1 << 63) - 1
 #: Every ASCII byte that is no letter becomes a space, and A-Z becomes a-z; bytes of other characters stay.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -103,18 +105,22 @@ class Tally:
         self.counts = [np.bincount(inverse, np.concatenate(self.counts), len(keys)).astype(np.int64)]
         self.keys, self.size = [keys], len(keys)
 
-    def rows(self) -> Iterator[tuple[str, list[int], np.ndarray]]:
+    def rows(self) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
         self.merge()
         names = list(self.sources)
         owners, starts = np.unique(self.keys[0] >> 32, return_index=True)
         for owner, low, high in zip(owners.tolist(), starts.tolist(), [*starts.tolist()[1:], self.size], strict=True):
-            yield names[owner], (self.keys[0][low:high] & 0xFFFFFFFF).tolist(), self.counts[0][low:high]
+            yield names[owner], self.keys[0][low:high] & 0xFFFFFFFF, self.counts[0][low:high]
 
 
-def counted(rows: DataFrame, head: dict[str, list[list[str]]], all_terms: bool) -> DataFrame:
-    """(lang, source, term, n): occurrences of the head's terms, and of all others too where ``all_terms`` is set.
+Head = dict[str, list[tuple[list[str], np.ndarray]]]
+POSTINGS = "lang string, source string, id long, n long, term string"
 
-    head: for each language its terms, in lists of one automaton each.
+
+def counted(rows: DataFrame, head: Head, all_terms: bool) -> DataFrame:
+    """(lang, source, id, n, term): occurrences of the head's terms, and where ``all_terms`` is set those of all other words, without an id.
+
+    head: for each language its terms and their ids, in lists of one automaton each. Only words without an id carry the term.
     """
     shipped = rows.sparkSession.sparkContext.broadcast(head)
 
@@ -128,15 +134,15 @@ def counted(rows: DataFrame, head: dict[str, list[list[str]]], all_terms: bool)
                 places.setdefault((group["lang"], group["source"]), []).append(k)
             for (lang, source), rows_ in places.items():
                 if lang not in automata:
-                    automata[lang] = [automaton(terms) for terms in shipped.value.get(lang, [])]
+                    automata[lang] = [automaton(terms) for terms, _ in shipped.value.get(lang, [])]
                 text = f" {' '.join(texts.take(pa.array(rows_)).to_pylist())} "
                 for k, made in enumerate(automata[lang]):
                     tallies.setdefault((lang, k), Tally()).add(source, occurrences(made, text))
                 if all_terms:
                     if lang not in known:
-                        known[lang] = {t for terms in shipped.value.get(lang, []) for t in terms}
+                        known[lang] = {t for terms, _ in shipped.value.get(lang, []) for t in terms}
                     rest = Counter(t for t in text.split(" ") if t and t not in known[lang])
-                    yield made_batch(lang, source, list(rest), list(rest.values()))
+                    yield made_batch(lang, source, pa.nulls(len(rest), pa.int64()), list(rest.values()), pa.array(list(rest), pa.string()))
             if sum(t.size for t in tallies.values()) > HELD:
                 for tally in tallies.values():
                     tally.merge()
@@ -147,18 +153,18 @@ def counted(rows: DataFrame, head: dict[str, list[list[str]]], all_terms: bool)
 
     def flushed(tallies: dict) -> Iterator[pa.RecordBatch]:
         for (lang, k), tally in tallies.items():
-            terms = shipped.value[lang][k]
+            ids = shipped.value[lang][k][1]
             for source, found, n in tally.rows():
-                yield made_batch(lang, source, [terms[x] for x in found], n)
+                yield made_batch(lang, source, ids[found], n, pa.nulls(len(found), pa.string()))
 
-    def made_batch(lang: str, source: str, terms: list[str], n) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([lang] * len(terms), pa.string()), pa.array([source] * len(terms), pa.string()), pa.array(terms, pa.string()), pa.array(n, pa.int64())], names=["lang", "source", "term", "n"])
+    def made_batch(lang: str, source: str, ids, n, terms: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.repeat(lang, len(terms)), pa.repeat(source, len(terms)), pa.array(ids, pa.int64()), pa.array(n, pa.int64()), terms], names=["lang", "source", "id", "n", "term"])
 
-    return rows.mapInArrow(count, "lang string, source string, term string, n long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(count, POSTINGS).groupBy("lang", "source", "id", "term").agg(F.sum("n").alias("n"))
 
 
-def head_of(kept: DataFrame, most: int = AUTOMATA_TERMS, each: int = AUTOMATON_TERMS) -> tuple[dict[str, list[list[str]]], int | None]:
-    """The terms for automata, and the power of two from which df counts as frequent enough for one (None: nothing is left out).
+def head_of(kept: DataFrame, most: int = AUTOMATA_TERMS, each: int = AUTOMATON_TERMS) -> tuple[Head, bool]:
+    """The terms for automata, and whether they are all.
 
     At most ``most`` terms come to the driver: a histogram of df by powers of two says which powers fit.
     """
@@ -169,33 +175,37 @@ def head_of(kept: DataFrame, most: int = AUTOMATA_TERMS, each: int = AUTOMATON_T
         if total + sizes[p] > most:
             break
         least, total = p, total + sizes[p]
-    whole = total == sum(sizes.values())
-    head: dict[str, list[list[str]]] = {}
-    for batch in kept.where(power >= least).select("lang", "term").toArrow().to_batches():
-        for lang, term in zip(batch.column("lang").to_pylist(), batch.column("term").to_pylist(), strict=True):
-            lists = head.setdefault(lang, [[]])
-            if len(lists[-1]) == each:
-                lists.append([])
-            lists[-1].append(term)
-    return head, None if whole else least
+    terms: dict[str, tuple[list[str], list[int]]] = {}
+    for batch in kept.where(power >= least).select("lang", "term", "id").toArrow().to_batches():
+        for lang, term, id_ in zip(*(batch.column(c).to_pylist() for c in ("lang", "term", "id")), strict=True):
+            own = terms.setdefault(lang, ([], []))
+            own[0].append(term)
+            own[1].append(id_)
+    head = {lang: [(own[0][k : k + each], np.array(own[1][k : k + each])) for k in range(0, len(own[0]), each)] for lang, own in terms.items()}
+    return head, total == sum(sizes.values())
 
 
 def postings(rows: DataFrame, kept: DataFrame, most: int = AUTOMATA_TERMS, each: int = AUTOMATON_TERMS) -> DataFrame:
-    """(lang, source, term, n) of the kept terms, n above 0.
+    """(lang, source, id, n) of the kept terms, n above 0.
 
     Beyond ``most`` terms the rarest have no automaton: tasks count the words that automata leave over, and a join by shuffle
     picks the kept terms among them. So what is broadcast is bounded, and no term is lost.
     """
-    head, least = head_of(kept, most, each)
-    found = counted(rows, head, least is not None)
-    return found if least is None else found.join(kept.select("lang", "term"), ["lang", "term"], "left_semi").select("lang", "source", "term", "n")
+    head, whole = head_of(kept, most, each)
+    if whole:
+        return counted(rows, head, False).select("lang", "source", "id", "n")
+    found = cut(counted(rows, head, True))
+    rare = found.where("id IS NULL").drop("id").join(kept.select("lang", "term", "id"), ["lang", "term"])
+    return found.where("id IS NOT NULL").select("lang", "source", "id", "n").unionByName(rare.select("lang", "source", "id", "n"))
 
 
 def share(count: Column | str, total: Column | str, size: Column | str) -> Column:
     """1 + floor(SCALE * (count + 1) / (total + size)), exact for any long; where there are no terms, nothing uses it."""
-    whole = F.lit(SCALE).cast("decimal(10,0)") * (F.col(count) if isinstance(count, str) else count).cast("decimal(19,0)") + F.lit(SCALE).cast("decimal(10,0)")
-    parts = F.greatest(F.col(total).cast("decimal(19,0)") + F.col(size).cast("decimal(19,0)"), F.lit(1).cast("decimal(20,0)"))
-    return F.call_function("div", whole, parts) + F.lit(1)
+    count, total, size = (F.col(x) if isinstance(x, str) else x for x in (count, total, size))
+    divided = lambda count, total, size, kind: F.call_function("div", F.lit(SCALE).cast(kind) * (count + 1), F.greatest(total + size, F.lit(1).cast(kind)))
+    small = (count < SCALE) & (total < MOST // 2) & (size < MOST // 2)
+    exact = divided(*(x.cast("decimal(19,0)") for x in (count, total, size)), "decimal(19,0)")
+    return F.when(small, divided(count, total, size, "long")).otherwise(exact) + F.lit(1)
 
 
 def gap(p: Column | str, q: Column | str) -> Column:
@@ -219,9 +229,9 @@ def pair_values(groups: DataFrame, found: DataFrame) -> DataFrame:
     one = tallies.join(own, ["lang", "source"]).join(other, "lang").where("source <> item")
     first = one.select("lang", "source", "item", ((gap("p", "none_o") - gap("none_s", "none_o")) * F.col("times")).alias("value"))
     second = one.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), ((gap("none_o", "p") - gap("none_o", "none_s")) * F.col("times")).alias("value"))
-    left = found.join(own, ["lang", "source"]).select("lang", "term", "source", "p", "none_s")
-    right = left.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("q"), F.col("none_s").alias("none_o"))
-    both = left.join(right, ["lang", "term"]).where("source <> item")
+    left = found.join(own, ["lang", "source"]).select("id", "lang", "source", "p", "none_s")
+    right = left.select("id", F.col("source").alias("item"), F.col("p").alias("q"), F.col("none_s").alias("none_o"))
+    both = left.join(right, "id").where("source <> item")
     change = gap("p", "q") - gap("p", "none_o") - gap("none_s", "q") + gap("none_s", "none_o")
     third = both.groupBy("lang", "source", "item").agg(F.sum(change).alias("value"))
     changes = first.unionByName(second).groupBy("lang", "source", "item").agg(F.sum("value").alias("value")).unionByName(third).groupBy("lang", "source", "item").agg(F.sum("value").alias("change"))
@@ -230,11 +240,9 @@ def pair_values(groups: DataFrame, found: DataFrame) -> DataFrame:
     return pairs.join(changes, ["lang", "source", "item"], "left").select("lang", "source", "item", (base + F.coalesce("change", F.lit(0))).alias("value"))
 
 
-def ranked(rows: DataFrame, most: int | None = None) -> DataFrame:
-    """rows with rank: by value, largest first, then by the item's bytes, inside each (lang, source)."""
-    window = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), F.col("item"))
-    placed = rows.withColumn("rank", F.row_number().over(window))
-    return placed if most is None else placed.where(F.col("rank") <= most)
+def ranked(rows: DataFrame, tie: str) -> DataFrame:
+    """rows with rank: by value, largest first, then by ``tie``, inside each (lang, source)."""
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), F.col(tie))))
 
 
 def audit(docs: DataFrame, least: int = LEAST_DOCUMENTS, ranks: int = TERM_RANKS, columns: dict[str, str] | None = None, most: int = AUTOMATA_TERMS, each: int = AUTOMATON_TERMS) -> DataFrame:
@@ -245,20 +253,21 @@ def audit(docs: DataFrame, least: int = LEAST_DOCUMENTS, ranks: int = TERM_RANKS
     columns are not read. Ties go by the item's UTF-8 bytes.
     """
     rows = corpus(docs, columns)
-    kept = stored(document_frequencies(rows).where(F.col("df") >= least))
-    found = stored(postings(rows, kept, most, each))
+    kept = stored(with_rank(document_frequencies(rows).where(F.col("df") >= least), [F.col("lang"), F.col("term")], "id"))
+    found = cut(postings(rows, kept, most, each))
     totals = found.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
     zero = lambda name: F.coalesce(F.col(name), F.lit(0)).cast("long").alias(name)
     joined = rows.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(sizes, "lang", "left")
     groups = cut(joined.select("lang", "source", zero("total"), zero("v")))
-    shares = found.join(groups, ["lang", "source"]).select("lang", "source", "term", "n", share("n", "total", "v").alias("p"))
-    pairs = ranked(pair_values(groups, shares))
     langs = groups.groupBy("lang").agg(F.sum("total").alias("whole"), F.max("v").alias("size"))
-    common = found.groupBy("lang", "term").agg(F.sum("n").alias("m")).join(langs, "lang").select("lang", "term", share("m", "whole", "size").alias("q"))
-    terms = ranked(shares.join(common, ["lang", "term"]).where("p > q").select("lang", "source", F.col("term").alias("item"), gap("p", "q").alias("value")), ranks)
-    report = pairs.withColumn("part", F.lit("pair")).unionByName(terms.withColumn("part", F.lit("term")))
-    return report.select("lang", "source", "part", "item", "value", "rank")
+    common = found.groupBy("lang", "id").agg(F.sum("n").alias("m")).join(langs, "lang").select("id", share("m", "whole", "size").alias("q"))
+    shares = stored(found.join(groups, ["lang", "source"]).select("lang", "source", "id", "n", share("n", "total", "v").alias("p")).join(common, "id"))
+    pairs = ranked(pair_values(groups, shares), "item")
+    high = ranked(shares.where("p > q").select("lang", "source", "id", gap("p", "q").alias("value")), "id").where(F.col("rank") <= ranks)
+    terms = high.join(kept.select("id", F.col("term").alias("item")), "id")
+    columns_ = ["lang", "source", "part", "item", "value", "rank"]
+    return pairs.withColumn("part", F.lit("pair")).select(columns_).unionByName(terms.withColumn("part", F.lit("term")).select(columns_))
 
 
 ORACLE_SQL = r"""
