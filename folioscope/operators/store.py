@@ -1,140 +1,479 @@
-"""A search index kept as tables: postings sorted by term, documents without their texts, and one row of statistics.
+"""A search index kept as immutable segments: postings with positions and bounds, documents without their texts, passages.
 
-A search reads the row groups of its terms only; texts are read for the few documents of a page. Upkeep compares
-hashes: documents that are unchanged keep their postings, changed and new ones are tokenised, removed ones go.
+A search reads the row groups of its terms only, and of those the blocks of documents whose bound can still reach the
+page; texts are read for the passages of a page. Upkeep writes a segment of what is new or changed and tombstones for
+what it replaces, and merges the youngest segments as long as none is smaller than what follows it, so that an update costs in
+proportion to what changed and the number of segments grows with the logarithm of the number of updates.
+
+A folder holds one-row manifests, the newest of which names the segments; a segment's files never change. One writer
+at a time; readers keep the manifest that they opened.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
+from collections.abc import Callable
+from dataclasses import dataclass, field
+from functools import cached_property, reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow.compute as pc
+from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
 from folioscope.operators import search as S
 from folioscope.sources.shared import cut
 
-VERSION = 2
+VERSION = 3
 ATTRIBUTES = ("document_id", "path", "title", "category", "client", "project", "tags", "status", "updated_at")
+MANIFEST = "number long, version int, n long, words long, segments array<struct<path: string, documents: long, gone: long>>"
+#: Documents of a block, which is longer where a segment would have more blocks than a query may look at.
+BLOCK_DOCUMENTS, MOST_BLOCKS = 512, 16_000
+#: Blocks that give a search its first threshold; blocks that are named one by one in a filter.
+PROBED, NAMED = 4, 400
+#: How far rounding to cents may lift a score, and a little more.
+LIFT = 0.006
+Cutter = Callable[[DataFrame], DataFrame]
+
+
+@dataclass(frozen=True)
+class Segment:
+    path: str
+    documents: int
+    gone: int
 
 
 @dataclass(frozen=True)
 class Store:
     spark: SparkSession
     folder: str
+    opened: dict[str, DataFrame] = field(default_factory=dict, compare=False, repr=False)
+
+    @cached_property
+    def manifest(self) -> Row:
+        rows = self.spark.read.schema(MANIFEST).parquet(f"{self.folder}/manifest")
+        return rows.orderBy(F.desc("number")).first()
+
+    @property
+    def segments(self) -> list[Segment]:
+        return [Segment(*s) for s in self.manifest["segments"]]
+
+    @property
+    def average(self) -> float:
+        return max(self.manifest["words"] / self.manifest["n"], 1.0) if self.manifest["n"] else 1.0
+
+    def read(self, path: str) -> DataFrame:
+        """A table of a segment; its files are listed once."""
+        if path not in self.opened:
+            self.opened[path] = self.spark.read.parquet(path)
+        return self.opened[path]
+
+    def parts(self, name: str) -> list[tuple[DataFrame, DataFrame | None]]:
+        """For each segment its table and the ids that later segments took out of it, None where there are none."""
+        segments, out = self.segments, []
+        for k, segment in enumerate(segments):
+            later = [self.read(f"{s.path}/gone") for s in segments[k + 1 :] if s.gone]
+            out.append((self.read(f"{segment.path}/{name}"), reduce(DataFrame.unionByName, later) if later else None))
+        return out
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}")
+        """documents, postings or passages as they stand now, or stats: one row."""
+        if name == "stats":
+            one = self.spark.range(1)
+            return one.select(F.lit(self.manifest["n"]).alias("n"), F.lit(self.average).alias("avgdl"), F.lit(self.manifest["version"]).alias("version"))
+        rows = [part if gone is None else part.join(gone, "doc_id", "left_anti") for part, gone in self.parts(name)]
+        return reduce(DataFrame.unionByName, rows)
 
     def status(self) -> str:
         """missing, outdated or ready."""
         try:
-            version = self.table("stats").first()["version"]
-        except Exception as e:  # what a missing folder raises depends on the file system
-            if "PATH_NOT_FOUND" not in str(e):
+            version = self.manifest["version"]
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
             return "missing"
         return "ready" if version == VERSION else "outdated"
 
 
-def described(docs: DataFrame, folder: str) -> DataFrame:
-    """A row per document: id, attributes (null where docs has none), the text's hash, and its tokens, with those of title
-    and tags; written below folder, so that no text is tokenised twice."""
-    attributes = [F.col(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in ATTRIBUTES]
+# --- writing ---------------------------------------------------------------------------------------------------------
+
+
+def attributes(docs: DataFrame) -> list[Column]:
+    return [F.col(c) if c in docs.columns else F.lit(None).cast("array<string>" if c == "tags" else "string").alias(c) for c in ATTRIBUTES]
+
+
+def seal(docs: DataFrame) -> Column:
+    """A hash of all that is indexed of a document: its text and every attribute."""
+    return F.sha2(F.concat(F.to_json(F.struct(*attributes(docs))), F.sha2("text", 256)), 256)
+
+
+def described(docs: DataFrame) -> DataFrame:
+    """A row per document: id, attributes (null where docs has none), hashes, the text's beginning, and its tokens, with those of title and tags."""
     parts = {"tokens": F.concat_ws(" ", "title", "text"), "titles": F.col("title"), "marks": F.array_join("tags", " ")}
-    rows = docs.select("doc_id", *attributes, F.sha2("text", 256).alias("sha256"), *(T.tokens(x).alias(c) for c, x in parts.items()))
-    rows.write.parquet(f"{folder}/tokens")
-    return docs.sparkSession.read.parquet(f"{folder}/tokens").withColumn("length", F.size("tokens"))
+    given = docs.select("doc_id", *attributes(docs), "text")
+    return given.select(
+        "doc_id", *ATTRIBUTES, F.sha2("text", 256).alias("sha256"), seal(given).alias("seal"), F.substring("text", 1, 500).alias("head"),
+        *(T.tokens(x).alias(c) for c, x in parts.items()),
+    ).withColumn("length", F.size("tokens"))
 
 
-def postings(rows: DataFrame) -> DataFrame:
-    """(term, doc_id, tf, length, in_title, in_tags): one row for each term of a document, its title or its tags."""
-    mark = lambda column, kind: F.transform(column, lambda t: F.struct(t.alias("term"), F.lit(kind).alias("kind")))
-    words = rows.select("doc_id", "length", F.explode(F.concat(mark("tokens", 0), mark(F.array_distinct("titles"), 1), mark(F.array_distinct("marks"), 2))).alias("w")).select("doc_id", "length", "w.*")
-    found = words.groupBy("term", "doc_id", "length").agg(*(F.count_if(F.col("kind") == k).cast("int").alias(c) for k, c in enumerate(("tf", "t", "m"))))
-    return found.select("term", "doc_id", "tf", "length", (F.col("t") > 0).alias("in_title"), (F.col("m") > 0).alias("in_tags"))
+def block(lengths: dict[int, int]) -> Column:
+    """The block of a document: of those of about its length, dealt by hash. lengths: how many documents each class of lengths has."""
+    most = max(BLOCK_DOCUMENTS, sum(lengths.values()) // MOST_BLOCKS)
+    blocks = F.create_map(*(F.lit(x) for c, n in lengths.items() for x in (c, -(-n // most)))) if lengths else F.create_map().cast("map<int, int>")
+    return F.col("class").cast("long") * (1 << 32) + F.pmod(F.xxhash64("doc_id"), F.coalesce(blocks[F.col("class")], F.lit(1)))
 
 
-def write(documents: DataFrame, words: DataFrame, folder: str) -> Store:
-    documents.write.parquet(f"{folder}/documents")
-    # A term's rows lie together: readers skip the row groups of other terms by their bounds.
-    words.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{folder}/postings")
-    store = Store(documents.sparkSession, folder)
-    stats = store.table("documents").agg(F.count(F.lit(1)).alias("n"), F.greatest(F.avg("length"), F.lit(1.0)).alias("avgdl"), F.lit(VERSION).alias("version"))
-    stats.coalesce(1).write.parquet(f"{folder}/stats")
-    return store
+def length_class() -> Column:
+    return F.floor(F.log2(F.col("length") + 1) * 3).cast("int")
 
 
-def build(docs: DataFrame, folder: str) -> Store:
-    rows = described(docs, folder)
-    return write(rows.drop("tokens", "titles", "marks"), postings(rows), folder)
+def with_block(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, length) with their block; the classes of lengths, under a hundred, are counted."""
+    classed = rows.withColumn("class", length_class())
+    lengths = {r["class"]: r["n"] for r in classed.where("class IS NOT NULL").groupBy("class").agg(F.count_distinct("doc_id").alias("n")).collect()}
+    return classed.withColumn("block", block(lengths)).drop("class")
 
 
-def changes(known: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, change): added, changed, unchanged or removed, by the hash of the text."""
-    now = docs.select("doc_id", F.sha2("text", 256).alias("now"))
-    change = F.when(F.col("sha256").isNull(), "added").when(F.col("now").isNull(), "removed").when(F.col("now") != F.col("sha256"), "changed").otherwise("unchanged")
-    return known.select("doc_id", "sha256").join(now, "doc_id", "full_outer").select("doc_id", change.alias("change"))
+def words_of(passages: DataFrame) -> DataFrame:
+    """(doc_id, term, position, place): tokens of passages without a place, and all words that can be tokens with their place among the raw text's words."""
+    number, nothing = F.col("position").cast("int").alias("position"), F.lit(None).cast("int").alias("place")
+    tokens = passages.select("doc_id", number, F.explode(T.tokens(F.col("text"))).alias("term"), nothing)
+    plain = passages.select("doc_id", number, F.posexplode(F.split(T.fold(F.col("text")), "[^\\p{L}\\p{N}]+")).alias("place", "term"))
+    return tokens.unionByName(plain.where((F.char_length("term") >= 2) & ~F.col("term").isin(T.STOP_WORDS)))
 
 
-def updated(store: Store, docs: DataFrame, folder: str) -> Store:
-    """The index of docs in a new folder; only documents that are new or changed are tokenised."""
-    old = store.table("documents")
-    change = cut(changes(old, docs))
-    same = change.where("change = 'unchanged'").select("doc_id")
-    rows = described(docs.join(change.where("change in ('added', 'changed')").select("doc_id"), "doc_id", "left_semi"), folder)
-    documents = old.join(same, "doc_id", "left_semi").unionByName(rows.drop("tokens", "titles", "marks"))
-    words = store.table("postings").join(same, "doc_id", "left_semi").unionByName(postings(rows))
-    return write(documents, words, folder)
+def postings(rows: DataFrame, passages: DataFrame | None) -> DataFrame:
+    """(term, doc_id, block, tf, length, in_title, in_tags, at, places): a row for each term of a document, its title, tags or passages.
+
+    at: the passage of each occurrence; places: (passage, place) of each word of the raw passages. Both are bounded by the document.
+    """
+    mark = lambda column, kind: F.transform(column, lambda t: F.struct(t.alias("term"), F.lit(kind).alias("kind")))
+    marks = F.concat(mark("tokens", 0), mark(F.array_distinct("titles"), 1), mark(F.array_distinct(F.coalesce("marks", F.array().cast("array<string>"))), 2))
+    nothing = F.lit(None).cast("int")
+    words = rows.select("doc_id", "length", "block", F.explode(marks).alias("w")).select("doc_id", "length", "block", "w.*", nothing.alias("position"), nothing.alias("place"))
+    if passages is not None:
+        found = words_of(passages).select("doc_id", nothing.alias("length"), F.lit(None).cast("long").alias("block"), "term", F.when(F.col("place").isNull(), 3).otherwise(4).alias("kind"), "position", "place")
+        words = words.unionByName(found)
+    counts = [F.count_if(F.col("kind") == k).cast("int").alias(c) for k, c in enumerate(("tf", "t", "m"))]
+    at = F.sort_array(F.collect_list(F.when(F.col("kind") == 3, F.col("position")))).alias("at")
+    places = F.sort_array(F.collect_list(F.when(F.col("kind") == 4, F.struct("position", "place")))).alias("places")
+    found = words.groupBy("term", "doc_id").agg(F.max("length").alias("length"), F.max("block").alias("block"), *counts, at, places)
+    return found.select("term", "doc_id", "block", "tf", "length", (F.col("t") > 0).alias("in_title"), (F.col("m") > 0).alias("in_tags"), "at", "places")
+
+
+def new_segment(folder: str) -> str:
+    return f"{folder}/segments/{uuid.uuid4().hex}"
+
+
+def write_passages(path: str, spark: SparkSession, passages: DataFrame | None) -> DataFrame:
+    """The passages as they are kept, in order."""
+    none = spark.createDataFrame([], "doc_id long, position int, passage_id string, locator string, text string")
+    kept = none if passages is None else passages.select("doc_id", F.col("position").cast("int").alias("position"), "passage_id", "locator", "text")
+    kept.repartitionByRange("doc_id", "position").sortWithinPartitions("doc_id", "position").write.parquet(f"{path}/passages")
+    return spark.read.parquet(f"{path}/passages")
+
+
+def write_segment(path: str, documents: DataFrame, words: DataFrame, gone: DataFrame | None) -> tuple[Segment, int]:
+    """The segment whose passages are written, and how many tokens its documents have."""
+    spark = documents.sparkSession
+    documents.write.parquet(f"{path}/documents")
+    # A term's rows lie together, by block: readers skip row groups and pages of others by their bounds.
+    words.repartitionByRange("term", "block", "doc_id").sortWithinPartitions("term", "block", "doc_id").write.parquet(f"{path}/postings")
+    # A row without a block tells that some documents hold the term in passages only.
+    blocks = spark.read.parquet(f"{path}/postings").groupBy("term", "block").agg(
+        F.count_if(F.col("tf") > 0).alias("df"), F.max("tf").alias("tf"), F.min("length").alias("length"), F.max("in_title").alias("in_title"), F.max("in_tags").alias("in_tags"),
+    )
+    blocks.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.parquet(f"{path}/bounds")
+    (documents.select("doc_id").limit(0) if gone is None else gone.select("doc_id")).write.parquet(f"{path}/gone")
+    said = spark.read.parquet(f"{path}/documents").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("words")).first()
+    removed = 0 if gone is None else spark.read.parquet(f"{path}/gone").count()
+    return Segment(path, said["n"], removed), said["words"]
+
+
+def publish(spark: SparkSession, folder: str, number: int, n: int, words: int, segments: list[Segment], opened: dict | None = None, version: int = VERSION) -> Store:
+    """A new manifest; from now on whoever opens the folder sees these segments."""
+    row = [(number, version, n, words, [(s.path, s.documents, s.gone) for s in segments])]
+    spark.createDataFrame(row, MANIFEST).coalesce(1).write.mode("append").parquet(f"{folder}/manifest")
+    return Store(spark, folder, dict(opened or {}))
+
+
+def segment_of(docs: DataFrame, folder: str, cutter: Cutter | None, gone: DataFrame | None) -> tuple[Segment, int]:
+    """The segment of docs; texts are tokenised once."""
+    rows = described(docs).persist(StorageLevel.DISK_ONLY)
+    path = new_segment(folder)
+    passages = write_passages(path, docs.sparkSession, None if cutter is None else cutter(docs))
+    placed = with_block(rows)
+    out = write_segment(path, placed.drop("tokens", "titles", "marks"), postings(placed, None if cutter is None else passages), gone)
+    rows.unpersist()
+    return out
+
+
+def build(docs: DataFrame, folder: str, cutter: Cutter | None = None) -> Store:
+    """The index of docs (doc_id, text and any of ATTRIBUTES); cutter gives the passages (doc_id, position, passage_id, locator, text) of documents."""
+    segment, words = segment_of(docs, folder, cutter, None)
+    return publish(docs.sparkSession, folder, 1, segment.documents, words, [segment])
+
+
+def changes(known: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, change): added, changed, unchanged or removed, by the hash of the text and all indexed attributes."""
+    now = docs.select("doc_id", seal(docs).alias("now"))
+    change = F.when(F.col("seal").isNull(), "added").when(F.col("now").isNull(), "removed").when(F.col("now") != F.col("seal"), "changed").otherwise("unchanged")
+    return known.select("doc_id", "seal").join(now, "doc_id", "full_outer").select("doc_id", change.alias("change"))
+
+
+def updated(store: Store, docs: DataFrame, folder: str | None = None, cutter: Cutter | None = None) -> Store:
+    """The index of docs, in the store's folder or, as a fork that shares its segments, in another.
+
+    New and changed documents are tokenised and written with tombstones for what they replace and what is gone.
+    """
+    folder, old = folder or store.folder, store.table("documents").select("doc_id", "seal", "length")
+    change = cut(changes(old, docs).where("change <> 'unchanged'"))
+    gone = change.where("change <> 'added'").select("doc_id")
+    left = old.join(gone, "doc_id", "left_semi").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("words")).first()
+    fresh = docs.join(change.where("change <> 'removed'").select("doc_id"), "doc_id", "left_semi")
+    segment, words = segment_of(fresh, folder, cutter, gone)
+    n, words = store.manifest["n"] - left["n"] + segment.documents, store.manifest["words"] - left["words"] + words
+    number, segments = store.manifest["number"] + 1, [*store.segments, segment]
+    start = merge_from(segments)
+    if start < len(segments) - 1:
+        # The step between: readers of it see the same documents.
+        step = publish(store.spark, folder, number, n, words, segments, store.opened)
+        number, segments = number + 1, [*segments[:start], merged(step, start, folder)]
+    return publish(store.spark, folder, number, n, words, segments, store.opened)
+
+
+def merge_from(segments: list[Segment]) -> int:
+    """The first of the youngest segments to merge: each one that is no larger than all after it together."""
+    start, total = len(segments) - 1, segments[-1].documents + segments[-1].gone
+    while start and segments[start - 1].documents + segments[start - 1].gone <= total:
+        start -= 1
+        total += segments[start].documents + segments[start].gone
+    return start
+
+
+def merged(store: Store, start: int, folder: str) -> Segment:
+    """The store's segments from ``start`` on as one; tombstones stay as long as older segments do."""
+    young = [s.path for s in store.segments[start:]]
+    live = lambda name: reduce(DataFrame.unionByName, [part if gone is None else part.join(gone, "doc_id", "left_anti") for part, gone in store.parts(name)[start:]])
+    documents = with_block(live("documents").drop("block"))
+    words = live("postings")
+    # A row of passages alone has no length and stays without a block.
+    words = with_block(words.drop("block")).select(words.columns)
+    gone = reduce(DataFrame.unionByName, [store.read(f"{path}/gone") for path in young]).distinct() if start else None
+    path = new_segment(folder)
+    write_passages(path, store.spark, live("passages"))
+    return write_segment(path, documents, words, gone)[0]
 
 
 def stale(store: Store, found: DataFrame, docs: DataFrame) -> DataFrame:
-    """doc_id of the found documents whose bytes are no longer those that were indexed; such a search must not be used."""
-    hits = store.table("documents").join(found.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "sha256")
+    """doc_id of the found documents that are no longer what was indexed; such a search must not be used."""
+    hits = store.table("documents").join(found.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "seal")
     return changes(hits, docs.join(hits.select("doc_id"), "doc_id", "left_semi")).where("change <> 'unchanged'").select("doc_id")
 
 
-def weights(store: Store, terms: list[str]) -> DataFrame:
-    """The postings of terms with their idf, from all documents; terms that no text has keep an idf for their boosts."""
-    found = store.table("postings").where(F.col("term").isin(*terms))
-    df = found.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
-    stats = store.table("stats").select("n", "avgdl")
-    return found.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats)).withColumn("idf", F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)
+# --- searching -------------------------------------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Bounds:
+    """What the bounds say of a query's terms: idf of each, and the most that a document of each block can score."""
+
+    idf: dict[str, float]
+    blocks: np.ndarray
+    most: np.ndarray
+    apart: bool = False  # whether a document may hold a term in its passages only
+
+    def reaching(self, score: float | None) -> list[int]:
+        """The blocks in which a document may score so much."""
+        return (self.blocks if score is None else self.blocks[self.most + LIFT >= score]).tolist()
+
+
+def bounds(store: Store, terms: list[str], boosts: bool = True, normed: bool = True) -> Bounds:
+    """At most MOST_BLOCKS or so rows a term and segment come to the driver."""
+    wanted = F.col("term").isin(*terms)
+    found = reduce(DataFrame.unionByName, [store.read(f"{s.path}/bounds").where(wanted) for s in store.segments]).toArrow()
+    apart = found.column("block").null_count > 0
+    found = found.filter(pc.is_valid(found.column("block")))
+    df = {t: 0 for t in terms}
+    names = found.column("term").to_pylist()
+    for term, n in zip(names, found.column("df").to_pylist(), strict=True):
+        df[term] += n
+    # Of documents that were replaced since, the segments' own counts still tell.
+    dead = [part.where(wanted & (F.col("tf") > 0)).join(gone, "doc_id", "left_semi").select("term") for part, gone in store.parts("postings") if gone is not None]
+    if dead:
+        for r in reduce(DataFrame.unionByName, dead).groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect():
+            df[r["term"]] -= r["n"]
+    n = store.manifest["n"]
+    idf = {t: float(np.log((n + 1) / (df[t] + 1)) + 1) for t in terms}
+    tf, length = (found.column(c).to_numpy().astype(np.float64) for c in ("tf", "length"))
+    weight = np.array([idf[t] for t in names]) if names else np.zeros(0)
+    part = weight * tf * (S.K1 + 1) / np.maximum(tf + S.K1 * (1 - S.B + S.B * length / store.average), 1e-9) if normed else weight * tf
+    if boosts:
+        part = part + S.TITLE_BOOST * found.column("in_title").to_numpy() + S.TAG_BOOST * found.column("in_tags").to_numpy()
+    blocks, inverse = np.unique(found.column("block").to_numpy(), return_inverse=True)
+    return Bounds(idf, blocks, np.bincount(inverse, part, len(blocks)), apart)
 
 
-def scored(store: Store, q: S.SearchQuery, terms: list[str], where: Column | None = None, boosts: bool = True, normed: bool = True) -> DataFrame:
-    """Documents with a score over 0 and their attributes; neither filters nor ``where`` move the statistics."""
-    norm = S.K1 * (1 - S.B + S.B * F.col("length") / F.col("avgdl"))
-    part = F.col("idf") * F.col("tf") * (S.K1 + 1) / (F.col("tf") + norm) if normed else F.col("idf") * F.col("tf")
-    part = F.when(F.col("tf") > 0, part).otherwise(0.0)
+def in_blocks(rows: DataFrame, blocks: list[int] | None) -> DataFrame:
+    if blocks is None:
+        return rows
+    if len(blocks) <= NAMED:
+        return rows.where(F.col("block").isin(*blocks) if blocks else F.lit(False))
+    # Bounded as the bounds are.
+    return rows.join(F.broadcast(rows.sparkSession.createDataFrame([(b,) for b in blocks], "block long")), "block", "left_semi")
+
+
+def weighted(store: Store, idf: dict[str, float], boosts: bool, normed: bool) -> Column:
+    """What one posting adds to its document's score."""
+    weight = weight_of(F.col("term"), idf)
+    norm = S.K1 * (1 - S.B + S.B * F.col("length") / store.average)
+    part = F.when(F.col("tf") > 0, weight * F.col("tf") * (S.K1 + 1) / (F.col("tf") + norm) if normed else weight * F.col("tf")).otherwise(0.0)
     if boosts:
         part = part + F.when(F.col("in_title"), S.TITLE_BOOST).otherwise(0.0) + F.when(F.col("in_tags"), S.TAG_BOOST).otherwise(0.0)
-    sums = weights(store, terms).withColumn("part", part).groupBy("doc_id").agg(F.sum("part").alias("raw")).where("raw > 0")
-    kept = store.table("documents").where(S.filters(q))
+    return part
+
+
+def scored(store: Store, q: S.SearchQuery, terms: list[str], where: Column | None = None, boosts: bool = True, normed: bool = True, known: Bounds | None = None, blocks: list[int] | None = None) -> DataFrame:
+    """Documents with a score over 0 and their attributes, of some blocks or all; neither filters nor ``where`` move the statistics."""
+    known = known or bounds(store, terms, boosts, normed)
+    found = in_blocks(store.table("postings").where(F.col("term").isin(*terms)), blocks)
+    sums = found.withColumn("part", weighted(store, known.idf, boosts, normed)).groupBy("doc_id").agg(F.sum("part").alias("raw")).where("raw > 0")
+    kept = in_blocks(store.table("documents"), blocks).where(S.filters(q))
     if where is not None:
         kept = kept.where(where)
     return kept.join(sums, "doc_id").withColumn("score", T.cents(F.round("raw", 9)))
 
 
+def blocks_to_read(store: Store, q: S.SearchQuery, terms: list[str], known: Bounds, where: Column | None = None, boosts: bool = True, normed: bool = True) -> list[int]:
+    """The blocks that a page needs: those of the highest bounds are scored, and whatever cannot reach the page's last score there is left out."""
+    wanted = q.offset + q.limit
+    if len(known.blocks) <= PROBED or not wanted:
+        return known.reaching(None)
+    probe = known.blocks[np.argsort(-known.most, kind="stable")[:PROBED]].tolist()
+    last = scored(store, q, terms, where, boosts, normed, known, probe).select("score").orderBy(F.desc("score")).offset(wanted - 1).limit(1).collect()
+    return known.reaching(last[0]["score"] if last else None)
+
+
 def search(store: Store, q: S.SearchQuery, *columns: str, where: Column | None = None, boosts: bool = True, normed: bool = True) -> DataFrame:
     """A page of results: by score, then the newest, then path. Without a term all documents score 1; a term without tokens finds nothing."""
     terms = S.query_terms(store.spark, q.term)
     everything = store.table("documents").where(S.filters(q)).withColumn("score", F.lit(1.0))
     if q.term.strip() and terms:
-        found = scored(store, q, terms, where, boosts, normed)
+        known = bounds(store, terms, boosts, normed)
+        found = scored(store, q, terms, where, boosts, normed, known, blocks_to_read(store, q, terms, known, where, boosts, normed))
     else:
         found = everything.where(F.lit(True) if where is None else where) if not q.term.strip() else everything.limit(0)
     return S.top(found, q, *columns)
 
 
+def phrase_words(spark: SparkSession, term: str) -> list[tuple[str, int]]:
+    """(word, place) of the indexed words among all words of a query's term."""
+    plain = F.filter(F.split(T.fold(F.trim(F.lit(term))), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
+    words = spark.sql("SELECT * FROM VALUES (1)").select(plain).collect()[0][0]
+    return [(w, k) for k, w in enumerate(words) if len(w) >= 2 and w not in T.STOP_WORDS]
+
+
+def weight_of(term: Column, idf: dict[str, float]) -> Column:
+    return reduce(lambda made, t: F.when(term == t, F.lit(idf[t])).otherwise(made), idf, F.lit(0.0))
+
+
+def passages_of(rows: DataFrame, idf: dict[str, float], words: list[tuple[str, int]]) -> DataFrame:
+    """(doc_id, position, own, near): of postings, every passage that holds a term or a word of the phrase; tf times idf, and whether
+    the phrase's words stand in it as far apart as in the phrase. A document's postings of a query's terms are gathered."""
+    hits = rows.groupBy("doc_id").agg(F.collect_list(F.struct("term", "at", "places")).alias("hits"))
+    in_passage = lambda h: F.concat(h["at"], F.transform(h["places"], lambda p: p["position"]))
+    spread = hits.select("doc_id", "hits", F.explode(F.array_distinct(F.flatten(F.transform("hits", in_passage)))).alias("position"))
+    own = F.aggregate("hits", F.lit(0.0), lambda acc, h: acc + weight_of(h["term"], idf) * F.size(F.filter(h["at"], lambda x: x == F.col("position"))))
+    here = lambda w: F.flatten(F.transform(F.filter("hits", lambda h: h["term"] == w), lambda h: F.transform(F.filter(h["places"], lambda p: p["position"] == F.col("position")), lambda p: p["place"])))
+    near = F.lit(not words)  # where none of the phrase's words is indexed, texts with a token decide
+    if words:
+        first = words[0][1]
+        near = F.exists(here(words[0][0]), lambda p: reduce(lambda x, y: x & y, (F.array_contains(here(w), p + (k - first)) for w, k in words)))
+    return spread.select("doc_id", "position", own.alias("own"), near.alias("near"))
+
+
+def has_phrase(q: S.SearchQuery) -> Column:
+    return T.contains_whole_words(T.fold(F.col("text")), T.fold(F.lit(q.term)))
+
+
+def is_word(q: S.SearchQuery, words: list[tuple[str, int]]) -> bool:
+    """Whether a query's term is one plain word, which its places alone find."""
+    return len(words) == 1 and q.term.strip().lower() == words[0][0]
+
+
+def best_of_passages(store: Store, rows: DataFrame, q: S.SearchQuery, idf: dict[str, float], words: list[tuple[str, int]]) -> DataFrame:
+    """(doc_id, raw) of the best passage of each document of rows. Texts are read where the whole term may stand."""
+    found = passages_of(rows, idf, words)
+    if not is_word(q, words):
+        texts = store.table("passages").join(found.where("near").select("doc_id", "position"), ["doc_id", "position"], "left_semi")
+        found = found.drop("near").join(texts.where(has_phrase(q)).select("doc_id", "position", F.lit(True).alias("near")), ["doc_id", "position"], "left")
+    raw = F.round(F.col("own") + F.when(F.coalesce("near", F.lit(False)), S.PHRASE_BONUS).otherwise(0.0), 9)
+    return found.groupBy("doc_id").agg(F.max(raw).alias("raw")).where("raw > 0")
+
+
+PAGE = ("document_id", "path", "updated_at", "snippet", "matching_passage_id", "matching_locator", "passages")
+
+
+def page(store: Store, q: S.SearchQuery) -> DataFrame:
+    """A whole lexical query over documents and their passages: filters, BM25 with boosts, the best passage's score where
+    the document itself has none, the snippet of the best passage or else of the text, the matching passages in order, and a page by score,
+    then the newest, then path. Postings are read for the query's terms only, passages' texts for the page only, beside those that
+    may hold the whole term."""
+    terms = S.query_terms(store.spark, q.term)
+    documents = store.table("documents").where(S.filters(q))
+    columns = ["doc_id", "block", "document_id", "path", "updated_at", "head", "raw"]
+    words = phrase_words(store.spark, q.term) if terms else []
+    rows = store.table("postings").where(F.col("term").isin(*{*terms, *(w for w, _ in words)}))
+    idf: dict[str, float] = {}
+    if not terms:
+        found = documents.withColumn("raw", F.lit(1.0)).select(columns)
+        found = found.limit(0) if q.term.strip() else found
+    else:
+        known = bounds(store, terms)
+        idf = known.idf
+        found = scored(store, q, terms, known=known, blocks=blocks_to_read(store, q, terms, known)).select(columns)
+        if known.apart:
+            matched = rows.where(F.col("term").isin(*terms) & ((F.col("tf") > 0) | F.col("in_title") | F.col("in_tags"))).select("doc_id")
+            best = best_of_passages(store, rows.where("block IS NULL").join(matched, "doc_id", "left_anti"), q, idf, words)
+            found = found.unionByName(documents.join(best, "doc_id").select(columns))
+    newest = F.desc_nulls_last("updated_at")
+    shown = found.withColumn("score", T.cents(F.round("raw", 9))).orderBy(F.desc("score"), newest, "path").offset(q.offset).limit(q.limit)
+    rows_ = shown.toArrow()  # one page: at most 200 rows
+    shown = store.spark.createDataFrame(rows_)
+    ids, blocks = rows_.column("doc_id").to_pylist(), rows_.column("block").unique().to_pylist()
+    if terms and ids:
+        some = F.col("block").isin(*(b for b in blocks if b is not None)) | F.col("block").isNull()
+        shown = shown.join(F.broadcast(matching_passages(store, rows.where(some & F.col("doc_id").isin(*ids)), q, idf, words, ids)), "doc_id", "left")
+    else:
+        shown = shown.withColumns({c: F.lit(None).cast("string") for c in ("matching_passage_id", "matching_locator", "shown")}).withColumn("passages", F.lit(None).cast("array<string>"))
+    shown = shown.withColumns({"snippet": F.coalesce("shown", T.snippet(F.col("head"), terms)), "passages": F.coalesce("passages", F.array().cast("array<string>"))})
+    return shown.orderBy(F.desc("score"), newest, "path").select(*PAGE, "score")
+
+
+def matching_passages(store: Store, rows: DataFrame, q: S.SearchQuery, idf: dict[str, float], words: list[tuple[str, int]], ids: list[int]) -> DataFrame:
+    """Of a page's documents: the ids of their matching passages by score (equal ones in their order), and the best one by the unrounded score."""
+    # A page's rows are few: one partition each, and nothing more is shuffled.
+    texts = store.table("passages").where(F.col("doc_id").isin(*ids)).repartition(1)
+    found = passages_of(rows.select("doc_id", "term", "at", "places").repartition(1), idf, words).join(texts, ["doc_id", "position"])
+    bonus = F.when(F.col("near") if is_word(q, words) else F.col("near") & has_phrase(q), S.PHRASE_BONUS).otherwise(0.0)
+    hits = found.withColumn("raw", F.round(F.col("own") + bonus, 9)).where("raw > 0").withColumn("snippet", T.snippet(F.col("text"), list(idf)))
+    listed = F.array_sort(F.collect_list(F.struct((-T.cents(F.col("raw"))).alias("order"), "position", "passage_id")))
+    best = F.max_by(F.struct("passage_id", "locator", "snippet"), F.struct(F.col("raw"), -F.col("position")))
+    gathered = hits.groupBy("doc_id").agg(F.transform(listed, lambda p: p["passage_id"]).alias("passages"), best.alias("best"))
+    return gathered.select("doc_id", F.col("best.passage_id").alias("matching_passage_id"), F.col("best.locator").alias("matching_locator"), F.col("best.snippet").alias("shown"), "passages")
+
+
 def many(store: Store, queries: DataFrame, limit: int = 10) -> DataFrame:
     """(query_id, doc_id, rank, score) of the first hits of each of many queries (query_id, text), without boosts."""
     asked = queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    found = store.table("postings").where("tf > 0").join(asked.select("term").distinct(), "term", "left_semi")
+    found = store.table("postings").where("tf > 0").select("term", "doc_id", "tf", "length").join(asked.select("term").distinct(), "term", "left_semi")
     df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = store.table("stats").select("n", "avgdl")
-    weight = (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1) * F.col("tf") * (S.K1 + 1) / (F.col("tf") + S.K1 * (1 - S.B + S.B * F.col("length") / F.col("avgdl")))
-    parts = found.join(df, "term").crossJoin(F.broadcast(stats)).withColumn("w", weight)
+    n, average = store.manifest["n"], store.average
+    weight = (F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1) * F.col("tf") * (S.K1 + 1) / (F.col("tf") + S.K1 * (1 - S.B + S.B * F.col("length") / average))
+    parts = found.join(df, "term").withColumn("w", weight)
     scores = asked.join(parts, "term").groupBy("query_id", "doc_id").agg(F.sum(F.round("w", 6)).alias("s")).withColumn("score", T.cents(F.col("s")))
     return S.first_of_each(scores, limit)

@@ -42,13 +42,22 @@ def mod(n: int, k: int = 0):
     return F.col("doc_id") % n == k
 
 
+def with_project(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("project", F.concat(F.lit("p"), (F.col("doc_id") % 3).cast("string")))
+
+
 _indexes: dict[tuple, store.Store] = {}
 
 
-def index_of(s: SparkSession, d: str) -> store.Store:
-    """The index of a folder's documents, written once for each state of its files and read by all searches after that."""
-    listed = s.read.format("binaryFile").load([f"{d}/documents.parquet", f"{d}/labels.parquet"]).select("path", "modificationTime", "length").collect()
-    key = (s.sparkContext.applicationId, *sorted(map(tuple, listed)))
+def kept_index(s: SparkSession, d: str, name: str, rows: Callable[[], DataFrame], cutter: store.Cutter | None = None, also: tuple[str, ...] = ()) -> store.Store:
+    """The index of a folder's table, written once for each state of its files and read by all searches after that."""
+    listed = s.read.format("binaryFile").load([f"{d}/{t}.parquet" for t in (name, *also)]).select("path", "modificationTime", "length").collect()
+    key = (s.sparkContext.applicationId, name, cutter is None, *sorted(map(tuple, listed)))
     if key not in _indexes:
-        _indexes[key] = store.build(labelled(s, d).withColumn("project", F.concat(F.lit("p"), (F.col("doc_id") % 3).cast("string"))), new_folder(s, "index"))
+        _indexes[key] = store.build(rows(), new_folder(s, "index"), cutter)
     return _indexes[key]
+
+
+def index_of(s: SparkSession, d: str) -> store.Store:
+    """The index of all documents with their status, without passages."""
+    return kept_index(s, d, "documents", lambda: with_project(labelled(s, d)), also=("labels",))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import text as T
 from folioscope.operators import context, evaluate, search, store, vectors
 from folioscope.plans import dialect as D
-from folioscope.plans.base import docs, index_of, labelled, mod, query
+from folioscope.plans.base import docs, index_of, kept_index, labelled, mod, query, with_project
 from folioscope.sources import vault
 from folioscope.sources.shared import new_folder
 
@@ -33,15 +33,16 @@ def tool_page(s, d):
     return fifty.where(context.eligible(F.col("path"), F.col("category"), F.col("status"))).orderBy(F.desc("score"), "path").limit(10).select("doc_id", "score")
 
 
-def _talks(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Conversations as documents whose first turn is their text, and all turns as their passages."""
-    p = vault.transcripts(s, d)
+def _talks(s: SparkSession, d: str) -> store.Store:
+    """An index of conversations as documents whose first turn is their text, and all turns as their passages."""
     number = F.col("document_id").cast("long")
-    rows = p.where("position = 0").select(
-        "document_id", F.concat(F.lit("talks/"), "document_id").alias("path"), F.concat(F.lit("Talk "), "document_id").alias("title"), F.lit("talk").alias("category"), F.lit("").alias("client"),
+    turns = lambda: vault.transcripts(s, d)
+    rows = lambda: turns().where("position = 0").select(
+        number.alias("doc_id"), "document_id", F.concat(F.lit("talks/"), "document_id").alias("path"), F.concat(F.lit("Talk "), "document_id").alias("title"), F.lit("talk").alias("category"), F.lit("").alias("client"),
         F.array(F.lit("talk")).alias("tags"), F.concat(F.lit("2024-01-0"), (number % 4 + 1).cast("string")).alias("updated_at"), "text",
     )
-    return search.index(rows), p
+    passages = lambda docs: turns().withColumn("doc_id", number).join(docs.select("doc_id"), "doc_id", "left_semi")
+    return kept_index(s, d, "conversations", rows, passages)
 
 
 def _talk_page(term: str, terms: list[str], where: str = "true", limit: int = 20) -> str:
@@ -64,21 +65,61 @@ def _talk_page(term: str, terms: list[str], where: str = "true", limit: int = 20
         FROM f WHERE raw > 0 ORDER BY score DESC, updated_at DESC, path LIMIT {limit}"""
 
 
-def _page(s, d, q: search.SearchQuery) -> DataFrame:
-    found = search.page(*_talks(s, d), q)
-    return found.select("document_id", "updated_at", "score", "snippet", "matching_passage_id", F.array_join("passages", ",").alias("passages"))
+def _page(index: store.Store, q: search.SearchQuery) -> DataFrame:
+    return store.page(index, q).select("document_id", "updated_at", "score", "snippet", "matching_passage_id", F.array_join("passages", ",").alias("passages"))
 
 
 @query(_talk_page("thin ther", ["ther", "thin"]))
 def lexical_page(s, d):
     """A whole query: documents that only their passages match come with the best passage's score."""
-    return _page(s, d, search.SearchQuery("thin ther", limit=20))
+    return _page(_talks(s, d), search.SearchQuery("thin ther", limit=20))
 
 
 @query(_talk_page("talk", ["talk"], limit=30))
 def lexical_page_ties(s, d):
     """Every document matches by title and tag alike: the newest come first, then the least path."""
-    return _page(s, d, search.SearchQuery("talk", limit=30))
+    return _page(_talks(s, d), search.SearchQuery("talk", limit=30))
+
+
+#: Characters of a passage in the index of documents, so that SQL can state where each ends.
+PASSAGE = 1000
+
+
+def _library(s: SparkSession, d: str) -> store.Store:
+    """An index of all documents with their passages, of equal size."""
+    rows = lambda: docs(s, d).withColumn("updated_at", F.concat(F.lit("2024-01-0"), (F.col("doc_id") % 4 + 1).cast("string")))
+
+    def passages(chosen: DataFrame) -> DataFrame:
+        starts = F.sequence(F.lit(0), F.floor((F.char_length("text") - 1) / PASSAGE).cast("int"))
+        cut = chosen.where("text <> ''").select("doc_id", "document_id", "text", F.explode(starts).alias("position"))
+        return cut.select("doc_id", "position", F.concat("document_id", F.lit("_p"), F.col("position").cast("string")).alias("passage_id"), F.concat(F.lit("Pezzo "), F.col("position").cast("string")).alias("locator"), F.substring(F.col("text"), F.col("position") * PASSAGE + 1, F.lit(PASSAGE)).alias("text"))
+
+    return kept_index(s, d, "documents", rows, passages)
+
+
+def _library_page(term: str, terms: list[str], limit: int, where: str = "true") -> str:
+    """The same whole query over documents and their passages."""
+    body = _talk_page(term, terms, where, limit)
+    head, tail = body.index("WITH t AS"), body.index("st AS (SELECT")
+    made = f"""WITH {D.DOCS}, t AS (SELECT document_id, turn, substr(text, turn * {PASSAGE} + 1, {PASSAGE}) AS text, {D.tokens(f'substr(text, turn * {PASSAGE} + 1, {PASSAGE})')} AS ptokens
+            FROM (SELECT document_id, text, unnest(range(0, (length(text) - 1) // {PASSAGE} + 1)) AS turn FROM docs WHERE text <> '')),
+        x AS (SELECT document_id, path, title, category, client, '2024-01-0' || CAST(doc_id % 4 + 1 AS VARCHAR) AS updated_at, text FROM docs), i AS (SELECT *, {D.tokens("title || ' ' || text")} AS tokens FROM x), """
+    body = body[:head] + made + body[tail:]
+    for t in terms:
+        body = body.replace(f"CASE WHEN 'talk' = '{t}' THEN 5", f"CASE WHEN list_contains([{D.fold('category')}, {D.fold('client')}], '{t}') THEN 5")
+    return body
+
+
+@query(_library_page("thing the", ["thing"], 20))
+def document_page(s, d):
+    """A whole query over documents and their passages, from the kept index; a stop word counts in the phrase only."""
+    return _page(_library(s, d), search.SearchQuery("thing the", limit=20))
+
+
+@query(_library_page("de src1", ["de", "src1"], 40, "category = 'en'"))
+def document_page_filtered(s, d):
+    """Titles and tags match where texts don't: such documents have no best passage and show their beginning."""
+    return _page(_library(s, d), search.SearchQuery("de src1", category="en", limit=40))
 
 
 # --- upkeep ----------------------------------------------------------------------------------------------------------
@@ -86,7 +127,7 @@ def lexical_page_ties(s, d):
 
 def _later(s: SparkSession, d: str) -> DataFrame:
     """The documents after a while: a seventh changed, a tenth removed, a tenth new (under higher ids)."""
-    now = labelled(s, d).withColumn("project", F.lit(None).cast("string"))
+    now = with_project(labelled(s, d))
     changed = now.withColumn("text", F.when(mod(7), F.concat(F.lit("changed thing "), "text")).otherwise(F.col("text")))
     added = changed.where(mod(10, 2)).withColumns({"doc_id": F.col("doc_id") + 10_000_000, "path": F.concat("path", F.lit(".new"))})
     return changed.where("doc_id % 10 <> 1").unionByName(added)
@@ -120,14 +161,16 @@ def stale_sources(s, d):
     return store.stale(index, store.search(index, search.SearchQuery("thing"), "doc_id"), _later(s, d))
 
 
-@query("SELECT 'ready' AS state, 2 AS version, lang AS category, count(*) AS documents, (SELECT count(*) FROM documents) AS total FROM documents GROUP BY lang UNION ALL SELECT 'missing', NULL, NULL, 0, 0")
+@query("SELECT 'ready' AS state, 3 AS version, lang AS category, count(*) AS documents, (SELECT count(*) FROM documents) AS total FROM documents GROUP BY lang UNION ALL SELECT 'missing', NULL, NULL, 0, 0 UNION ALL SELECT 'outdated', 2, NULL, 0, (SELECT count(*) FROM documents)")
 def index_state(s, d):
     index = index_of(s, d)
     counts = index.table("documents").groupBy("category").agg(F.count(F.lit(1)).alias("documents"))
     total = index.table("stats").select(F.col("n").alias("total"), "version")
     ready = counts.crossJoin(F.broadcast(total)).select(F.lit(index.status()).alias("state"), "version", "category", "documents", "total")
     absent = s.range(1).select(F.lit(store.Store(s, new_folder(s, "nothing")).status()).alias("state"), F.lit(None).cast("int").alias("version"), F.lit(None).cast("string").alias("category"), F.lit(0).cast("long").alias("documents"), F.lit(0).cast("long").alias("total"))
-    return ready.unionByName(absent)
+    earlier = store.publish(s, new_folder(s, "index"), 1, index.manifest["n"], 0, [], version=store.VERSION - 1)
+    old = earlier.table("stats").select(F.lit(earlier.status()).alias("state"), "version", F.lit(None).cast("string").alias("category"), F.lit(0).cast("long").alias("documents"), F.col("n").alias("total"))
+    return ready.unionByName(absent).unionByName(old)
 
 
 # --- hybrid pages ----------------------------------------------------------------------------------------------------
