@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from folioscope.functions import text as T
 
@@ -24,22 +29,52 @@ def recall_by_path(hits: DataFrame, relevant: DataFrame) -> DataFrame:
     return total.join(found, "query_id", "left").fillna(0, ["found"])
 
 
-def containing(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(query_id, doc_id) of documents (doc_id, text) that hold the text of an item (query_id, text).
+#: Characters of items in one automaton, some 50 bytes of a task's memory each; more items are searched for in blocks.
+AUTOMATON_CHARACTERS = 4_000_000
+
+
+def containing(docs: DataFrame, items: DataFrame, most: int = AUTOMATON_CHARACTERS) -> DataFrame:
+    """(query_id, doc_id) of documents (doc_id, text) that hold the text of an item (query_id, text); an empty item is in every text.
 
-    Three pieces between spaces inside an item are looked up among those of the documents by their hash; what is
-    found is verified. Items of fewer than five pieces are compared with every document.
+    An automaton over a block of items reads every document once. Blocks are dealt by hash to a bounded size and come to the
+    driver one at a time. Null texts and null items hold nothing.
     """
-    pieces = F.split("text", " ")
-    asked = items.select("query_id", F.col("text").alias("item"), pieces.alias("p"))
-    long = asked.where(F.size("p") >= 5).select("query_id", "item", F.xxhash64(F.array_join(F.slice("p", 2, 3), " ")).alias("key"))
-    grams = docs.select("doc_id", pieces.alias("p")).where(F.size("p") >= 3)
-    keys = grams.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("p") - 2), lambda k: F.xxhash64(F.array_join(F.slice("p", k, 3), " ")))).alias("key"))
-    candidates = keys.join(long.select("query_id", "key"), "key").select("query_id", "doc_id").distinct()
-    verified = docs.select("doc_id", "text").join(candidates, "doc_id").join(long.select("query_id", "item"), "query_id").where(F.contains("text", F.col("item")))
-    short = asked.where(F.size("p") < 5).select("query_id", "item")
-    rest = docs.select("doc_id", "text").join(short, F.contains("text", F.col("item")))
-    return verified.select("query_id", "doc_id").unionByName(rest.select("query_id", "doc_id"))
+    total = items.agg(F.sum(F.char_length("text")).alias("n")).first()["n"] or 0
+    blocks = -(-total // most) or 1
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [_held(docs, items.where(block == k).select("query_id", "text")) for k in range(blocks)])
+
+
+def _held(docs: DataFrame, items: DataFrame) -> DataFrame:
+    listed = items.toArrow()
+    ids: dict[str, list] = {}
+    for query, text in zip(listed.column("query_id").to_pylist(), listed.column("text").to_pylist(), strict=True):
+        if text is not None:
+            ids.setdefault(text, []).append(query)
+    shipped = docs.sparkSession.sparkContext.broadcast(ids)
+    schema = StructType([*items.select("query_id").schema.fields, *docs.select("doc_id").schema.fields])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        made, everywhere = ahocorasick.Automaton(), shipped.value.get("", [])
+        for text in shipped.value:
+            if text:
+                made.add_word(text, text)
+        if len(made):
+            made.make_automaton()
+        kinds = {f.name: f for f in listed.schema}
+        for batch in batches:
+            queries, numbers = [], []
+            for number, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if text is None:
+                    continue
+                held = everywhere + [q for item in {found for _, found in (made.iter(text) if len(made) else ())} for q in shipped.value[item]]
+                queries += held
+                numbers += [number] * len(held)
+            yield pa.RecordBatch.from_arrays([pa.array(queries, kinds["query_id"].type), pa.array(numbers, batch.column("doc_id").type)], names=["query_id", "doc_id"])
+
+    return docs.select("doc_id", "text").mapInArrow(search, schema)
 
 
 def first_hits(hits: DataFrame, relevant: DataFrame, queries: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import chunking as C
 from folioscope.functions import text as T
 from folioscope.operators import catalog, context, evaluate, release, search, store, vectors, workflow
-from folioscope.plans import curation, retrieval  # noqa: F401  (their queries register themselves)
+from folioscope.plans import automation, curation, retrieval  # noqa: F401  (their queries register themselves)
 from folioscope.plans import dialect as D
 from folioscope.plans.base import ORACLES, QUERIES, TERM, TERMS, docs, files, index_of, labelled, query
 from folioscope.sources import vault
