@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from folioscope.functions import text as T
+from folioscope.sources.shared import cut
 
 
 def recall(hits: DataFrame, relevant: DataFrame, queries: DataFrame) -> DataFrame:
@@ -117,6 +118,24 @@ def diversity(items: DataFrame, identifier: str, text: str, most: float = 0.3) -
     return n.crossJoin(shared).select(pairs.alias("pairs"), F.round(F.when(pairs > 0, F.col("total") / pairs).otherwise(0.0), 4).alias("mean"), "greatest", "violations")
 
 
+def recalls_of_ways(both: DataFrame, ways: dict[str, tuple[str, float | None, Column]], relevant: DataFrame, queries: DataFrame, first: int = 10) -> DataFrame:
+    """(config, kind, k, recall): the mean recall over queries of each way to score candidates.
+
+    both: (query_id, doc_id, and what the ways read); ways: by name their kind, k and score. A query without a relevant
+    document counts as 1. A query's candidates are ranked together; they are as many as its two sides give.
+    """
+    scores = F.explode(F.array(*(F.struct(F.lit(name).alias("config"), F.round(score, 6).alias("score")) for name, (_, _, score) in ways.items()))).alias("w")
+    ranked = both.select("query_id", "doc_id", scores).select("query_id", "doc_id", "w.*")
+    order = Window.partitionBy("config", "query_id").orderBy(F.desc("score"), "doc_id")
+    top = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= first)
+    found = top.join(relevant, ["query_id", "doc_id"], "left_semi").groupBy("config", "query_id").agg(F.count(F.lit(1)).alias("found"))
+    total = queries.select("query_id").join(relevant.groupBy("query_id").agg(F.count(F.lit(1)).alias("relevant")), "query_id", "left")
+    named = queries.sparkSession.createDataFrame([(name, kind, k) for name, (kind, k, _) in ways.items()], "config string, kind string, k double")
+    each = total.crossJoin(F.broadcast(named)).join(found, ["config", "query_id"], "left")
+    share = F.when(F.col("relevant").isNull(), 1.0).otherwise(F.coalesce("found", F.lit(0)) / F.col("relevant"))
+    return each.groupBy("config", "kind", "k").agg(F.round(F.avg(share), 4).alias("recall"))
+
+
 def winner(recalls: DataFrame) -> DataFrame:
     """The configuration (config, kind, k, recall) to take: a lone f1 at the top, else f2 with k = 0.3, 0.2 or the least k, else f3."""
     best = recalls.agg(F.max("recall").alias("best"))
@@ -129,10 +148,54 @@ def winner(recalls: DataFrame) -> DataFrame:
     return top.crossJoin(F.broadcast(alone)).orderBy(order, "k", "config").limit(1).select("config", "recall")
 
 
-def percentiles(values: DataFrame, column: str, by: list[str]) -> DataFrame:
-    """Linear-interpolated percentiles with least, greatest and mean."""
-    x = F.col(column).cast("double")
-    return values.groupBy(*by).agg(*(F.round(F.percentile(x, p / 100), 4).alias(f"p{p}") for p in (50, 90, 95, 99)), F.round(F.min(x), 4).alias("least"), F.round(F.max(x), 4).alias("greatest"), F.round(F.avg(x), 4).alias("mean"))
+#: Values among which a rank is found by sorting, and the parts that wider ranges are cut into.
+SORTED_VALUES, SPLITS = 10_000, 64
+
+
+def order_statistics(values: DataFrame, column: str, by: list[str], ranks: DataFrame, few: int = SORTED_VALUES) -> DataFrame:
+    """(by, rank, value): the value at each of the ranks (by, rank), from 0, of a group's values in order; nulls are left out.
+
+    Selection by counting: the range in which a rank must lie is cut at approximate quantiles of its values, and the rows between
+    the cuts are counted where they lie; the part that holds the rank is the next range, so that the rounds grow with the logarithm
+    of a group's size, however its values lie. A range of few values is sorted, one of equal values is done. So a group's values are never gathered, whatever its size, and the result is exact.
+    """
+    rows = values.select(*by, F.col(column).cast("double").alias("x")).where("x IS NOT NULL")
+    ends = rows.groupBy(*by).agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count(F.lit(1)).alias("n"))
+    ranges = cut(ranks.join(ends, by).select(*by, "rank", F.lit(0).cast("long").alias("below"), "low", "high", "n"))
+    keys = [*by, "low", "high"]
+    while ranges.where((F.col("low") < F.col("high")) & (F.col("n") > few)).limit(1).count():
+        open_ = ranges.where((F.col("low") < F.col("high")) & (F.col("n") > few))
+        inside = rows.join(open_.select(*keys).distinct(), by).where(F.col("x").between(F.col("low"), F.col("high")))
+        cuts = inside.groupBy(*keys).agg(F.array_distinct(F.percentile_approx("x", [k / SPLITS for k in range(1, SPLITS)], 20 * SPLITS)).alias("cuts"))
+        inside = inside.join(cuts, keys)
+        # Values that equal a cut have a cell of their own, so every round leaves fewer.
+        cell = (F.size(F.filter("cuts", lambda c: c < F.col("x"))) * 2 + F.array_contains("cuts", F.col("x")).cast("int")).alias("cell")
+        cells = inside.groupBy(*keys, cell).agg(F.min("x").alias("least"), F.max("x").alias("most"), F.count(F.lit(1)).alias("size"))
+        before = Window.partitionBy(*keys).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+        placed = cells.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0)))
+        held = open_.join(placed, keys).where((F.col("below") + F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("below") + F.col("before") + F.col("size")))
+        closer = held.select(*by, "rank", (F.col("below") + F.col("before")).alias("below"), F.col("least").alias("low"), F.col("most").alias("high"), F.col("size").alias("n"))
+        ranges = cut(closer.unionByName(ranges.where((F.col("low") >= F.col("high")) | (F.col("n") <= few))))
+    done = ranges.where("low = high").select(*by, "rank", F.col("low").alias("value"))
+    rest = ranges.where("low < high")
+    sorted_ = rows.join(rest.select(*keys).distinct(), by).where(F.col("x").between(F.col("low"), F.col("high"))).groupBy(*keys).agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    picked = rest.join(sorted_, keys).select(*by, "rank", F.element_at("xs", (F.col("rank") - F.col("below") + 1).cast("int")).alias("value"))
+    return done.unionByName(picked)
+
+
+def percentiles(values: DataFrame, column: str, by: list[str], few: int = SORTED_VALUES) -> DataFrame:
+    """Linear-interpolated percentiles with least, greatest and mean, from exact order statistics."""
+    x, wanted = F.col(column).cast("double"), (50, 90, 95, 99)
+    # A group's key as one text, which joins match where a part of it is null too.
+    group = F.to_json(F.struct(*by), {"ignoreNullFields": "false"}) if by else F.lit("")
+    values = values.withColumn("_group", group)
+    whole = cut(values.where(x.isNotNull()).groupBy("_group", *by).agg(F.count(F.lit(1)).alias("_n"), F.round(F.min(x), 4).alias("least"), F.round(F.max(x), 4).alias("greatest"), F.round(F.avg(x), 4).alias("mean")))
+    place = lambda p: (F.col("_n") - 1) * (p / 100)
+    ranks = whole.select("_group", F.explode(F.array_distinct(F.array(*(f(place(p)).cast("long") for p in wanted for f in (F.floor, F.ceil))))).alias("rank"))
+    found = order_statistics(values, column, ["_group"], ranks, few).groupBy("_group").agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("_at"))
+    at = lambda r: F.element_at("_at", r.cast("long"))
+    between = lambda p: at(F.floor(place(p))) + (at(F.ceil(place(p))) - at(F.floor(place(p)))) * (place(p) - F.floor(place(p)))
+    return whole.join(found, "_group").select(*by, *(F.round(between(p), 4).alias(f"p{p}") for p in wanted), "least", "greatest", "mean")
 
 
 def jaccard_pairs(items: DataFrame, identifier: str, text: str, least: float = 0.0) -> DataFrame:

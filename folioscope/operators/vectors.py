@@ -29,6 +29,20 @@ def similarities(vectors: DataFrame, query: list[float], column: str = "embeddin
     return vectors.withColumn("similarity", F.round(cosine(F.col(column), F.array(*(F.lit(float(x)) for x in query))), 4))
 
 
+def similarities_of_each(vectors: DataFrame, queries: DataFrame, column: str = "embedding") -> DataFrame:
+    """(query_id, and vectors' columns, similarity) of every vector and each of a stated set of queries (query_id, vector); the queries, which
+    a caller bounds, are broadcast, and pairs at or below the threshold go at once."""
+    pairs = vectors.crossJoin(F.broadcast(queries.select("query_id", "vector")))
+    return pairs.withColumn("similarity", F.round(cosine(F.col(column), F.col("vector")), 4)).drop("vector").where(F.col("similarity") > THRESHOLD)
+
+
+def scaled_by(both: DataFrame, by: str) -> DataFrame:
+    """both with l and s as scaled() has them, between the least and greatest of each ``by``."""
+    lex, sem = (F.coalesce(c, F.lit(0.0)) for c in ("lex", "sem"))
+    bounds = both.groupBy(by).agg(F.min(lex).alias("min_lex"), F.max(lex).alias("max_lex"), F.min(sem).alias("min_sem"), F.max(sem).alias("max_sem"))
+    return both.join(bounds, by).withColumns({"l": normalised("lex", "min_lex", "max_lex"), "s": normalised("sem", "min_sem", "max_sem")}).drop("min_lex", "max_lex", "min_sem", "max_sem")
+
+
 def fresh(passages: DataFrame, cache: DataFrame) -> DataFrame:
     """Passages with their cached vectors, where the text is still the one embedded."""
     return passages.join(cache, ["passage_id", "sha256"])

@@ -61,6 +61,7 @@ def _write(called: DataFrame) -> DataFrame:
            CASE WHEN called THEN 'new' WHEN fresh THEN '' ELSE category END AS category, CASE WHEN fresh AND NOT called THEN 0 WHEN k = 2 AND NOT fresh THEN 0 ELSE 1 END AS parts, '' AS wiki FROM s
     UNION ALL SELECT 'gone/' || path, 'removed', CASE WHEN k = 2 THEN 3 ELSE 1 END, false, category, CASE WHEN k = 2 THEN 0 ELSE 1 END, '' FROM s WHERE doc_id % 16 = 7 AND NOT fresh
     UNION ALL SELECT 'wiki:' || sha256(g) || ':' || volume, CASE WHEN called THEN 'ready' ELSE 'pending' END, CASE WHEN called THEN 1 ELSE 0 END, called, category, CASE WHEN called THEN 1 ELSE 0 END, fingerprint FROM c
+    UNION ALL SELECT DISTINCT 'wiki:' || sha256(g) || ':0', 'obsolete', 2, false, 'de', 0, 'old' FROM (SELECT '["' || category || '","' || client || '",""]' AS g FROM docs WHERE category = 'de') WHERE g NOT IN (SELECT g FROM w)
     UNION ALL SELECT 'wiki:dead:0', 'obsolete', 1, false, 'x', 0, 'old'""")
 def job_graph(s, d):
     """A tick over both levels: sources take calls first, volumes what is left; volumes whose parts changed start anew, one without parts is obsolete."""

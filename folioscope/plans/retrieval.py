@@ -262,13 +262,6 @@ def fusion_alternatives(s, d):
     return vectors.with_ranks(vectors.scaled(_sides(s, d)), "id").select("id", *(F.round(way, 6).alias(name) for name, way in ways.items()))
 
 
-@query("SELECT 'f2_3' AS config, 0.9 AS recall")
-def fusion_winner(s, d):
-    """Of configurations that find equally much, the one with the middle share of the weaker side."""
-    rows = [("f1", "f1", None, 0.9), *((f"f2_{int(k * 10)}", "f2", k, 0.9 if k > 0.1 else 0.8) for k in SHARES), ("f3", "f3", None, 0.7)]
-    return evaluate.winner(s.createDataFrame(rows, "config string, kind string, k double, recall double"))
-
-
 # --- context ---------------------------------------------------------------------------------------------------------
 
 
@@ -340,6 +333,39 @@ def recall_by_path(s, d):
     return evaluate.recall_by_path(hits, targets)
 
 
+_WAYS = {"f1": "(l + s) / 2", **{f"f2_{int(k * 10)}": f"greatest(l, s) + {k} * least(l, s)" for k in SHARES}, "f3": "CASE WHEN lex IS NULL THEN s WHEN sem IS NULL THEN l ELSE (l + s) / 2 END"}
+_RECALLS = f"""WITH {HITS}, sim AS (SELECT item_id AS query_id, e.vec_id AS doc_id, {D.cosine('e.embedding', 'q.embedding')} AS sem FROM benchmark JOIN embeddings q ON q.vec_id = item_id, embeddings e),
+    u AS (SELECT coalesce(h.query_id, s.query_id) AS query_id, coalesce(h.doc_id, s.doc_id) AS doc_id, score AS lex, sem, coalesce(score, 0) AS x, coalesce(sem, 0) AS y FROM hits h FULL JOIN (SELECT * FROM sim WHERE sem > 0.25) s ON s.query_id = h.query_id AND s.doc_id = h.doc_id),
+    v AS (SELECT *, CASE WHEN max(x) OVER q > min(x) OVER q THEN (x - min(x) OVER q) / (max(x) OVER q - min(x) OVER q) WHEN x > 0 THEN 1.0 ELSE 0.0 END AS l,
+        CASE WHEN max(y) OVER q > min(y) OVER q THEN (y - min(y) OVER q) / (max(y) OVER q - min(y) OVER q) WHEN y > 0 THEN 1.0 ELSE 0.0 END AS s FROM u WINDOW q AS (PARTITION BY query_id)),
+    w AS ({' UNION ALL '.join(f"SELECT '{name}' AS config, query_id, doc_id, round(CAST({sql} AS DOUBLE), 6) AS f FROM v" for name, sql in _WAYS.items())}),
+    t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY config, query_id ORDER BY f DESC, doc_id) AS place FROM w) WHERE place <= 10),
+    e AS (SELECT config, item_id, (SELECT count(*) FROM relevant r WHERE r.query_id = item_id) AS total, (SELECT count(*) FROM t JOIN relevant r ON r.query_id = t.query_id AND r.doc_id = t.doc_id WHERE t.config = c.config AND t.query_id = item_id) AS found FROM benchmark, (SELECT DISTINCT config FROM w) c),
+    m AS (SELECT config, round(avg(CASE WHEN total = 0 THEN 1.0 ELSE found / total END), 4) AS recall FROM e GROUP BY config)"""
+
+
+def _recalls(s, d) -> DataFrame:
+    """The mean recall of each way of fusing over all items; an item's vector is that of its own number, as there is no model."""
+    asked, table = _asked(s, d), vault.read_table(s, d, "embeddings")
+    queries = table.join(asked.select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    near = vectors.similarities_of_each(table.select("vec_id", "embedding"), queries).select("query_id", F.col("vec_id").alias("doc_id"), F.col("similarity").alias("sem"))
+    both = vectors.scaled_by(_hits(s, d, 50).select("query_id", "doc_id", F.col("score").alias("lex")).join(near, ["query_id", "doc_id"], "full_outer"), "query_id")
+    ways = {"f1": ("f1", None, (F.col("l") + F.col("s")) / 2), **{f"f2_{int(k * 10)}": ("f2", k, vectors.f2(k)) for k in SHARES}, "f3": ("f3", None, vectors.f3())}
+    return evaluate.recalls_of_ways(both, ways, _relevant(s, d), asked)
+
+
+@query(_RECALLS + " SELECT config, recall FROM m")
+def fusion_recalls(s, d):
+    return _recalls(s, d).select("config", "recall")
+
+
+@query(_RECALLS + """, b AS (SELECT * FROM m WHERE abs(recall - (SELECT max(recall) FROM m)) < 1e-6)
+    SELECT config, recall FROM b ORDER BY CASE WHEN config = 'f1' AND (SELECT count(*) FROM b) = 1 THEN 0 WHEN config = 'f2_3' THEN 1 WHEN config = 'f2_2' THEN 2 WHEN starts_with(config, 'f2') THEN 3 WHEN config = 'f3' THEN 4 ELSE 5 END, config LIMIT 1""")
+def fusion_winner(s, d):
+    """Of the ways that find most, measured over all items, a lone mean, else the stronger side with a middle share of the weaker."""
+    return evaluate.winner(_recalls(s, d))
+
+
 @query(f"""WITH w AS (SELECT item_id AS id, {D.word_set('text')} AS words FROM benchmark), p AS (SELECT CASE WHEN len(list_distinct(list_concat(a.words, b.words))) > 0 THEN round(len(list_intersect(a.words, b.words)) / len(list_distinct(list_concat(a.words, b.words))), 4) ELSE 0 END AS j FROM w a JOIN w b ON a.id < b.id)
     SELECT count(*) AS pairs, round(sum(j) / count(*), 4) AS mean, max(j) AS greatest, count(*) FILTER (j > 0.3) AS violations FROM p""")
 def corpus_diversity(s, d):
