@@ -6,6 +6,7 @@ out for each remainder, they do not repeat the operator.
 
 from __future__ import annotations
 
+import contextlib
 import io
 import zipfile
 from collections.abc import Iterator
@@ -16,9 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
-from folioscope.operators import catalog, context, release, vectors, workflow
+from folioscope.operators import catalog, context, migration, release, vectors, workflow
 from folioscope.plans import dialect as D
-from folioscope.plans.base import docs, files, mod, query
+from folioscope.plans.base import ORACLES, docs, files, mod, query
 from folioscope.sources import vault
 from folioscope.sources.shared import new_folder
 
@@ -298,6 +299,20 @@ def embedding_sync(s, d):
     return made.select("passage_id", F.col("vector")[0].alias("x"), F.col("vector")[1].alias("y"))
 
 
+@query(ORACLES["embedding_sync"])
+def embedding_migration(s, d):
+    """The same by a migration that is cut off after a step and goes on: what is staged takes the cache's place when it is whole."""
+    home, stage = new_folder(s, "cache"), new_folder(s, "stage")
+    p, cache = _cache(s, d)
+    cache.select("passage_id", "sha256", "embedded_text_sha256", "model", F.col("dimensions").cast("int"), F.col("vector").cast("array<double>")).write.parquet(f"{home}/first")
+    s.createDataFrame([(1, f"{home}/first", "model", 2)], migration.POINTER).write.parquet(f"{home}/pointer")
+    embed = lambda texts: [[float(len(t)), float(t.count("e"))] for t in texts]
+    with contextlib.suppress(migration.Cancelled):
+        migration.migrate(p, home, stage, embed, "model", 2, stop=lambda so_far: so_far.done > 0, step_files=1)
+    migration.migrate(p, home, stage, embed, "model", 2)
+    return migration.current(s, home).select("passage_id", F.col("vector")[0].alias("x"), F.col("vector")[1].alias("y"))
+
+
 @query("SELECT 'gone_' || CAST(conv_id AS VARCHAR) || '_p5' AS passage_id FROM conversations WHERE turn = 5")
 def stale_cache(s, d):
     p, cache = _cache(s, d)
