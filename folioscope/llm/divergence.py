@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,7 +114,8 @@ class Tally:
             yield names[owner], self.keys[0][low:high] & 0xFFFFFFFF, self.counts[0][low:high]
 
 
-Head = dict[str, list[tuple[list[str], np.ndarray]]]
+#: Terms as Arrow strings: as Python strings every worker would hold them at eight times the size.
+Head = dict[str, list[tuple[pa.Array, np.ndarray]]]
 POSTINGS = "lang string, source string, id long, n long, term string"
 
 
@@ -134,13 +136,13 @@ def counted(rows: DataFrame, head: Head, all_terms: bool) -> DataFrame:
                 places.setdefault((group["lang"], group["source"]), []).append(k)
             for (lang, source), rows_ in places.items():
                 if lang not in automata:
-                    automata[lang] = [automaton(terms) for terms, _ in shipped.value.get(lang, [])]
+                    automata[lang] = [automaton(terms.to_pylist()) for terms, _ in shipped.value.get(lang, [])]
                 text = f" {' '.join(texts.take(pa.array(rows_)).to_pylist())} "
                 for k, made in enumerate(automata[lang]):
                     tallies.setdefault((lang, k), Tally()).add(source, occurrences(made, text))
                 if all_terms:
                     if lang not in known:
-                        known[lang] = {t for terms, _ in shipped.value.get(lang, []) for t in terms}
+                        known[lang] = {t for terms, _ in shipped.value.get(lang, []) for t in terms.to_pylist()}
                     rest = Counter(t for t in text.split(" ") if t and t not in known[lang])
                     yield made_batch(lang, source, pa.nulls(len(rest), pa.int64()), list(rest.values()), pa.array(list(rest), pa.string()))
             if sum(t.size for t in tallies.values()) > HELD:
@@ -175,13 +177,12 @@ def head_of(kept: DataFrame, most: int = AUTOMATA_TERMS, each: int = AUTOMATON_T
         if total + sizes[p] > most:
             break
         least, total = p, total + sizes[p]
-    terms: dict[str, tuple[list[str], list[int]]] = {}
-    for batch in kept.where(power >= least).select("lang", "term", "id").toArrow().to_batches():
-        for lang, term, id_ in zip(*(batch.column(c).to_pylist() for c in ("lang", "term", "id")), strict=True):
-            own = terms.setdefault(lang, ([], []))
-            own[0].append(term)
-            own[1].append(id_)
-    head = {lang: [(own[0][k : k + each], np.array(own[1][k : k + each])) for k in range(0, len(own[0]), each)] for lang, own in terms.items()}
+    terms = kept.where(power >= least).select("lang", "term", "id").toArrow()
+    head: Head = {}
+    for lang in terms.column("lang").unique().to_pylist():
+        own = terms.filter(pc.equal(terms.column("lang"), lang))
+        words, ids = own.column("term").combine_chunks(), own.column("id").to_numpy()
+        head[lang] = [(pa.concat_arrays([words.slice(k, each)]), ids[k : k + each]) for k in range(0, len(ids), each)]
     return head, total == sum(sizes.values())
 
 
