@@ -1,8 +1,9 @@
 """Benchmark decontamination by CGK embedding, bit-sampling LSH and exact edit verification.
 
-A text is normalised (lower case, one space for white space) and read in windows of an item's size. Anchors are word
-starts, all of them unless winnowing is set to thin them out. From each
-anchor a random walk (Chakraborty, Goldenberg, Koucky 2016) copies characters and moves on or stays by shared random
+A text is normalised (lower case, one space for white space) and read in windows of an item's size. Walks leave out
+what only parts words (spaces, a single _ or - between words), so that words that are glued or parted otherwise walk
+alike. Anchors are word starts, and every character of long words and of scripts without spaces; all of them unless
+winnowing is set to thin them out. From each anchor a random walk (Chakraborty, Goldenberg, Koucky 2016) copies characters and moves on or stays by shared random
 bits of step and character, which turns few edits into few differing positions; a table samples some positions of one
 walk and looks their hash up among the items' anchors. A hit places an item-sized window in the text, and the least
 edit distance between the item and any stretch of that window (wide enough for all allowed edits) decides. Walks are
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +33,13 @@ class Settings:
     #: Steps of a walk, positions sampled from it, and walks.
     steps: int = 32
     bits: int = 16
-    tables: int = 3
+    tables: int = 4
     #: Words in a row that hold an anchor.
     winnow: int = 1
-    #: Items that are shorter (64 at most) are found by their pieces.
+    #: Items that are shorter (64 at most), or too short for a walk without their spaces, are found by their pieces.
     least: int = 40
+    #: In words of more characters every character is an anchor: they may be glued from words of the item.
+    word: int = 20
     #: Items that are looked for in one pass over the texts; their tables are broadcast.
     block: int = 20_000
     seed: int = 5
@@ -70,6 +74,38 @@ def normalised(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return codes, at
 
 
+# Code points of scripts that are written without spaces between words (from, to).
+SPACELESS = ((0x0E00, 0x109F), (0x1780, 0x17FF), (0x2E80, 0xABFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+
+
+def joined(codes: np.ndarray) -> np.ndarray:
+    """Whether a character only parts words: a space, or a _ or - on its own between characters of words."""
+    mark = (codes == ord("_")) | (codes == ord("-"))
+    solid = (codes > 32) & ~mark
+    return (codes == 32) | mark & np.concatenate([[False], solid[:-1]]) & np.concatenate([solid[1:], [False]])
+
+
+def walked(codes: np.ndarray) -> np.ndarray:
+    """Places of the characters that walks go over: all but those that only part words; at least every second one."""
+    return np.flatnonzero(~joined(codes)) if len(codes) else np.zeros(0, np.int64)
+
+
+def begins(codes: np.ndarray, place: np.ndarray, word: int) -> np.ndarray:
+    """Of each of these characters, whether a word starts there, it is in a long word or in a script without spaces."""
+    kept = codes[place]
+    first = np.concatenate([[True], (np.diff(place) > 1) | (kept[:-1] == 0)])[: len(place)]
+    size = np.diff(np.append(np.flatnonzero(first), len(place)))
+    first |= np.repeat(size, size) > word
+    for low, high in SPACELESS:
+        first |= (kept >= low) & (kept <= high)
+    return first & (kept > 32)
+
+
+def needs_pieces(text: str, s: Settings) -> bool:
+    """Whether an item is too short for walks: under ``least`` characters, or fewer than ``steps`` to walk over."""
+    return len(text) < s.least or len(walked(np.array([ord(c) for c in text], np.uint32))) < s.steps
+
+
 class Walks:
     """The shared random bits: for each table and step, whether a character moves the walk on, and the steps sampled."""
 
@@ -79,17 +115,18 @@ class Walks:
         self.moves = rng.integers(0, 2, (s.tables, s.steps, 1024)).astype(np.int32)
         self.sampled = [set(rng.choice(s.steps, s.bits, replace=False).tolist()) for _ in range(s.tables)]
 
-    def anchors(self, codes: np.ndarray) -> np.ndarray:
-        """Word starts that have the least hash of the word's beginning among ``winnow`` words in a row."""
-        starts = np.flatnonzero((codes > 32) & (np.concatenate([[0], codes[:-1]]) <= 32)) if len(codes) else np.zeros(0, np.int64)
-        if len(starts) < self.s.winnow:
-            return starts
-        padded = np.concatenate([codes, np.zeros(8, np.uint32)])
+    def anchors(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(characters that walks go over, anchors as places among them), the least of ``winnow`` in a row by hash."""
+        place = walked(codes)
+        starts = np.flatnonzero(begins(codes, place, self.s.word))
+        if len(starts) < self.s.winnow or self.s.winnow == 1:
+            return place, starts
+        padded = np.concatenate([codes[place], np.zeros(8, np.uint32)])
         h = np.zeros(len(starts), np.uint64)
         for k in range(5):
             h = h * np.uint64(1000003) + padded[starts + k]
         windows = np.lib.stride_tricks.sliding_window_view(mix(h), self.s.winnow)
-        return starts[np.unique(np.arange(len(windows)) + windows.argmin(1))]
+        return place, starts[np.unique(np.arange(len(windows)) + windows.argmin(1))]
 
     def keys(self, codes: np.ndarray, at: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
         """(hash of the sampled positions of the walk from each anchor, where each walk ends)."""
@@ -161,7 +198,7 @@ class Short:
     """Items shorter than a walk needs: where their pieces' hashes lead, and the places of each character in them."""
 
     def __init__(self, texts: list[str], s: Settings) -> None:
-        self.numbers = np.array([n for n, t in enumerate(texts) if len(t) < s.least], np.int64)
+        self.numbers = np.array([n for n, t in enumerate(texts) if needs_pieces(t, s)], np.int64)
         self.sizes = np.array([len(texts[n]) for n in self.numbers], np.int64)
         self.allowed = (s.edits * self.sizes).astype(np.int64)
         rows: dict[int, list[tuple[int, int, int]]] = {}
@@ -240,7 +277,12 @@ class Items:
     places: list[np.ndarray]
     filters: list[np.ndarray]  # which low bits of a hash occur at all
     short: Short
-    bags: list[list[tuple[np.ndarray, np.ndarray]]]  # of each item, its q-grams
+    bags: dict[int, list[tuple[np.ndarray, np.ndarray]]]  # of the items met so far, their q-grams
+
+    def bag(self, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        if n not in self.bags:
+            self.bags[n] = [bag(np.array([ord(c) for c in self.texts[n]], np.uint32), q) for q in GRAMS]
+        return self.bags[n]
 
 
 FILTER_BITS = 20
@@ -258,22 +300,22 @@ def index(items: list[tuple[int, str]], s: Settings = Settings()) -> Items:
             texts.append(clean)
     found: list[list[tuple[int, int, int]]] = [[] for _ in range(s.tables)]
     for n, text in enumerate(texts):
-        if len(text) < s.least:
+        if needs_pieces(text, s):
             continue
         codes = np.array([ord(c) for c in text], np.uint32)
-        at = walks.anchors(codes)
+        place, at = walks.anchors(codes)
         for table in range(s.tables):
-            keys, end = walks.keys(codes, at, table)
-            found[table] += [(int(k), n, int(a)) for k, a, e in zip(keys, at, end, strict=True) if e <= len(codes)]
-    out = Items(s, ids, texts, [], [], [], [], Short(texts, s), [[bag(np.array([ord(c) for c in t], np.uint32), q) for q in GRAMS] for t in texts])
+            keys, end = walks.keys(codes[place], at, table)
+            found[table] += [(int(k), n, int(place[a])) for k, a, e in zip(keys, at, end, strict=True) if e <= len(place)]
+    out = Items(s, ids, texts, [], [], [], [], Short(texts, s), {})
     for rows in found:
         rows.sort()
         keys = np.array([r[0] for r in rows], np.uint64)
         mask = np.zeros(1 << FILTER_BITS, bool)
         mask[(keys & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)] = True
         out.keys.append(keys)
-        out.owners.append(np.array([r[1] for r in rows], np.int64))
-        out.places.append(np.array([r[2] for r in rows], np.int64))
+        out.owners.append(np.array([r[1] for r in rows], np.int32))
+        out.places.append(np.array([r[2] for r in rows], np.int32))
         out.filters.append(mask)
     return out
 
@@ -282,19 +324,22 @@ def search(column: pa.Array, items: Items, walks: Walks) -> dict[tuple[int, int]
     """(row, item index) -> (distance, end of the stretch in the normalised text), the nearest stretch of each pair."""
     s = items.settings
     codes, offsets = normalised(column)
-    at = walks.anchors(codes)
-    owner = np.searchsorted(offsets, at, side="right") - 1
-    tried: set[tuple[int, int, int]] = set()
+    place, at = walks.anchors(codes)
+    kept = codes[place]
+    owner = np.searchsorted(offsets, place[at], side="right") - 1
+    begin = place[at] - offsets[owner]
+    hits = []
     for table in range(s.tables):
         if not len(items.keys[table]):
             continue
-        keys, _ = walks.keys(codes, at, table)
+        keys, _ = walks.keys(kept, at, table)
         hit = np.flatnonzero(items.filters[table][(keys & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)])
-        low, high = np.searchsorted(items.keys[table], keys[hit]), np.searchsorted(items.keys[table], keys[hit], side="right")
-        for i in np.flatnonzero(high > low):
-            a = hit[i]
-            for k in range(low[i], high[i]):
-                tried.add((int(owner[a]), int(items.owners[table][k]), int(at[a] - offsets[owner[a]] - items.places[table][k])))
+        low = np.searchsorted(items.keys[table], keys[hit])
+        n = np.searchsorted(items.keys[table], keys[hit], side="right") - low
+        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+        a = np.repeat(hit, n)
+        hits.append(np.stack([owner[a], items.owners[table][k], begin[a] - items.places[table][k]], 1))
+    tried = np.unique(np.concatenate(hits), axis=0).tolist() if hits else []
     found: dict[tuple[int, int], tuple[int, int]] = {}
 
     def better(row: int, n: int, distance: int, end: int) -> None:
@@ -302,7 +347,7 @@ def search(column: pa.Array, items: Items, walks: Walks) -> dict[tuple[int, int]
             found[row, n] = (distance, end)
 
     # The windows of one text and item that overlap are verified as one stretch.
-    waiting = sorted(tried)
+    waiting = tried
     k = 0
     while k < len(waiting):
         row, n, begin = waiting[k]
@@ -315,7 +360,7 @@ def search(column: pa.Array, items: Items, walks: Walks) -> dict[tuple[int, int]
             k += 1
         stretch = codes[offsets[row] + low : offsets[row] + min(high, size)]
         # An edit spoils at most q of the item's q-grams; those that the stretch lacks must all be spoilt.
-        if any(lacking(stretch, q, own) > q * allowed for q, own in zip(GRAMS, items.bags[n], strict=True)):
+        if any(lacking(stretch, q, own) > q * allowed for q, own in zip(GRAMS, items.bag(n), strict=True)):
             continue
         distance, end = edit_distance(item, stretch.tobytes().decode("utf-32-le"))
         if distance <= allowed:
@@ -325,12 +370,13 @@ def search(column: pa.Array, items: Items, walks: Walks) -> dict[tuple[int, int]
     return found
 
 
-def blocks(benchmark: DataFrame, s: Settings, id_col: str, text_col: str) -> list[list[tuple[int, str]]]:
+def blocks(benchmark: DataFrame, s: Settings, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
     """The items, in blocks of a bounded number; the benchmark is the stated query set and is read block by block."""
     rows = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     parts = -(-rows.count() // s.block)
     block = F.pmod(F.xxhash64("id", "text"), F.lit(max(1, parts)))
-    return [[(r[0], r[1]) for r in rows.where(block == k).sort("id", "text").collect()] for k in range(parts)]
+    for k in range(parts):
+        yield [(r[0], r[1]) for r in rows.where(block == k).sort("id", "text").collect()]
 
 
 def find(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
@@ -342,7 +388,9 @@ def find(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings(), id_col
     out = None
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, item_id long, distance int, item_chars int, similarity double"
-    for block in blocks(benchmark, s, item_col, "text") or [[]]:
+    for block in chain(blocks(benchmark, s, item_col, "text"), [[]]):
+        if not block and out is not None:
+            continue
         shipped = docs.sparkSession.sparkContext.broadcast(index(block, s))
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:

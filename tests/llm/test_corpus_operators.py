@@ -475,6 +475,51 @@ def test_recall_up_to_the_edits_allowed(spark, rate):
     test_recall_under_edits(spark, rate, 0.9)
 
 
+# Shares of edits that replace, delete and insert a character.
+MIXES = {"equal": (1 / 3, 1 / 3, 1 / 3), "replacing": (1, 0, 0), "moving": (0, 0.5, 0.5)}
+
+
+def damaged(text, rate, mix, rng):
+    c = list(" ".join(text.lower().split()))
+    for _ in range(int(rate * len(c))):
+        k, how = rng.randrange(len(c)), rng.choices(("replace", "delete", "insert"), mix)[0]
+        c[k : k + (how != "insert")] = [] if how == "delete" else [rng.choice("abcdefgh ")]
+    return "".join(c)
+
+
+@pytest.mark.parametrize("mix", MIXES)
+@pytest.mark.parametrize(("rate", "least"), [(0.1, 0.99), (0.15, 0.97), (0.2, 0.92)])
+def test_recall_of_every_mix_against_brute_force(spark, mix, rate, least):
+    items = [(r["item_id"], r["text"]) for r in table(spark, "benchmark", "/root/testdata/sf0.1").collect()]
+    rng = random.Random(7)
+    texts = ["some words before " + damaged(t, rate, MIXES[mix], rng) + " and after" for _, t in items]
+    index = decontaminate.index(items)
+    near = [k for k in range(len(items)) if decontaminate.edit_distance(index.texts[k], re.sub(" +", " ", texts[k]))[0] <= int(0.2 * len(index.texts[k]))]
+    found = decontaminate.search(pa.array(texts), index, decontaminate.Walks(index.settings))
+    assert len(near) > 0.9 * len(items)
+    assert sum((k, k) in found for k in near) / len(near) >= least
+
+
+def test_items_are_found_in_text_without_spaces():
+    rng = random.Random(10)
+    write = lambda n: "".join(chr(rng.randrange(0x4E00, 0x5E00)) for _ in range(n))
+    items = [write(rng.randrange(33, 120)) for _ in range(40)]
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9))) for _ in range(400)]
+    items += [" ".join(rng.sample(words, 14)) for _ in range(40)] + ["a_b_c_d" * 12, "_" * 70, "-_" * 40]
+    index = decontaminate.index(list(enumerate(items)))
+    walks = decontaminate.Walks(index.settings)
+
+    def hold(texts):
+        found = decontaminate.search(pa.array(texts), index, walks)
+        return [(k, k) in found for k in range(len(texts))]
+
+    assert all(hold([write(50) + t + write(50) for t in items]))
+    assert all(hold(["x" + t + "y" for t in items]))
+    for by in ("_", "-", "", "  "):
+        assert all(hold([write(9) if k < 40 else "some words " + t.replace(" ", by) + " go on" for k, t in enumerate(items)])[40:80]), by
+    assert all(hold([write(30) + t[: len(t) // 2] + write(2) + t[len(t) // 2 + 2 :] + write(30) for t in items[:40]]))
+
+
 def test_short_items_are_found_with_edits():
     rng = random.Random(8)
     items = ["".join(rng.choice("abcd é") for _ in range(rng.randint(5, 39))).strip().replace("  ", " a") for _ in range(60)]
