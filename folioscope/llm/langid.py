@@ -210,13 +210,13 @@ def fit(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id"
     idf = np.log((1 + total) / (1 + df)) + 1
     if not languages:
         return Model(settings, [], idf, np.zeros((settings.buckets, 0)))
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col(lang_col) == lang, min(1.0, settings.fit_rows / n)).otherwise(share)
-    draw = F.pmod(F.xxhash64(F.lit("fit"), F.col(id_col).cast("string")), F.lit(1_000_003)) / 1_000_003
-    sample = docs.where(draw < share).limit(2 * settings.fit_rows * len(languages))
+    shares = docs.sparkSession.createDataFrame([(lang, min(1.0, settings.fit_rows / n)) for lang, n in counts.items()], "lang string, share double")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    draw = F.pmod(F.xxhash64(F.lit("fit"), F.col("id").cast("string"), "text"), F.lit(1_000_003)) / 1_000_003
+    # Rows are drawn by id and text, and equal rows count once, so that neither a repeated id nor a repeated row fills the sample.
+    sample = rows.join(shares, "lang").where(draw < F.col("share")).select("id", "text", "lang").dropDuplicates()
     weight = (settings.scale * idf).astype(np.float32)
-    rows = [(languages.index(lang), late, b, tf * weight[b]) for lang, late, b, tf in vectors(sample, text_col, lang_col, id_col, settings.buckets)]
+    rows = [(languages.index(lang), late, b, tf * weight[b]) for lang, late, b, tf in vectors(sample, "text", "lang", "id", settings.buckets)]
     weights, bias = ftrl([(y, b, x) for y, late, b, x in rows if not late], len(languages), settings)
     kept = [(y, x @ weights[b] + bias) for y, late, b, x in rows if late]
     t = temperature(np.array([s for _, s in kept]), np.array([y for y, _ in kept])) if kept else 1.0
