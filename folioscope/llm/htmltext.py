@@ -30,12 +30,21 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 UNSEEN = frozenset("script style noscript template iframe object svg math canvas head title select textarea audio video".split())
 FURNITURE = frozenset("nav header footer aside form menu button dialog".split())
 MAIN = frozenset("article main".split())
-WORDS = frozenset("ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification popup promo promotion related replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+WORDS = frozenset("ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification popup promo promotion related replies respond review reviews share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+# Words that, put before or after one of those, leave it the same kind.
+PLAIN = frozenset("site page main top bottom left right global primary secondary user reader customer box bar block section area wrapper container content list form inner outer slot unit popup banner notice post blog thread links link buttons".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 IMPLIED = {"p": frozenset("p".split()), "li": frozenset("li".split()), "dt": frozenset("dt dd".split()), "dd": frozenset("dt dd".split()), "tr": frozenset("tr td th".split()), "td": frozenset("td th".split()), "th": frozenset("td th".split()), "option": frozenset("option".split())}
 CLOSES_P = BLOCKS - frozenset("body html td th tr tbody thead tfoot caption li dt dd option optgroup legend summary figcaption title".split())
 
 
+def marks_furniture(mark: str, main: bool) -> bool:
+    """Whether a class or id is a word of page furniture, alone or with words that leave its kind; none for an article's own heading."""
+    words = [w for w in re.split(r"[^a-z0-9]+", mark) if w]
+    kinds = [w for w in words if w in WORDS and not (main and w == "header")]
+    return bool(kinds) and all(w in WORDS or w in PLAIN for w in words) and not (main and "header" in words)
+
+
 class Lines(HTMLParser):
     """The lines of a page: (text, is page furniture, lies in a main element)."""
 
@@ -68,13 +77,14 @@ class Lines(HTMLParser):
         marks: set[str] = set()
         for name, value in attrs:
             if name in ("class", "id") and value:
-                marks.update(re.split(r"[^a-z0-9]+", value.lower()))
+                marks.update(value.lower().split())
             elif name == "role" and value and value.lower() in ROLES:
                 furniture = True
             elif name == "hidden" or name == "aria-hidden" and value == "true":
                 unseen = True
         inner = main and tag == "header"  # the heading of an article, not of the page
-        furniture = furniture or tag in FURNITURE and not inner or tag not in ("body", "html") and not WORDS.isdisjoint(marks) and tag not in MAIN
+        marked = tag not in ("body", "html") and tag not in MAIN and any(marks_furniture(m, main) for m in marks)
+        furniture = furniture or tag in FURNITURE and not inner or marked
         self.open.append((tag, unseen or tag in UNSEEN, furniture, main or tag in MAIN))
 
     def handle_endtag(self, tag: str) -> None:

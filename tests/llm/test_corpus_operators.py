@@ -207,6 +207,14 @@ def test_language_is_learned(spark):
     assert all(h == (zlib.crc32(str(i).encode()) % 5 == 0) for h, i in zip(got.held_out, got.doc_id, strict=True))
 
 
+def test_languages_of_any_number_and_repeated_rows(spark):
+    """A thousand languages are as many classes; a row repeated ten thousand times is one of the sample."""
+    words = ["alpha beta", "gamma delta", "omega rho"]
+    rows = [(k, f"{words[k % 3]} {k}", f"l{k % 1000}") for k in range(3000)] + [(1, "alpha beta 1", "l1")] * 10_000
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), langid.Settings(buckets=256, fit_rows=3))
+    assert len(model.languages) == 1000 and model.weights.shape == (256, 1000)
+
+
 def test_language_weights_are_sparse_and_temperature_fits():
     rng = np.random.default_rng(1)
     rows = []
@@ -310,6 +318,21 @@ def test_furniture_goes_and_shared_lines_go():
     assert htmltext.main_text(article, ["shared", "outside"]) == "T\nshared"
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ('<article><div class="entry-header"><h1>Headline</h1></div><p>Body</p></article>', "Headline\nBody"),
+        ('<article><div class="social-history"><p>Body</p></div></article>', "Body"),
+        ('<article><section id="notification-protocols"><p>Body</p></section></article>', "Body"),
+        ('<div class="main ad-free"><p>Body</p></div>', "Body"),
+        ('<article><p>Body</p></article><div class="user-reviews"><p>Good</p></div>', "Body"),
+        ('<article><p>Body</p><div class="related-links box">More</div></article><div id="cookie-notice">OK</div><div class="Site-Header">S</div>', "Body"),
+    ],
+)
+def test_class_words_delete_furniture_and_no_article(html, text):
+    assert htmltext.main_text(htmltext.lines_of(html), None) == text
+
+
 def test_common_lines_are_a_longest_common_subsequence():
     rng = random.Random(5)
     for _ in range(200):
