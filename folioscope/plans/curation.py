@@ -142,20 +142,31 @@ def _office_file(kind: str, text: str) -> bytes:
         return _archive({
             "xl/workbook.xml": f"<workbook {r}><sheets><sheet name='One' r:id='x'/></sheets></workbook>", "xl/_rels/workbook.xml.rels": "<R><Relationship Id='x' Target='worksheets/sheet7.xml'/></R>",
             "xl/sharedStrings.xml": f"<sst xmlns='http://m'><si><t>{text}</t></si></sst>",
-            "xl/worksheets/sheet7.xml": "<worksheet xmlns='http://m'><row><c r='A1' t='s'><v>0</v></c><c r='AB2'><v>7</v></c><c r='C3'/></row></worksheet>",
+            "xl/worksheets/sheet7.xml": "<worksheet xmlns='http://m'><row><c r='A1' t='s'><v>0</v></c><c r='AB2'><f>3+4</f><v>7</v></c><c r='C3'/></row></worksheet>",
         })
+    if kind == "odt":
+        return _archive({"content.xml": f"<d xmlns:text='http://t'><text:p>{text}</text:p><text:p>Last</text:p></d>"})
+    if kind == "ods":
+        t = "xmlns:table='http://t' xmlns:text='http://p' xmlns:office='http://o'"
+        cell = f"<table:table-cell table:number-columns-repeated='2'><text:p>{text}</text:p></table:table-cell>"
+        last = "<table:table-row><table:table-cell table:formula='of:=3+4' office:value='7'><text:p>7.0</text:p></table:table-cell></table:table-row>"
+        empty = "<table:table-row table:number-rows-repeated='1048000'><table:table-cell table:number-columns-repeated='16384'/></table:table-row>"
+        rows = f"<table:table-row table:number-rows-repeated='2'/><table:table-row><table:table-cell/>{cell}</table:table-row>{last}{empty}"
+        return _archive({"content.xml": f"<d {t}><table:table table:name='One'>{rows}</table:table></d>"})
     return b"no archive"
 
 
-KINDS = ("docx", "pptx", "xlsx", "odt")
+KINDS = ("docx", "pptx", "xlsx", "odt", "ods", "doc")
 
 
-@query("""SELECT item_id, CASE item_id % 4 WHEN 0 THEN text || chr(10) || chr(10) || 'Header' WHEN 1 THEN '## Slide 1' || chr(10) || chr(10) || text || chr(10) || chr(10) || '## Slide 2' || chr(10) || chr(10) || 'Last'
-    WHEN 2 THEN '## Foglio: One' || chr(10) || '- Riga 1, colonna 1: ' || text || chr(10) || '- Riga 2, colonna 28: 7' END AS text, CASE item_id % 4 WHEN 3 THEN 'failed' ELSE 'ready' END AS status FROM benchmark""")
+@query("""SELECT item_id, CASE item_id % 6 WHEN 0 THEN text || chr(10) || chr(10) || 'Header' WHEN 1 THEN '## Slide 1' || chr(10) || chr(10) || text || chr(10) || chr(10) || '## Slide 2' || chr(10) || chr(10) || 'Last'
+    WHEN 2 THEN '## Foglio: One' || chr(10) || '- Riga 1, colonna 1: ' || text || chr(10) || '- Riga 2, colonna 28: 7' || chr(10) || '- Formula riga 2, colonna 28: `3+4`' WHEN 3 THEN text || chr(10) || chr(10) || 'Last'
+    WHEN 4 THEN '## Foglio: One' || chr(10) || '- Riga 3, colonna 2: ' || text || chr(10) || '- Riga 3, colonna 3: ' || text || chr(10) || '- Riga 4, colonna 1: 7' || chr(10) || '- Formula riga 4, colonna 1: `of:=3+4`' END AS text,
+    CASE item_id % 6 WHEN 5 THEN 'failed' ELSE 'ready' END AS status FROM benchmark""")
 def office_files(s, d):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(f"{r['item_id']}.{(kind := KINDS[r['item_id'] % 4])}", _office_file(kind, r["text"])) for r in batch.to_pylist()]
+            rows = [(f"{r['item_id']}.{(kind := KINDS[r['item_id'] % 6])}", _office_file(kind, r["text"])) for r in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.string()), pa.array([c for _, c in rows], pa.binary())], names=["path", "content"])
 
     made = vault.read_table(s, d, "benchmark").select("item_id", "text").mapInArrow(make, "path string, content binary")
@@ -446,13 +457,13 @@ def vault_states(s, d):
     return release.vault_state(vaults.select("vault_id", (F.col("k") % 5 != 4).alias("accessible"), (F.col("k") % 5 != 3).alias("valid_manifest")), rows)
 
 
-@query("SELECT '01_CLIENTS/' || CAST(doc_id AS VARCHAR) || '.md' AS path, CASE WHEN doc_id % 2 = 0 THEN 'T' ELSE CAST(doc_id AS VARCHAR) || '.md' END AS title, CASE doc_id % 3 WHEN 0 THEN 'approved' ELSE 'unspecified' END AS status FROM documents WHERE doc_id % 5 = 0 AND doc_id < 5000")
+@query("SELECT '01_CLIENTS/' || CAST(doc_id AS VARCHAR) || '.md' AS path, CASE WHEN doc_id % 2 = 0 THEN 'T' ELSE CAST(doc_id AS VARCHAR) || '.md' END AS title, CASE doc_id % 3 WHEN 0 THEN 'approved' ELSE 'unspecified' END AS status FROM documents WHERE doc_id % 5 = 0")
 def browse_folder(s, d):
-    """A folder's listing; the folder is a fifth of the first 5,000 documents, as it may hold 1,000 files."""
+    """A folder's listing, a fifth of all documents, with bounds that a table of any size keeps."""
     name = F.concat(ident(), F.lit(".md"))
-    folder = F.when(mod(5) & (F.col("doc_id") < 5000), "01_CLIENTS/").when(mod(5, 1), "01_CLIENTS/.").otherwise("02_PROJECTS/")
+    folder = F.when(mod(5), "01_CLIENTS/").when(mod(5, 1), "01_CLIENTS/.").otherwise("02_PROJECTS/")
     rows = docs(s, d).select(F.concat(folder, name).alias("path"), F.when(mod(2), "T").alias("title"), F.when(mod(3), "approved").alias("status"), F.lit(100).alias("size"))
-    return release.browsed(rows, "01_CLIENTS")
+    return release.browsed(rows, "01_CLIENTS", most=1 << 40, total=1 << 50)
 
 
 @query("SELECT o_orderkey AS snapshot_id, o_orderdate AS created FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 100")

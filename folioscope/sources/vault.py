@@ -169,29 +169,77 @@ def related(archive: zipfile.ZipFile, name: str) -> dict[str, str]:
     return {r.get("Id"): posixpath.normpath(posixpath.join("/" + folder, r.get("Target"))).lstrip("/") for r in links}
 
 
+def local(element: ElementTree.Element) -> str:
+    return element.tag.rsplit("}", 1)[-1]
+
+
+def stated(element: ElementTree.Element, name: str, default: str = "") -> str:
+    """An attribute by its local name."""
+    return next((v for k, v in element.items() if k.rsplit("}", 1)[-1] == name), default)
+
+
+def open_cells(archive: zipfile.ZipFile, most: int = 1 << 20) -> str:
+    """Sheets of an open document as lines, as ``cells`` gives them; repeated rows and cells each have a line, up to a bound."""
+    lines: list[str] = []
+    for sheet in ElementTree.fromstring(archive.read("content.xml")).iter():
+        if local(sheet) != "table":
+            continue
+        lines.append(f"## Foglio: {stated(sheet, 'name')}")
+        formulas, row = [], 0
+        for line in (r for r in sheet.iter() if local(r) == "table-row"):
+            found, column = [], 0
+            for cell in (c for c in line if local(c) in ("table-cell", "covered-table-cell")):
+                times = int(stated(cell, "number-columns-repeated", "1"))
+                text = "\n".join("".join(p.itertext()) for p in cell if local(p) == "p")
+                value = next((v for v in (stated(cell, k) for k in ("value", "date-value", "time-value", "boolean-value")) if v), text)
+                formula = stated(cell, "formula")
+                if value or formula:
+                    if times > most:
+                        raise ValueError("failed: the sheet has too many cells")
+                    found += [(column + k + 1, value, formula) for k in range(times)]
+                column += times
+            times = int(stated(line, "number-rows-repeated", "1"))
+            if times * len(found) + len(lines) + len(formulas) > most:
+                raise ValueError("failed: the sheet has too many cells")
+            for r in range(row + 1, row + 1 + times) if found else ():
+                lines += [f"- Riga {r}, colonna {c}: {v}" for c, v, _ in found if v]
+                formulas += [f"- Formula riga {r}, colonna {c}: `{f}`" for c, _, f in found if f]
+            row += times
+        lines += formulas
+    return "\n".join(lines)
+
+
 def cells(archive: zipfile.ZipFile) -> str:
-    """Sheets as lines: a heading for each sheet, a line for each cell that isn't empty."""
+    """Sheets as lines: a heading for each sheet, a line for each cell that isn't empty, then one for each formula."""
     read = lambda name: ElementTree.fromstring(archive.read(name))
     shared = ["".join(t.text or "" for t in si.iter() if t.tag.endswith("}t")) for si in read("xl/sharedStrings.xml")] if "xl/sharedStrings.xml" in archive.namelist() else []
     sheets = [(s.get("name", ""), next((v for k, v in s.items() if k.endswith("}id")), "")) for s in read("xl/workbook.xml").iter() if s.tag.rsplit("}", 1)[-1] == "sheet"]
     parts, lines = related(archive, "xl/workbook.xml"), []
     for n, (title, relation) in enumerate(sheets, 1):
         lines.append(f"## Foglio: {title}")
+        formulas = []
         for cell in read(parts.get(relation, f"xl/worksheets/sheet{n}.xml")).iter():
             if cell.tag.endswith("}c"):
                 value = "".join(v.text or "" for v in cell.iter() if v.tag.rsplit("}", 1)[-1] in ("v", "t"))
                 value = shared[int(value)] if cell.get("t") == "s" and value else value
-                if value:
+                formula = "".join(f.text or "" for f in cell if local(f) == "f")
+                if value or formula:
                     letters, row = re.match(r"([A-Z]+)(\d+)", cell.get("r", "A1")).groups()
                     column = 0
                     for c in letters:
                         column = column * 26 + ord(c) - 64
-                    lines.append(f"- Riga {row}, colonna {column}: {value}")
+                    if value:
+                        lines.append(f"- Riga {row}, colonna {column}: {value}")
+                    if formula:
+                        formulas.append(f"- Formula riga {row}, colonna {column}: `{formula}`")
+        lines += formulas
     return "\n".join(lines)
 
 
 def office_text(content: bytes, kind: str, members: int = 20_000, most: int = 16 << 20) -> str:
-    """Text of a DOCX, ODT, PPTX or XLSX file; document type declarations and oversized archives are refused."""
+    """Text of a DOCX, ODT, PPTX, XLSX or ODS file; declarations, oversized archives and binary spreadsheets are refused."""
+    if kind == "xls":
+        raise ValueError("unsupported: a binary spreadsheet")
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
         infos = archive.infolist()
         if len(infos) > members or sum(i.file_size for i in infos) > most:
@@ -200,6 +248,8 @@ def office_text(content: bytes, kind: str, members: int = 20_000, most: int = 16
             raise ValueError("failed: document type declarations are refused")
         if kind == "xlsx":
             return cells(archive)
+        if kind == "ods":
+            return open_cells(archive)
         names = archive.namelist()
         if kind == "pptx":
             parts = related(archive, "ppt/presentation.xml")

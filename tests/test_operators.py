@@ -177,6 +177,31 @@ def test_office_files(spark):
     assert not got["c.docx"][1] and not got["d.docx"][1]
 
 
+def test_open_and_binary_spreadsheets():
+    def ods(rows):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("content.xml", f"<d xmlns:t='http://t' xmlns:p='http://p' xmlns:o='http://o'><t:table t:name='S'>{rows}</t:table></d>")
+        return out.getvalue()
+
+    full = "<t:table-cell{}><p:p>a</p:p><p:p>b</p:p></t:table-cell>".format
+    text = vault.office_text(ods(f"<t:table-row t:number-rows-repeated='2'>{full('')}<t:table-cell t:formula='of:=1'/></t:table-row><t:table-row>{full(' o:value=' + repr('3'))}</t:table-row>"), "ods")
+    assert text == "## Foglio: S\n- Riga 1, colonna 1: a\nb\n- Riga 2, colonna 1: a\nb\n- Riga 3, colonna 1: 3\n- Formula riga 1, colonna 2: `of:=1`\n- Formula riga 2, colonna 2: `of:=1`"
+    for rows in (f"<t:table-row>{full(' t:number-columns-repeated=' + repr('9999999'))}</t:table-row>", f"<t:table-row t:number-rows-repeated='9999999'>{full('')}</t:table-row>"):
+        with pytest.raises(ValueError, match="too many cells"):
+            vault.office_text(ods(rows), "ods")
+    with pytest.raises(ValueError, match="unsupported"):
+        vault.office_text(b"\xd0\xcf\x11\xe0", "xls")
+
+
+def test_a_folder_too_large_to_browse_is_an_error(spark):
+    rows = spark.createDataFrame([(f"01_CLIENTS/{k}.md", None, None, 100) for k in range(4)], "path string, title string, status string, size long")
+    assert release.browsed(rows, "01_CLIENTS", most=4).count() == 4
+    for bounds in ({"most": 3}, {"total": 399}, {"largest": 99}):
+        with pytest.raises(Exception, match="too large to browse"):
+            release.browsed(rows, "01_CLIENTS", **bounds).collect()
+
+
 def test_folders_skip_hidden_and_large_files(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / ".hid").mkdir()
