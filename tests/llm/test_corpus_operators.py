@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import html as entities
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -298,14 +300,15 @@ def test_shard_edges(edge, empty):
 # --- 7 and 8 ---------------------------------------------------------------------------------------------------------
 
 
+def article_text(page):
+    article = re.search(r"<article>(.*)</article>", page, re.S)[1]
+    blocks = [" ".join(entities.unescape(re.sub(r"<[^>]+>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)[^>]*>", article)]
+    return "\n".join(b for b in blocks if b)
+
+
 def test_pages_keep_their_article(spark):
     got = entries.QUERIES["op7_html"](spark, SMALL).join(table(spark, "pages").select("page_id", "html"), "page_id").toPandas()
-    import html as entities
-
-    for page, text in zip(got.html, got.text, strict=True):
-        article = re.search(r"<article>(.*)</article>", page, re.S)[1]
-        blocks = [" ".join(entities.unescape(re.sub(r"<[^>]+>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)[^>]*>", article)]
-        assert text == "\n".join(b for b in blocks if b)
+    assert [article_text(page) for page in got.html] == list(got.text)
     assert (got.n_chars == got.text.str.len()).all()
 
 
@@ -346,6 +349,59 @@ def test_common_lines_are_a_longest_common_subsequence():
         assert len(found) == best[-1][-1] and all(a[k] in rest for k in found)
 
 
+def character_rates(got, wanted):
+    """Precision and recall of lines, by characters."""
+    hit = found = all_ = 0
+    for k, text in wanted.items():
+        a, b = Counter(got[k].split("\n")), Counter(text.split("\n"))
+        hit += sum(len(line) * n for line, n in (a & b).items())
+        found += sum(len(line) * n for line, n in a.items())
+        all_ += sum(len(line) * n for line, n in b.items())
+    return hit / found, hit / all_
+
+
+def test_differencing_alone_finds_the_articles(spark):
+    """Without lists of kinds pages come out by differencing; without the alignment of regions most pages would change."""
+    pages = table(spark, "pages", MEDIUM)
+    wanted = {r["page_id"]: article_text(r["html"]) for r in pages.collect()}
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(pages, kinds=False).collect()}
+    paired_ = pages.groupBy(urlfilter.host_of(F.col("url")).alias("host")).agg(F.collect_list("page_id").alias("ids")).where(F.size("ids") > 1).collect()
+    ids = [i for r in paired_ for i in r["ids"]]
+    precision, recall = character_rates({i: got[i] for i in ids}, {i: wanted[i] for i in ids})
+    assert min(precision, recall) >= 0.95
+    # The same pages with no region ever aligned, read here as the workers would.
+    html = {r["page_id"]: r["html"] for r in pages.collect()}
+    changed = 0
+    for i in ids:
+        page = htmltext.page_of(html[i], kinds=False)
+        regions = htmltext.regions_of(page)
+        columns = [list(c) for c in zip(*page.lines, strict=True)]
+        bare = htmltext.kept(columns[0], columns[2], columns[1], regions, set(), set(), [])
+        changed += bare != got[i]
+    assert changed > 0.7 * len(ids)
+
+
+@pytest.mark.parametrize(
+    ("own", "other", "text"),
+    [
+        # A menu of other words and another length goes by its shape; a box that the other page lacks stays.
+        ("<ul class=m><li>a<li>b</ul><div class=t><p>Long story here<p>and more of it</div><div class=x>Only here</div>", "<ul class=m><li>c<li>d<li>e</ul><div class=t><p>Other long text<p>and its end</div>", "Long story here\nand more of it\nOnly here"),
+        # Regions in another order still align.
+        ("<div class=n1>q</div><div class=ad>r</div><div class=t><p>Long story here<p>and more of it</div>", "<div class=ad>s</div><div class=n9>u</div><div class=t><p>Other long text<p>and its end</div>", "Long story here\nand more of it"),
+        # Headings and paragraphs beside the main region are text.
+        ("<h1>Head</h1><p>Lead</p><div class=t><p>Long story here<p>and more of it</div>", "<h1>Tail</h1><p>Load</p><div class=t><p>Other long text<p>and its end</div>", "Head\nLead\nLong story here\nand more of it"),
+        # No element holds most of the text: nothing goes by shape.
+        ("<div class=a>one</div><div class=b>two</div>", "<div class=a>uno</div><div class=b>due</div>", "one\ntwo"),
+        ("<span role=navigation><div>x</div></span><article><p>Text</p><span role=menu>In<p>More</p></span></article>", "", "Text"),
+        ("<div>" * 3000 + "deep", "<div>other", "deep"),
+    ],
+)
+def test_regions_align_by_shape(own, other, text):
+    page, beside = htmltext.page_of(own), htmltext.page_of(other)
+    lines, furniture, main = ([line[n] for line in page.lines] for n in range(3))
+    assert htmltext.kept(lines, main, furniture, htmltext.regions_of(page), set(), set(), [r for r in htmltext.regions_of(beside) if r]) == text
+
+
 def test_html_edges(spark):
     rows = [(1, None, None), (2, "http://h/a", ""), (3, "http://h/b", "<p>unclosed <b>x"), (3, "http://h/b", "<p>unclosed <b>x"), (None, "h", "<div>&lt;&#x41;&bogus;</div>"), (4, "http://h/c", "<p>" * 3000 + "deep")]
     got = {(r["page_id"] or -1): r["text"] for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
