@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import SLICE_BYTES, fold_of, rows_by_size, slices, text_bytes
+from folioscope.llm.common import SLICE_BYTES, fold_of, joined_by_count, rows_by_size, slices, text_bytes
 
 UNKNOWN = "und"
 SIZES = (1, 2, 3)
@@ -210,11 +210,11 @@ def fit(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id"
     idf = np.log((1 + total) / (1 + df)) + 1
     if not languages:
         return Model(settings, [], idf, np.zeros((settings.buckets, 0)))
-    shares = docs.sparkSession.createDataFrame([(lang, min(1.0, settings.fit_rows / n)) for lang, n in counts.items()], "lang string, share double")
+    shares = docs.sparkSession.createDataFrame([(lang, min(1.0, settings.fit_rows / n), n) for lang, n in counts.items()], "lang string, share double, n long")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     draw = F.pmod(F.xxhash64(F.lit("fit"), F.col("id").cast("string"), "text"), F.lit(1_000_003)) / 1_000_003
     # Rows are drawn by id and text, and equal rows count once, so that neither a repeated id nor a repeated row fills the sample.
-    sample = rows.join(shares, "lang").where(draw < F.col("share")).select("id", "text", "lang").dropDuplicates()
+    sample = joined_by_count(rows, shares, "lang").where(draw < F.col("share")).select("id", "text", "lang").dropDuplicates()
     weight = (settings.scale * idf).astype(np.float32)
     rows = [(languages.index(lang), late, b, tf * weight[b]) for lang, late, b, tf in vectors(sample, "text", "lang", "id", settings.buckets)]
     weights, bias = ftrl([(y, b, x) for y, late, b, x in rows if not late], len(languages), settings)
