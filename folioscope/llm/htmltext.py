@@ -243,15 +243,11 @@ def repeated(own: list[int], other: list[int]) -> set[int]:
     return found
 
 
-def remaining(lines: list[tuple[str, bool]], shared: set[int], often: set[int]) -> str:
-    """The lines (text, lies in a main element) that are left, given which are shared and which of these many pages have."""
-    return "\n".join(t for k, (t, main) in enumerate(lines) if k not in shared or main and k not in often)
-
-
 def main_text(lines: list[tuple[str, bool, bool]], other: list[str] | None) -> str:
-    """The lines that are left of a page, given those of the page it is paired with, where no line is on many pages."""
+    """What is left of one page's lines by kind and by the lines of another page, for pages outside a table; no region is aligned."""
     own = [(t, main) for t, furniture, main in lines if not furniture]
-    return remaining(own, common_lines([t for t, _ in own], other) if other else set(), set())
+    shared = common_lines([t for t, _ in own], other) if other else set()
+    return "\n".join(t for at, (t, main) in enumerate(own) if main or at not in shared)
 
 
 def key_of(line: str) -> int:
