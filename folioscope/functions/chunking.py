@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -232,22 +233,24 @@ def volumes(items: DataFrame, group: list[str], order: str, size: str, most: int
 
 
 def running_budget(items: DataFrame, group: list[str], order: list[str], size: str, most: int) -> DataFrame:
-    """The items before the first that overflows the budget, in order, with what is used up to each.
+    """The items before the first that overflows the budget, in order, with what is used up to each; items of one place count together.
 
-    What follows an overflow is out too. So each range of the order first drops what alone overflows it, and the
-    running sum is over what is left: a budget's worth of items from each range at most.
+    What follows an overflow is out too. So each range of the order first drops what comes after the item that alone
+    overflows it, and the running sum is over what is left: a budget's worth of items from each range and the one that
+    ends it, which keeps later ranges out.
     """
     ordered = items.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, used = None, 0
         for batch in batches:
-            sizes, keys = batch.column(size).to_numpy(), list(zip(*(batch.column(c).to_pylist() for c in group), strict=True)) if group else [()] * batch.num_rows
+            sizes, keys = pc.fill_null(batch.column(size), 0).to_numpy(), list(zip(*(batch.column(c).to_pylist() for c in group), strict=True)) if group else [()] * batch.num_rows
             keep = np.zeros(len(sizes), bool)
             for i, own in enumerate(keys):
-                key, used = own, (used if own == key else 0) + int(sizes[i])
+                used = used if own == key else 0
                 keep[i] = used <= most
+                key, used = own, used + int(sizes[i])
             yield batch.filter(pa.array(keep))
 
-    window = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    window = Window.partitionBy(*group).orderBy(*order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     return ordered.mapInArrow(drop, items.schema).withColumn("used", F.sum(size).over(window)).where(F.col("used") <= most)

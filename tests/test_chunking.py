@@ -71,3 +71,14 @@ def test_volumes_over_many_ranges_equal_the_greedy_rule(spark, seed):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert got == want
+
+
+def test_running_budget_across_ranges(spark):
+    """What overflows in one range keeps the next ones out, and items of one place go or stay together."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        # A large item is followed by many small ones, in every range but the first.
+        items = spark.createDataFrame([("g", k, 5 if k < 2 else 9 if k < 40 else 1) for k in range(400)] + [("h", 0, 5), ("h", 1, 4), ("h", 1, 4)], "g string, o long, size long")
+        assert sorted((r["g"], r["o"], r["used"]) for r in C.running_budget(items, ["g"], ["o"], "size", 12).collect()) == [("g", 0, 5), ("g", 1, 10), ("h", 0, 5)]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
