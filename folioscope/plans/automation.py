@@ -109,8 +109,10 @@ def proposal_stream(s, d):
     folder = new_folder(s, "proposals")
     rows = vault.read_table(s, d, "events")
     # Two files, one after the other in time: a stream is in order.
-    middle = rows.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), 0.5).alias("m"))
-    halves = rows.crossJoin(F.broadcast(middle)).withColumn("late", F.unix_micros(F.col("ts").cast("timestamp")) > F.col("m")).drop("m")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    # One number for both files: approximate, it may differ from one time to the next, and events between two would be lost or come twice.
+    middle = rows.agg(F.percentile_approx(at, 0.5).alias("m")).first()["m"]
+    halves = rows.withColumn("late", F.coalesce(at > F.lit(middle), F.lit(False)))
     for k, late in enumerate((False, True)):
         halves.where(F.col("late") == late).drop("late").write.parquet(f"{folder}/in/{k}")
         source = s.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/in")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,3 +183,19 @@ def test_finished_and_lost(spark):
     jobs = spark.createDataFrame([("k", "f", "ready", 1, None, "c", "", "", [("p", "h", 1)])], JOBS)
     assert jobgraph.lost_documents(jobs, spark.createDataFrame([("p", "other")], "path string, sha256 string")).collect() == [("k", "p")]
     assert workflow.CALLS == 3 and jobs.where(F.col("key") == "k").count() == 1
+
+
+def test_the_stream_halves_at_one_time(spark, tmp_path, monkeypatch):
+    """An approximate median that comes out otherwise each time it is computed loses no event and repeats none."""
+    from folioscope.plans import automation
+
+    @F.pandas_udf("long")
+    def unsteady(x: pd.Series) -> int:
+        return int(x.median()) + int.from_bytes(os.urandom(4)) % 200 * 1_000_000
+
+    rows = spark.range(400).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id")).alias("ts"), (F.col("id") % 3).alias("user_id"), F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.lit("{}").alias("props"))
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(automation.F, "percentile_approx", lambda x, p: unsteady(x))
+    out = automation.proposal_stream(spark, str(tmp_path))
+    names = ("accepted", "repeated", "conflicts", "stale", "refused")
+    assert sum(sum(r[c] for c in names) for r in out.collect()) == 400
