@@ -38,12 +38,12 @@ def containing(docs: DataFrame, items: DataFrame, most: int = AUTOMATON_CHARACTE
     """(query_id, doc_id) of documents (doc_id, text) that hold the text of an item (query_id, text); an empty item is in every text.
 
     An automaton over a block of items reads every document once. Blocks are dealt by hash to a bounded size and come to the
-    driver one at a time. Null texts and null items hold nothing.
+    driver one at a time. Null texts and null items hold nothing. The pairs are kept, so that no later step reads the documents again.
     """
     total = items.agg(F.sum(F.char_length("text")).alias("n")).first()["n"] or 0
     blocks = -(-total // most) or 1
     block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    return reduce(DataFrame.unionByName, [_held(docs, items.where(block == k).select("query_id", "text")) for k in range(blocks)])
+    return cut(reduce(DataFrame.unionByName, [_held(docs, items.where(block == k).select("query_id", "text")) for k in range(blocks)]))
 
 
 def _held(docs: DataFrame, items: DataFrame) -> DataFrame:
