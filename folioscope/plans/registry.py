@@ -12,7 +12,7 @@ from folioscope.plans import automation, curation, retrieval  # noqa: F401  (the
 from folioscope.plans import dialect as D
 from folioscope.plans.base import ORACLES, QUERIES, TERM, TERMS, docs, files, index_of, labelled, query
 from folioscope.sources import vault
-from folioscope.sources.shared import new_folder
+from folioscope.sources.shared import cut, new_folder
 from folioscope.streaming import ingest
 
 def indexed(s: SparkSession, d: str) -> DataFrame:
@@ -273,7 +273,7 @@ def needs_reindex(s, d):
 def _sides(s, d):
     lex = store.scored(index_of(s, d), search.SearchQuery(TERM), TERMS).orderBy(F.desc("score"), "path").limit(200).select(F.col("doc_id").alias("id"), F.col("score").alias("lex"))
     sem = _vectors(s, d).where(F.col("similarity") > vectors.THRESHOLD).select(F.col("vec_id").alias("id"), F.col("similarity").alias("sem"))
-    return vectors.coalesced(lex, sem, "id")
+    return cut(vectors.coalesced(lex, sem, "id"))
 
 
 BOTH = f"""{D.bm25(TERMS)}, {SIM}, a AS (SELECT doc_id AS id, score AS lex FROM scored ORDER BY score DESC, path LIMIT 200), b AS (SELECT vec_id AS id, similarity AS sem FROM sim WHERE similarity > 0.25),

@@ -10,7 +10,7 @@ from folioscope.operators import context, evaluate, search, store, vectors
 from folioscope.plans import dialect as D
 from folioscope.plans.base import docs, index_of, kept_index, labelled, mod, query, with_project
 from folioscope.sources import vault
-from folioscope.sources.shared import new_folder
+from folioscope.sources.shared import cut, new_folder
 
 # --- lexical pages ---------------------------------------------------------------------------------------------------
 
@@ -233,7 +233,8 @@ def _sides(s, d) -> DataFrame:
     q = search.SearchQuery("thing", limit=200)
     lexical, semantic = _lexical(s, d, q, ["thing"]), _semantic(s, d)
     both = lexical.withColumnsRenamed({"title": "tl", "snippet": "sl"}).join(semantic.withColumnsRenamed({"title": "ts", "snippet": "ss"}), "id", "full_outer")
-    return both.select("id", "lex", "sem", vectors.literal_match("thing", F.coalesce("tl", "ts"), F.coalesce("sl", "ss")).alias("m"))
+    # Ranks and bounds read the candidates several times; the documents are read once.
+    return cut(both.select("id", "lex", "sem", vectors.literal_match("thing", F.coalesce("tl", "ts"), F.coalesce("sl", "ss")).alias("m")))
 
 
 #: The weights of the two sides that are compared, and the shares of the weaker side.
