@@ -68,9 +68,14 @@ def strip_markdown(text: Column) -> Column:
     return collapse(text)
 
 
+def has_markup(text: Column) -> Column:
+    """Whether stripping Markdown may change a text's words; marks of headings and quotes stand between words anyway."""
+    return F.rlike(text, F.lit("[`*_\\[]|^---\\n"))
+
+
 def tokens(text: Column) -> Column:
     """Folded words of at least two characters that are no stop words, in order, repeats kept."""
-    words = F.split(fold(strip_markdown(text)), "[^\\p{L}\\p{N}]+")
+    words = F.split(fold(F.when(has_markup(text), strip_markdown(text)).otherwise(text)), "[^\\p{L}\\p{N}]+")
     return F.filter(words, lambda w: (F.char_length(w) >= 2) & ~w.isin(STOP_WORDS))
 
 

@@ -76,3 +76,14 @@ def test_html_text(spark):
     assert one(spark, vault.html_text(F.lit(html))) == "T a &amp;amp; b d"
     assert one(spark, vault.html_text(F.lit('<p title="a>b">x</p><noscript><template>n</noscript></template></noscript>y<b unclosed'))) == "x y"
     assert one(spark, vault.html_title(F.lit(html))) == "T"
+
+
+def test_tokens_of_texts_with_and_without_markdown(spark):
+    texts = [
+        "plain words here", "a*bc* de_fg", "# Head\n## Two\nbody", "> said\n>> so", "---\nkey: value\n---\nbody text", "x\n---\nkey: value\n---\n", "[link text](http://example.org/page)", "```\ncode here\n```\nafter", "`ab`cd",
+        "À la règle", "été box", "ΟΔΟΣ # ΣΑΣ", "\r\n# A\u0085# BB > CC", "", "  ", None, "--- \nbox", "tab\tand  space", "#tag #2two", "1) [ ] done",
+    ]
+    rows = spark.createDataFrame([(x,) for x in texts], "text string")
+    words = F.split(T.fold(T.strip_markdown(F.col("text"))), "[^\\p{L}\\p{N}]+")
+    want = F.filter(words, lambda w: (F.char_length(w) >= 2) & ~w.isin(T.STOP_WORDS))
+    assert [r for r in rows.select(T.tokens(F.col("text")).alias("t"), want.alias("w")).collect() if r["t"] != r["w"]] == []
